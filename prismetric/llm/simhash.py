@@ -190,37 +190,39 @@ def near_links(marks: DataFrame, bits: int = 3, group: int = GROUP) -> DataFrame
     return out if out is not None else spark.createDataFrame([], "a long, b long")
 
 
+def labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, bits: int) -> DataFrame:
+    """(id, fp, root, component_id) for every row; root stands for the component also where ids are null or repeat."""
+    rows = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    marks = written(rows.groupBy("fp").agg(F.min("id").alias("low")), "marks")
+    roots = components(near_links(marks.select("fp"), bits)).withColumnRenamed("node", "fp")
+    rooted = written(marks.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "roots")
+    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rows.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp").select("id", "fp", "root", "component_id")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
-    """One row per row of ``docs``: (id, fingerprint, component_id, at_least).
+    """One row per row of ``docs``: (id, fingerprint, component_id).
 
     Texts link when their fingerprints (see ``fingerprint``) differ in at most ``bits`` bits. component_id is
     the smallest id reachable over links, itself included; null ids are passed over while another one is there.
-    A null text counts as empty; equal texts link, repeated rows included. at_least: rows of the component
-    that bear component_id (over 1 only where ids repeat). Other columns are not looked at. An empty table
-    gives an empty result.
+    A null text counts as empty; equal texts link, repeated rows included. Other columns are not looked at. An
+    empty table gives an empty result.
     """
-    rows = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    marks = written(rows.select("fp").distinct(), "marks")
-    roots = components(near_links(marks, bits))
-    joined = written(
-        rows.groupBy("fp").agg(F.min("id").alias("low")).join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")),
-        "roots",
-    )
-    least = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = joined.join(least, "root").select("fp", "root", "component_id")
-    # the digits of both halves: hex() of a negative long gives all 16
-    return rows.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = labelled(docs, id_col, text_col, shingle, bits)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 3) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their group, with all their columns; one row for each group,
-    also where ids repeat (of such rows that with the smallest text stays)."""
-    found = written(simhash_groups(docs, id_col, text_col, shingle, bits), "groups")
-    ahead = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
-    ahead = written(ahead, "ahead")
-    columns = docs.columns
-    stay = lambda g: docs.join(g, docs[id_col].eqNullSafe(g["__id"]))
-    once = stay(ahead.where("__n = 1")).select(*[docs[c] for c in columns])
-    if ahead.where("__n > 1").isEmpty():
-        return once
-    raise NotImplementedError
+    also where ids are null or repeat."""
+    found = written(labelled(docs, id_col, text_col, shingle, bits), "labelled")
+    stays = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), F.col("root").alias("__root"))
+    again = written(found.groupBy(F.col("id").alias("__again")).count().where("count > 1").select("__again"), "again")
+    if again.isEmpty():
+        return docs.join(stays, docs[id_col].eqNullSafe(stays["__id"]), "left_semi")
+    mark = F.pandas_udf(lambda texts: texts.map(lambda t: int(np.uint64(fingerprint(t, shingle)).view(np.int64))), T.LongType())
+    stays_once = stays.join(again, stays["__id"].eqNullSafe(again["__again"]), "left_anti")
+    once = docs.join(stays_once, docs[id_col].eqNullSafe(stays_once["__id"]), "left_semi")
+    odd = docs.join(again, docs[id_col].eqNullSafe(again["__again"]), "left_semi").withColumn("__mark", mark(whole_text(text_col)))
+    odd = odd.join(stays.distinct(), odd[id_col].eqNullSafe(stays["__id"]) & (odd["__mark"] == stays["__fp"])).dropDuplicates(["__root"])
+    return once.unionByName(odd.select(docs.columns))
