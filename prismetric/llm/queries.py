@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash
+from . import exact_dedup, mixing, simhash, toxicity
 
 PATH = "{}/{}.parquet"
 
@@ -15,16 +15,26 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(PATH.format(sf_dir, table))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_read(spark, sf_dir, "documents"), shingle=3, bits=3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_source_mixing": op6_source_mixing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
@@ -34,4 +44,30 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY sha256(coalesce(text, '')))
     """,
+    "op6_source_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                   md5(coalesce(doc_id::VARCHAR, '')) AS o
+            FROM documents
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS place
+            FROM d GROUP BY source
+        ), w AS (SELECT *, [5, 2, 1][(place - 1) % 3 + 1] AS weight FROM s
+        ), b AS (SELECT *, (3 * source_size)::DOUBLE / weight AS bound_at FROM w
+        ), l AS (
+            SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY bound_at, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                      / sum(weight) OVER (ORDER BY bound_at, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM b
+        ), t AS (
+            SELECT *, least((3 * source_size)::DOUBLE, max(level) OVER () * weight) AS target FROM l
+        ), q AS (
+            SELECT *, round(target)::BIGINT AS quota FROM t
+        ), p AS (
+            SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+            FROM d
+        )
+        SELECT doc_id, size, source_size, target,
+               (size * (quota // greatest(source_size, 1)) + least(size, greatest(0, quota % greatest(source_size, 1) - ahead)))::BIGINT AS taken
+        FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source
+    """,
 }

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -78,3 +79,19 @@ def components(edges: DataFrame) -> DataFrame:
         later = labels.select(F.col("node").alias("to"), F.col("root").alias("end"))
         labels = pointers.pop().join(later, "to", "left").select("node", F.coalesce("end", "to").alias("root"))
     return written(labels, "labels")
+
+
+def running(df: DataFrame, group: list[str], chunk: str, order: list[str], value: str, into: str) -> DataFrame:
+    """``df`` with ``into``: the sum of ``value`` over the rows before it in its group, by (chunk, order).
+
+    Two levels: sums within (group, chunk), where a chunk is small, then an offset for each chunk, so that a
+    group of any size is shared by many tasks. Chunks must not be null.
+    """
+    inner = Window.partitionBy(*group, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*group, chunk).agg(F.sum(value).alias("__sum"))
+    names = {c: f"__{c}" for c in [*group, chunk]}
+    offsets = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(outer), F.lit(0))).drop("__sum").withColumnsRenamed(names)
+    same = [df[c].eqNullSafe(offsets[n]) for c, n in names.items()]
+    out = df.withColumn("__within", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(offsets, same)
+    return out.withColumn(into, F.col("__before") + F.col("__within")).drop("__before", "__within", *names.values())
