@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -15,37 +18,46 @@ from .shared import components, parts, whole_text, written
 
 SEED = 42
 #: Distinct fingerprints of one key that a task compares at once; a larger group is dealt anew by finer keys.
-GROUP = 4096
+GROUP = 2048
 #: Up to so many a group is compared by shifting, many groups at once.
 SMALL = 8
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """64 bits; bit b is 1 if it is set in over half the hashes of the shingles, repeats included.
+def words_of(text: str | None, shingle: int, words: int = 1) -> np.ndarray:
+    """``words`` times 64 bits; a bit is 1 if it is set in over half the hashes of the shingles, repeats included.
 
     A-Z count as a-z; words lie between ASCII white space. Fewer words than a shingle: all of them are the one
-    shingle; no word (null, empty, white space): zero.
+    shingle; no word (null, empty, white space): zero. The first 64 bits come from the hash itself, the others
+    from mixtures of it.
     """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)
-    set_bits = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
-        set_bits += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > n, bitorder="little").view(np.uint64)[0])
+    split = (text or "").encode().lower().split()
+    if not split:
+        return np.zeros(words, np.uint64)
+    n = max(1, len(split) - shingle + 1)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(split[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)
+    out = np.empty(words, np.uint64)
+    for word in range(words):
+        set_bits, turned = np.zeros(64, np.int64), mix(hashes + np.uint64(word)) if word else hashes
+        for at in range(0, n, 65536):
+            set_bits += np.unpackbits(turned[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[word] = np.packbits(2 * set_bits > n, bitorder="little").view(np.uint64)[0]
+    return out
+
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    return int(words_of(text, shingle)[0])
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp long) for every row, in two's complement."""
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int = 1) -> DataFrame:
+    """(id, fp long in two's complement, wide binary) for every row; fp is the first of the words in wide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], names=["id", "fp"])
+            marks = np.array([words_of(x.as_py(), shingle, words) for x in batch.column(1)], np.uint64).reshape(-1, words)
+            wide = [row.tobytes() for row in marks] if words > 1 else [None] * len(marks)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks[:, 0].view(np.int64)), pa.array(wide, pa.binary())], names=["id", "fp", "wide"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType())])
     return docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -91,23 +103,29 @@ def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _table(["key", "used", "fp"], mix(mix(key[rows] + np.uint64(piece + 1)) ^ (fp[rows] & mask)), np.full(rows.sum(), fixed | mask, np.uint64), fp[rows])
 
 
-def linked(fp: np.ndarray, bits: int) -> np.ndarray:
-    """Links (pairs of places) that join the same fingerprints as all pairs within ``bits`` do, one fewer than
-    members for each set so joined. All pairs are compared, in blocks; few are kept."""
-    low = np.arange(len(fp))
-    for at in range(0, len(fp), 512):
-        block = np.arange(at, min(at + 512, len(fp)))
-        one, other = np.nonzero(np.bitwise_count(fp[block][:, None] ^ fp[None, :]) <= bits)
-        one = block[one]
-        while True:  # the lower of two labels spreads until the pairs of this block agree
-            a, b = low[one], low[other]
+def forest(fp: np.ndarray, bits: int) -> np.ndarray:
+    """Pairs of places within ``bits`` that connect what all such pairs connect, without a cycle: each set takes
+    its first pair that leaves it, sets so joined become one, and so on."""
+    found = []
+    for at in range(0, len(fp), 256):
+        one, other = np.nonzero(np.bitwise_count(fp[at : at + 256, None] ^ fp[None, at:]) <= bits)
+        found.append(np.stack([one, other], 1)[one < other].astype(np.int32) + np.int32(at))
+    pairs, low, tree = np.concatenate(found), np.arange(len(fp)), [np.empty((0, 2), np.int64)]
+    while True:
+        sets = low[pairs]
+        apart = sets[:, 0] != sets[:, 1]
+        pairs, sets = pairs[apart], sets[apart]
+        if not len(pairs):
+            return np.concatenate(tree)
+        taken = np.unique(np.unique(sets.ravel(), return_index=True)[1] // 2)
+        tree.append(pairs[taken].astype(np.int64))
+        while True:
+            a, b = low[pairs[taken]].T
             if (a == b).all():
                 break
             np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
             while (low[low] != low).any():
                 low = low[low]
-    moved = np.nonzero(low != np.arange(len(fp)))[0]
-    return np.stack([low[moved], moved], 1)
 
 
 def link_runs(bits: int, group: int):
@@ -121,7 +139,7 @@ def link_runs(bits: int, group: int):
         for shift in range(1, SMALL):
             at = np.flatnonzero((key[:-shift] == key[shift:]) & small[:-shift] & (np.bitwise_count(fp[:-shift] ^ fp[shift:]) <= bits)) if len(key) > shift else np.empty(0, int)
             pairs.append(np.stack([at, at + shift], 1))
-        pairs += [linked(fp[s : s + n], bits) + s for s, n in zip(starts, sizes, strict=True) if SMALL < n <= group]
+        pairs += [forest(fp[s : s + n], bits) + s for s, n in zip(starts, sizes, strict=True) if SMALL < n <= group]
         found = np.concatenate(pairs)
         if len(found):
             ends = np.unique(np.sort(fp[found], axis=1), axis=0)
@@ -190,11 +208,94 @@ def near_links(marks: DataFrame, bits: int = 3, group: int = GROUP) -> DataFrame
     return out if out is not None else spark.createDataFrame([], "a long, b long")
 
 
-def labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, bits: int) -> DataFrame:
-    """(id, fp, root, component_id) for every row; root stands for the component also where ids are null or repeat."""
-    rows = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    marks = written(rows.groupBy("fp").agg(F.min("id").alias("low")), "marks")
-    roots = components(near_links(marks.select("fp"), bits)).withColumnRenamed("node", "fp")
+def expected_share(similarity: float) -> float:
+    """Of SimHash bits, the share that differs between texts whose shingle sets have this Jaccard similarity (equal sizes)."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+@dataclass(frozen=True)
+class Search:
+    """How texts of at least ``similarity`` are found: ``segments`` of ``length`` bits of a wide fingerprint, each
+    under all its one-wildcard variants; ``words`` in all, the first one being compared within a group."""
+
+    length: int
+    segments: int
+    words: int
+    near: int
+    share: float
+
+
+def search_for(rows: int, similarity: float, recall: float = 0.9) -> Search:
+    """Segments so long that unlike texts rarely share a variant among ``rows`` texts, and so many that texts just
+    at the similarity share one with probability ``recall`` (more alike ones: far more often)."""
+    share = expected_share(similarity)
+    length = max(16, math.ceil(math.log2(max(rows, 2))) + 2)
+    one = (1 - share) ** length + length * share * (1 - share) ** (length - 1)
+    segments = math.ceil(math.log(1 - recall) / math.log(1 - one))
+    words = max(8, 1 + -(-segments * length // 64))
+    spread = math.sqrt(share * (1 - share))
+    return Search(length, segments, words, round(64 * share + 1.5 * 8 * spread), share + spread / math.sqrt(64 * words))
+
+
+def wide_variants(how: Search):
+    """(key, used, fp) rows: every one-wildcard variant of every segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in (batch.slice(at, 2000) for at in range(0, batch.num_rows, 2000)):
+                fp = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                bits = np.unpackbits(np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint8).reshape(len(fp), -1)[:, 8:], axis=1, bitorder="little")
+                for segment in range(how.segments):
+                    cut = bits[:, segment * how.length : (segment + 1) * how.length].astype(np.uint64)
+                    value = (cut << np.arange(how.length, dtype=np.uint64)).sum(1, dtype=np.uint64)
+                    for bit in range(how.length):
+                        salt = mix(np.full(1, segment * 64 + bit + 1, np.uint64))[0]
+                        # 40 bits of a key are enough: what falls together by chance is compared and let go
+                        key = mix((value & ~np.uint64(1 << bit)) ^ salt) >> np.uint64(24)
+                        yield _table(["key", "used", "fp"], key, np.zeros(len(fp), np.uint64), fp)
+
+    return run
+
+
+def similar_links(marks: DataFrame, how: Search, group: int = GROUP) -> DataFrame:
+    """Links (a, b) between ``marks(fp, wide)``: pairs that share a segment variant, differ in at most ``how.near``
+    bits of fp, and in at most ``how.share`` of all bits. In each group that shares a variant a cycle-free part of
+    the links stands for all. A group over the bound is cut into blocks, every two of which meet in one task."""
+    spark = marks.sparkSession
+    rows = marks.select("fp", "wide").mapInArrow(wide_variants(how), ROWS)
+    count = how.segments * how.length * marks.count()
+    deal = lambda r, n: r.repartition(parts(spark, n, 2_000_000), "key").sortWithinPartitions("key")
+    found = written(deal(rows, count).mapInArrow(link_runs(how.near, group), LINKS), "links")
+    links = found.where("not hot").select(F.col("key").alias("a"), F.col("fp").alias("b"))
+    hot = found.where("hot").select("key", "fp")
+    if not hot.isEmpty():
+        sizes = hot.groupBy(F.col("key").alias("of")).agg(F.ceil(F.count(F.lit(1)) / (group // 2)).cast("int").alias("blocks"))
+        cut = hot.join(sizes, F.col("key") == F.col("of")).withColumn("one", F.pmod(F.xxhash64("fp"), "blocks"))
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pair = cut.select(F.xxhash64("key", F.least("one", "other"), F.greatest("one", "other")).alias("key"), F.lit(0).cast("long").alias("used"), "fp")
+        again = written(deal(pair, pair.count()).mapInArrow(link_runs(how.near, 1 << 62), LINKS), "links")
+        links = links.union(again.select(F.col("key").alias("a"), F.col("fp").alias("b")))
+    links = links.distinct()
+    end = lambda c: marks.select(F.col("fp").alias(c), F.col("wide").alias(f"wide_{c}"))
+    apart = F.pandas_udf(_apart, T.DoubleType())
+    return links.join(end("a"), "a").join(end("b"), "b").where(apart("wide_a", "wide_b") <= how.share).select("a", "b")
+
+
+def _apart(one: pd.Series, other: pd.Series) -> pd.Series:
+    if not len(one):
+        return pd.Series([], dtype=float)
+    bits = [np.frombuffer(b"".join(x), np.uint64).reshape(len(x), -1) for x in (one, other)]
+    return pd.Series(np.bitwise_count(bits[0] ^ bits[1]).sum(1) / (64 * bits[0].shape[1]))
+
+
+def labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, bits: int | None, similarity: float | None = None) -> DataFrame:
+    """(id, fp, root, component_id) for every row; root stands for the component also where ids are null or repeat.
+    Texts link within ``bits`` of the 64-bit fingerprint, or by ``similarity``."""
+    how = search_for(docs.count(), similarity) if similarity else None
+    rows = written(fingerprints(docs, id_col, text_col, shingle, how.words if how else 1), "fingerprints")
+    marks = written(rows.groupBy("fp").agg(F.min("id").alias("low"), F.min("wide").alias("wide")), "marks")
+    links = similar_links(marks, how) if how else near_links(marks.select("fp"), bits)
+    roots = components(links).withColumnRenamed("node", "fp")
     rooted = written(marks.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "roots")
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     return rows.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp").select("id", "fp", "root", "component_id")
@@ -212,10 +313,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 3) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their group, with all their columns; one row for each group,
-    also where ids are null or repeat."""
-    found = written(labelled(docs, id_col, text_col, shingle, bits), "labelled")
+    also where ids are null or repeat. Texts link by the similarity of their shingles that wide fingerprints show."""
+    found = written(labelled(docs, id_col, text_col, shingle, None, similarity), "labelled")
     stays = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), F.col("root").alias("__root"))
     again = written(found.groupBy(F.col("id").alias("__again")).count().where("count > 1").select("__again"), "again")
     if again.isEmpty():
