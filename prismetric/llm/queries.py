@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, licences, mixing, packing, pii, simhash, token_counts, toxicity
+from . import embedding_dedup, exact_dedup, licences, mixing, packing, pii, repeats, simhash, token_counts, toxicity
 
 PATH = "{}/{}.parquet"
 
@@ -46,6 +46,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.drop_repeats(_read(spark, sf_dir, "documents"), window=100)
+
+
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(_read(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_pii": op5_pii,
     "op6_source_mixing": op6_source_mixing,
+    "op7_repeats": op7_repeats,
     "op8_licence_scan": op8_licence_scan,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
