@@ -129,7 +129,7 @@ def _profiled(args: argparse.Namespace, path: str, conf: settings.LoadedConfig,
 
 
 def _worst(report: ProfileReport) -> tuple[float, str, str]:
-    return max(((f.confidence, f.kind, c.name) for c in report.columns for f in c.pii), default=(0.0, "", ""))
+    return max(((f.confidence, f.kind, c.name) for c in report.columns for f in c.pii), key=lambda x: x[0], default=(0.0, "", ""))
 
 
 def summon(args: argparse.Namespace, conf: settings.LoadedConfig, voice: voices.Persona) -> int:

@@ -116,6 +116,7 @@ def dumps(report: ProfileReport, form: str, **options: Any) -> str:
 
 # What needs no quotes in YAML.
 PLAIN = re.compile(r"(?![-%@>!])[A-Za-z0-9_./+()= @%<>!,-]+")
+NUMBERISH = re.compile(r"[+.]?\d[\d_.,eExX+:-]*|\.(inf|nan)", re.IGNORECASE)
 WORDS = {"null", "true", "false", "yes", "no", "on", "off", "~"}
 
 
@@ -127,7 +128,8 @@ def yaml_scalar(value: Any) -> str:
     if isinstance(value, int | float):
         return repr(value)
     text = str(value)
-    return text if PLAIN.fullmatch(text) and text.lower() not in WORDS else json.dumps(text, ensure_ascii=False)
+    plain = PLAIN.fullmatch(text) and text.lower() not in WORDS and not NUMBERISH.fullmatch(text)
+    return text if plain else json.dumps(text, ensure_ascii=False)
 
 
 def yaml_lines(value: Any) -> Iterator[str]:

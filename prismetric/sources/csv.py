@@ -56,7 +56,7 @@ def kind_of(i: int) -> list[Column]:
     fits["bigint"] = fits["bigint"] & ~v.rlike(ZERO_LED)
     fits["double"] = fits["double"] & ~v.rlike(ZERO_LED)
     fits["timestamp_ntz"] = fits["timestamp_ntz"] | fits["date"]
-    return [F.count(v).alias(f"n{i}"), *(F.count_if(~ok).alias(f"{kind}{i}") for kind, ok in fits.items())]
+    return [F.count(v).alias(f"n{i}"), *(F.count_if(v.isNotNull() & ~ok).alias(f"{kind}{i}") for kind, ok in fits.items())]
 
 
 def names(head: list[str | None]) -> list[str]:
