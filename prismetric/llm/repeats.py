@@ -3,11 +3,15 @@
 Texts are cut into phrases where a rolling hash of ``TRIGGER`` bytes is least among those of a window of the
 given length; each phrase starts with its trigger and overlaps the next one by it. Unlike triggers taken at a
 fixed residue, these stand in every window, and equal windows have theirs at the same place. So every window
-belongs to one trigger, and equal windows belong to equal triggers: the triggers that occur once are the
-dictionary's unique phrases, and no window that belongs to them repeats. What belongs to the others (a phrase with
-as much before and behind as its windows reach) is sorted by content, and by place in the corpus within equal
-content: the suffix order of dictionary and parse together, to the depth of a window and for repeated phrases
-only. The first of each run of equals is where a window starts first; the others are repeats.
+belongs to one trigger, and equal windows belong to equal triggers. A phrase here is a trigger with as much text
+before and behind as the windows reach that belong to it; the dictionary is the set of phrases, the parse the
+list of their places.
+
+All windows of a phrase that the parse has had before are repeats: for these, hashes of dictionary and parse are
+enough. Only phrases that differ, but share their trigger, are looked at byte by byte: their windows are sorted
+by content and, within equal content, by place in the corpus. That is the suffix order of dictionary and parse
+together, to the depth of a window, where suffixes can agree at all. The first of each run of equals is where a
+window starts first; the others are repeats.
 """
 
 from __future__ import annotations
@@ -26,9 +30,9 @@ from .shared import parts, whole_text, written
 TRIGGER = 32
 #: Bytes parsed at once, windows sorted at once, and windows of one trigger that a task sorts at most.
 PIECE, WINDOWS, GROUP = 1 << 20, 1 << 20, 1 << 20
-#: Anchors of which a task looks for repeats before they are dealt out.
-ANCHORS = 1 << 19
-NEW, KNOWN, PROBE = 0, 1, 2
+#: Phrases among which a task looks for repeats before they are dealt out.
+PHRASES = 1 << 19
+NEW, CUT = 0, 1
 LOWEST = -(1 << 63)
 
 
@@ -64,8 +68,9 @@ def rolled(data: np.ndarray, length: int) -> np.ndarray:
         power = _join(power[: -size // 2], power[size // 2 :])
 
 
-def triggers(data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first, last): each trigger and the starts of the windows that belong to it."""
+def phrases(data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(trigger, content, first, last): each phrase's trigger and its whole content as hashes, and the starts of the
+    windows that belong to it. The first and the last window cover a phrase."""
     hashes = mix(rolled(data, TRIGGER))
     order = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
     span, size, least = window - TRIGGER + 1, 1, order
@@ -75,42 +80,55 @@ def triggers(data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.
     least = np.minimum(least[: len(hashes) - span + 1], least[span - size :])
     place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return hashes[place[first]], place[first], first, np.r_[first[1:], len(place)] - 1
+    last = np.r_[first[1:], len(place)] - 1
+    windows = rolled(data, window)
+    content = mix(windows[first] ^ mix(windows[last] + (last - first).astype(np.uint64)))
+    return hashes[place[first]], content, first, last
 
 
 def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def _parse(window: int):
-    """(id, hash, text) to anchors (state, deal, trigger, id, hash, place, first, last).
+PARSE = "state int, deal long, trigger long, content long, id long, hash long, first long, last long"
 
-    Anchors whose trigger repeats within the task are known to repeat, and stay out of the comparison, but for one
-    that tells other tasks of it; so a trigger of any frequency is a row for each task there.
-    """
-    names = ["state", "deal", "trigger", "id", "hash", "place", "first", "last"]
+
+def _parse(window: int):
+    """(id, hash, text) to phrases; one that the task has had before is cut at once (its last is then where the cut
+    ends), and neighbouring cuts are one. So a phrase of any frequency is dealt out once for each task."""
+    names = [x.split()[0] for x in PARSE.split(", ")]
 
     def told(held: list[tuple]) -> pa.RecordBatch:
-        trigger, key, text, place, first, last = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, start, back, count = np.unique(trigger, return_index=True, return_inverse=True, return_counts=True)
-        again = count[back] > 1
-        probes = start[count > 1]
-        rows = np.r_[np.arange(len(trigger)), probes]
-        state = np.r_[np.where(again, KNOWN, NEW), np.full(len(probes), PROBE)]
-        # known ones are dealt by their place, not by the trigger
-        deal = np.where(state == KNOWN, mix(text[rows].view(np.uint64) + place[rows].astype(np.uint64)).view(np.int64), trigger[rows].view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(state.astype(np.int32)), pa.array(deal), *(_longs(x[rows]) for x in (trigger, key, text, place, first, last))], names=names)
+        held.sort(key=lambda h: h[:3])
+        held = [h for i, h in enumerate(held) if not i or h[:3] != held[i - 1][:3]]  # rows that repeat id and text
+        trigger, content, first, last = (np.concatenate(x) for x in zip(*(h[3:] for h in held), strict=True))
+        sizes = [len(h[3]) for h in held]
+        key, text = (np.repeat(np.array([h[k] for h in held], np.int64), sizes) for k in (0, 1))
+        both = mix(trigger ^ mix(content))
+        new = np.zeros(len(both), bool)
+        new[np.unique(both, return_index=True)[1]] = True
+        # runs of cuts that touch
+        cut = np.flatnonzero(~new)
+        joined = np.r_[False, (cut[1:] == cut[:-1] + 1) & (key[cut[1:]] == key[cut[:-1]]) & (text[cut[1:]] == text[cut[:-1]]) & (first[cut[1:]] == last[cut[:-1]] + 1)]
+        begin = np.flatnonzero(~joined)
+        end = np.r_[begin[1:], len(cut)][: len(begin)] - 1
+        begin, end, new = cut[begin], cut[end], np.flatnonzero(new)
+        rows = np.r_[new, begin]
+        state = np.r_[np.full(len(new), NEW), np.full(len(begin), CUT)].astype(np.int32)
+        deal = np.where(state == NEW, trigger[rows].view(np.int64), mix(text[rows].view(np.uint64) + first[rows].astype(np.uint64)).view(np.int64))
+        until = np.r_[last[new], last[end] + window]
+        return pa.RecordBatch.from_arrays([pa.array(state), pa.array(deal), *(_longs(x[rows]) for x in (trigger, content, key, text, first)), _longs(until)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for key, text, value in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                data = np.frombuffer(value.encode(), np.uint8)
+            for key, text, value in zip(*(batch.column(c) for c in range(3)), strict=True):
+                data = np.frombuffer(value.as_py().encode(), np.uint8)
                 for at in range(0, len(data) - window + 1, PIECE):
-                    trigger, place, first, last = triggers(data[at : at + PIECE + window - 1], window)
-                    held.append((trigger, np.full(len(trigger), key), np.full(len(trigger), text), place + at, first + at, last + at))
+                    trigger, content, first, last = phrases(data[at : at + PIECE + window - 1], window)
+                    held.append((key.as_py(), text.as_py(), at, trigger, content, first + at, last + at))
                     size += len(trigger)
-                    if size >= ANCHORS:
+                    if size >= PHRASES:
                         yield told(held)
                         held, size = [], 0
         if held:
@@ -119,27 +137,48 @@ def _parse(window: int):
     return run
 
 
-def _repeating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by trigger those whose trigger another row has too; probes only bear witness."""
-    before, waiting = None, None
-    for batch in batches:
-        state = batch.column("state").to_numpy(zero_copy_only=False)
-        trigger = batch.column("trigger").to_numpy(zero_copy_only=False)
-        same = np.r_[False, trigger[1:] == trigger[:-1]]
-        twice = same | np.r_[same[1:], False]
-        if waiting is not None and len(trigger):
-            if trigger[0] == before[0] or before[1]:
-                yield waiting
-            waiting = None
-        if len(trigger):
-            if before is not None and trigger[0] == before[0]:
-                twice[0] = True
-            before = (trigger[-1], bool(twice[-1]))
-            out = (state == KNOWN) | (twice & (state == NEW))
-            columns = batch.select(["trigger", "id", "hash", "place", "first", "last"])
-            if not out[-1] and state[-1] == NEW:
-                waiting = columns.slice(len(trigger) - 1)
-            yield columns.filter(pa.array(out))
+REPEATING = "state int, trigger long, id long, hash long, first long, last long"
+
+
+def _repeating(window: int):
+    """Rows sorted by trigger, content and place: what has the content of the row before is cut; of a trigger with
+    several contents the first row of each stays in question (state new); all else is unique and goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, waiting = None, None  # the last row seen; the first of its trigger, while all have had its content
+        for batch in batches:
+            names = ("state", "trigger", "content", "id", "hash", "first", "last")
+            state, *rest = (batch.column(c).to_numpy(zero_copy_only=False) for c in names)
+            done = np.flatnonzero(state == CUT)
+            todo = np.flatnonzero(state == NEW)
+            trigger, content, key, text, first, last = (x[todo] for x in rest)
+            out = [np.stack([np.full(len(done), CUT), *(rest[k][done] for k in (0, 2, 3, 4, 5))])]
+            if len(todo):
+                old = before if before is not None else (~trigger[0], 0, 0, 0, 0)
+                shift = lambda x, k, old=old: np.r_[np.array([old[k]], np.int64), x[:-1]]
+                same_trigger = trigger == shift(trigger, 0)
+                same = same_trigger & (content == shift(content, 1))
+                again = same & (key == shift(key, 2)) & (text == shift(text, 3)) & (first == shift(first, 4))
+                cut = same & ~again
+                other = same_trigger & ~same  # another content of the same trigger
+                open_ = other.copy()
+                # the first row of a trigger is in question as soon as another content follows
+                start = np.flatnonzero(~same_trigger)
+                owner = np.searchsorted(start, np.arange(len(todo)), side="right") - 1
+                open_[start[np.unique(owner[other & (owner >= 0)])]] = True
+                if waiting is not None and (other & (owner < 0)).any():
+                    out.append(waiting)
+                    waiting = None
+                if len(start):
+                    s = start[-1]
+                    waiting = None if open_[s] else np.array([[NEW], *([x[s]] for x in (trigger, key, text, first, last))])
+                before = tuple(x[-1] for x in (trigger, content, key, text, first))
+                for mask, kind, end in ((cut, CUT, last + window), (open_, NEW, last)):
+                    out.append(np.stack([np.full(mask.sum(), kind), *(x[mask] for x in (trigger, key, text, first, end))]))
+            rows = np.concatenate(out, axis=1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int32)), *(pa.array(x) for x in rows[1:])], names=["state", "trigger", "id", "hash", "first", "last"])
+
+    return run
 
 
 class Sorted:
@@ -157,11 +196,10 @@ class Sorted:
         self.rows.append((trigger, key, text, first, context))
         self.windows += len(context) - self.window + 1
 
-    def solved(self) -> tuple[list[tuple], list[tuple]]:
-        """(cuts, rest): (id, hash, start, end) of bytes that repeat; and the contexts, as far as windows are left that
-        come first here."""
+    def solved(self) -> list[tuple]:
+        """(id, hash, start, end) of bytes that repeat."""
         if not self.rows:
-            return [], []
+            return []
         rows = sorted(self.rows, key=lambda r: (r[1], r[2], r[3]))
         w = self.window
         sizes = np.array([len(r[4]) for r in rows])
@@ -187,15 +225,8 @@ class Sorted:
         stops = np.flatnonzero(repeat & ~np.r_[repeat[1:] & (row[1:] == row[:-1]), False])
         starts = edge[repeat[edge]]
         cuts = [(int(doc[a][0]), int(doc[a][1]), int(place[a]), int(place[b]) + w) for a, b in zip(starts, stops, strict=True)]
-        fresh = np.flatnonzero(~repeat)
-        left, first = np.unique(row[fresh], return_index=True)
-        last = np.r_[first[1:], len(fresh)] - 1
-        rest = []
-        for r, a, b in zip(left, at[fresh[first]], at[fresh[last]], strict=True):
-            trigger, key_, text, start, context = rows[r]
-            rest.append((trigger, key_, text, start + int(a), context[a : b + w]))
         self.clear()
-        return cuts, rest
+        return cuts
 
 
 FOUND = "trigger long, id long, hash long, first long, last long, context binary"
@@ -208,20 +239,21 @@ def _found(cuts: list[tuple], rest: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), context], names=["trigger", "id", "hash", "first", "last", "context"])
 
 
+CONTEXT = "trigger long, id long, hash long, first long, context binary"
+
+
 def _contexts(window: int):
-    """(id, hash, packed, anchors) to what repeats within the task (cuts) and contexts that may repeat elsewhere."""
+    """(id, hash, packed, phrases) to the bytes of each phrase in question."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, open_ = Sorted(window), zstandard.ZstdDecompressor()
+        open_ = zstandard.ZstdDecompressor()
         for batch in batches:
-            for key, text, packed, anchors in zip(*(batch.column(c) for c in ("id", "hash", "packed", "anchors")), strict=True):
-                data = open_.decompress(packed.as_py())
-                struct = anchors.values
-                for trigger, first, last in zip(*(struct.field(c).to_pylist() for c in ("trigger", "first", "last")), strict=True):
-                    held.add(trigger, key.as_py(), text.as_py(), first, data[first : last + window])
-                    if held.windows >= WINDOWS:
-                        yield from _found(*held.solved())
-        yield from _found(*held.solved())
+            for key, text, packed, found in zip(*(batch.column(c) for c in ("id", "hash", "packed", "phrases")), strict=True):
+                data, struct = open_.decompress(packed.as_py()), found.values
+                first, last = (struct.field(c).to_pylist() for c in ("first", "last"))
+                context = pa.array([data[a : b + window] for a, b in zip(first, last, strict=True)], pa.binary())
+                n = len(first)
+                yield pa.RecordBatch.from_arrays([struct.field("trigger"), pa.array([key.as_py()] * n, pa.int64()), pa.array([text.as_py()] * n, pa.int64()), struct.field("first"), context], names=["trigger", "id", "hash", "first", "context"])
 
     return run
 
@@ -242,10 +274,12 @@ def _cuts(window: int, group: int):
         for batch in batches:
             for t, key, text, first, context in zip(*(batch.column(c).to_pylist() for c in ("trigger", "id", "hash", "first", "context")), strict=True):
                 if t != trigger:
+                    if hot:
+                        yield from _found([], own.rows)
                     closed()
                     trigger, hot = t, False
                     if held.windows >= WINDOWS:
-                        yield from _found(held.solved()[0], [])
+                        yield from _found(held.solved(), [])
                 own.add(t, key, text, first, context)
                 if own.windows > group or hot:
                     hot = True
@@ -255,7 +289,7 @@ def _cuts(window: int, group: int):
         if hot:
             yield from _found([], own.rows)
         closed()
-        yield from _found(held.solved()[0], [])
+        yield from _found(held.solved(), [])
 
     return run
 
@@ -321,19 +355,18 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark, text = docs.sparkSession, whole_text(text_col)
     rows = docs.select(F.col(id_col).alias("out_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
-    anchors = rows.select("id", "hash", "text").mapInArrow(_parse(window), "state int, deal long, trigger long, id long, hash long, place long, first long, last long")
+    parsed = rows.select("id", "hash", "text").mapInArrow(_parse(window), PARSE)
     n = docs.count()
-    dealt = anchors.repartition(parts(spark, n, 20_000), "deal").sortWithinPartitions("trigger")
-    repeating = written(dealt.mapInArrow(_repeating, "trigger long, id long, hash long, place long, first long, last long"), "repeating")
+    dealt = parsed.repartition(parts(spark, n, 20_000), "deal").sortWithinPartitions("trigger", "content", "id", "hash", "first")
+    repeating = written(dealt.mapInArrow(_repeating(window), REPEATING), "repeating")
 
     texts = rows.mapInArrow(_packed, f"out_id {kind}, id long, hash long, packed binary")
-    of_text = repeating.groupBy("id", "hash").agg(F.collect_set(F.struct("trigger", "first", "last")).alias("anchors"))
+    of_text = repeating.where(F.col("state") == NEW).groupBy("id", "hash").agg(F.collect_set(F.struct("trigger", "first", "last")).alias("phrases"))
     with_text = texts.select("id", "hash", "packed").join(of_text.hint("shuffle_hash"), ["id", "hash"])
-    found = written(with_text.mapInArrow(_contexts(window), FOUND), "contexts")
-    rest = found.where("context is not null").drop("last")
-    sorted_ = rest.repartition(parts(spark, n, 20_000), "trigger").sortWithinPartitions("trigger")
+    contexts = with_text.mapInArrow(_contexts(window), CONTEXT)
+    sorted_ = contexts.repartition(parts(spark, n, 20_000), "trigger").sortWithinPartitions("trigger")
     again = written(sorted_.mapInArrow(_cuts(window, group), FOUND), "cuts")
-    cuts = found.where("context is null").unionByName(again.where("context is null")).select("id", "hash", "first", "last")
+    cuts = repeating.where(F.col("state") == CUT).unionByName(again.where("context is null").withColumn("state", F.lit(CUT)).drop("context")).select("id", "hash", "first", "last")
     hot = again.where("context is not null")
     if not hot.isEmpty():
         windows = hot.mapInArrow(_each_window(window), "h1 long, h2 long, id long, hash long, first long")
