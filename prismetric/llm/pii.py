@@ -90,8 +90,15 @@ def telling(docs: DataFrame, spans: DataFrame, beside: DataFrame, text_col: str,
     """(entity, term, share): terms whose pointwise mutual information with an entity is at least ``share`` of the
     entity's own information, over distinct texts. A pair counts from ``support`` texts on; each term's frequency
     is taken over all texts. Terms are broadcast while there are at most ``bound`` of them."""
+    n = docs.count()
+    of_entity = spans.select(F.xxhash64("kind", F.lower("match")).alias("entity"), "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    own = F.log2(F.lit(n) / F.col("n_entity"))
+    mutual = lambda n_term: F.log2(F.col("both") * F.lit(n) / (F.col(n_term) * F.col("n_entity")))
     pairs = beside.groupBy("entity", "term").agg(F.count_distinct("text_hash").alias("both")).where(F.col("both") >= support)
-    pairs = written(pairs, "pairs")
+    # a term is in at least as many texts as it has beside some entity: what can't reach the share by that goes at once
+    around = beside.select("term", "text_hash").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_around"))
+    pairs = pairs.join(of_entity, "entity").where(own > 0).join(around, "term").where(mutual("n_around") / own >= share)
+    pairs = written(pairs.select("entity", "term", "both", "n_entity"), "pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("share"))
     terms = written(pairs.select("term").distinct(), "terms")
@@ -99,12 +106,8 @@ def telling(docs: DataFrame, spans: DataFrame, beside: DataFrame, text_col: str,
     words = docs.select(F.xxhash64(text).alias("text_hash"), F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word"))
     held = F.broadcast(terms) if terms.count() <= bound else terms
     of_term = words.join(held, F.col("word") == F.col("term")).select("term", "text_hash").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    of_entity = spans.select(F.xxhash64("kind", F.lower("match")).alias("entity"), "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    n = docs.count()
-    own = F.log2(F.lit(n) / F.col("n_entity"))
-    mutual = F.log2(F.col("both") * F.lit(n) / (F.col("n_term") * F.col("n_entity")))
-    found = pairs.join(of_term, "term").join(of_entity, "entity").withColumn("share", mutual / own)
-    return written(found.where((own > 0) & (F.col("share") >= share)).select("entity", "term", "share"), "telling")
+    found = pairs.join(of_term, "term").withColumn("share", mutual("n_term") / own)
+    return written(found.where(F.col("share") >= share).select("entity", "term", "share"), "telling")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, share: float = 0.8, bound: int = 20_000) -> tuple[DataFrame, DataFrame]:
