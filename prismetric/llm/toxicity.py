@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .shared import whole_text
 
 WORD = re.compile(r"\w+")
-CACHE = 200_000
+CACHE = 100_000
 
 
 @dataclass(frozen=True)
@@ -107,12 +107,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], names=["turn", "found", "label"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        rows.sort(key=lambda r: (r[0], r[1]))
-        examples = [(np.frombuffer(found, np.int32), label) for _, found, label in rows]
-        if len({label for _, label in examples}) == 2:
-            places, weights, bias = fit(examples, how)
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *places.tolist()], pa.int32()), pa.array([bias, *weights.tolist()])], names=["place", "weight"])
+        # each batch's features lie in one array, which goes back to the system at the end
+        turns, labels, places, ends = [], [], [], []
+        for batch in batches:
+            found = batch.column(1).to_pylist()
+            places.append(np.frombuffer(b"".join(found), np.int32))
+            ends.append(np.cumsum([len(f) // 4 for f in found]))
+            turns += batch.column(0).to_pylist()
+            labels += batch.column(2).to_pylist()
+        if len(set(labels)) == 2:
+            rows = [x for at, end in zip(places, ends, strict=True) for x in np.split(at, end[:-1])]
+            order = sorted(range(len(rows)), key=lambda k: (turns[k], labels[k]))
+            found, weights, bias = fit([(rows[k], labels[k]) for k in order], how)
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *found.tolist()], pa.int32()), pa.array([bias, *weights.tolist()])], names=["place", "weight"])
 
     got = texts.mapInArrow(featured, "turn long, found binary, label int").repartition(1).mapInArrow(learn, "place int, weight double").toArrow()
     place, weight = got.column(0).to_numpy(), got.column(1).to_numpy()
@@ -121,23 +128,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return place[place >= 0], weight[place >= 0], float(weight[place < 0][0])
 
 
-def scorer(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None, bits: int):
-    """A function from a text column to the score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    kept: list = []
+Model = tuple[np.ndarray, np.ndarray, float]
+
+
+class Scorer:
+    """Scores texts by a model; made anew in each task from the few weights that aren't zero."""
 
-    def score(texts):
-        if not kept:
-            dense = np.zeros(1 << bits, np.float32)
-            if held.value:
-                dense[held.value[0]] = held.value[1]
-            kept.extend([dense, Features(bits)])
-        dense, features = kept
-        if held.value is None:
-            return texts.map(lambda t: 0.0).astype(float)
-        return texts.map(lambda t: 1 / (1 + math.exp(-max(-35.0, min(35.0, float(dense[features(t)].sum()) + held.value[2]))))).astype(float)
+    def __init__(self, model: Model | None, bits: int):
+        self.model, self.features = model, Features(bits)
+        self.dense = np.zeros(1 << bits, np.float32)
+        if model:
+            self.dense[model[0]] = model[1]
 
-    return F.pandas_udf(score, T.DoubleType())
+    def __call__(self, text: str) -> float:
+        if self.model is None:
+            return 0.0
+        return 1 / (1 + math.exp(-max(-35.0, min(35.0, float(self.dense[self.features(text)].sum()) + self.model[2]))))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, how: Training = Training()) -> DataFrame:
@@ -147,12 +153,28 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scores as the bias says. Without labelled rows of both kinds every score is 0. Repeated rows are scored
     alike; other columns are not looked at; an empty table gives an empty result.
     """
-    score = scorer(docs, train(docs, labels, id_col, text_col, label_col, how), how.bits)
-    scored = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), score(whole_text(text_col)).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, how))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(model.value, how.bits)
+        for batch in batches:
+            scores = pa.array([score(t.as_py()) for t in batch.column(2)], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], names=["id", "held_out", "score"])
 
+    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), whole_text(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = rows.mapInArrow(scored, f"id {kind}, held_out boolean, score double")
+    return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, how: Training = Training()) -> DataFrame:
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, how: Training = Training()) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    score = scorer(docs, train(docs, labels, id_col, text_col, label_col, how), how.bits)
-    return docs.where(score(whole_text(text_col)) < threshold)
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, how))
+    place = docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(model.value, how.bits)
+        for batch in batches:
+            yield batch.filter(pa.array([score(t.as_py() or "") < threshold for t in batch.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
