@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -277,15 +276,20 @@ def similar_links(marks: DataFrame, how: Search, group: int = GROUP) -> DataFram
         links = links.union(again.select(F.col("key").alias("a"), F.col("fp").alias("b")))
     links = links.distinct()
     end = lambda c: marks.select(F.col("fp").alias(c), F.col("wide").alias(f"wide_{c}"))
-    apart = F.pandas_udf(_apart, T.DoubleType())
-    return links.join(end("a"), "a").join(end("b"), "b").where(apart("wide_a", "wide_b") <= how.share).select("a", "b")
+    return links.join(end("a"), "a").join(end("b"), "b").select("a", "b", "wide_a", "wide_b").mapInArrow(_close(how.share), "a long, b long")
 
 
-def _apart(one: pd.Series, other: pd.Series) -> pd.Series:
-    if not len(one):
-        return pd.Series([], dtype=float)
-    bits = [np.frombuffer(b"".join(x), np.uint64).reshape(len(x), -1) for x in (one, other)]
-    return pd.Series(np.bitwise_count(bits[0] ^ bits[1]).sum(1) / (64 * bits[0].shape[1]))
+def _close(share: float):
+    """Of links with the wide fingerprints of their ends those that differ in at most ``share`` of the bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (2, 3))
+                near = np.bitwise_count(one ^ other).sum(1) <= share * 64 * one.shape[1]
+                yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return run
 
 
 def labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, bits: int | None, similarity: float | None = None) -> DataFrame:
@@ -321,7 +325,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     again = written(found.groupBy(F.col("id").alias("__again")).count().where("count > 1").select("__again"), "again")
     if again.isEmpty():
         return docs.join(stays, docs[id_col].eqNullSafe(stays["__id"]), "left_semi")
-    mark = F.pandas_udf(lambda texts: texts.map(lambda t: int(np.uint64(fingerprint(t, shingle)).view(np.int64))), T.LongType())
+    mark = F.udf(lambda t: int(np.uint64(fingerprint(t, shingle)).view(np.int64)), T.LongType())
     stays_once = stays.join(again, stays["__id"].eqNullSafe(again["__again"]), "left_anti")
     once = docs.join(stays_once, docs[id_col].eqNullSafe(stays_once["__id"]), "left_semi")
     odd = docs.join(again, docs[id_col].eqNullSafe(again["__again"]), "left_semi").withColumn("__mark", mark(whole_text(text_col)))
