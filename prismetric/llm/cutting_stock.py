@@ -99,36 +99,61 @@ def solve(weights: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0
     return columns.T[use].round().astype(np.int64), amounts[use]
 
 
-def plan(lengths: dict[int, int], capacity: int, fine: int = 16) -> list[tuple[dict[int, int], int]]:
-    """(pattern as class end -> items, number of sequences) for items by length: every item is placed.
+def classes(lengths: dict[int, int], capacity: int, fine: int = 16, heavy: int = 100) -> dict[int, int]:
+    """Each length's class, as the length that items of it count as: the largest that occurs in it. A length that holds
+    one of ``heavy`` items or more is a class of its own."""
+    total, ends = sum(lengths.values()), length_classes(capacity, fine)
+    own = {x: x for x, n in lengths.items() if n * heavy >= total}
+    together: dict[int, list[int]] = {}
+    for x in lengths.keys() - own.keys():
+        together.setdefault(int(np.searchsorted(ends, x)), []).append(x)
+    return own | {x: max(found) for found in together.values() for x in found}
+
+
+def plan(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """(pattern as length -> items, number of sequences) for items by length: every item is placed.
 
     Counts are the linear program's, rounded down; what that leaves (fewer items than the patterns have, however
     many there are in all) goes into patterns made largest first, used as long as they last.
     """
-    ends = length_classes(capacity, fine)
-    demand = np.zeros(len(ends), np.int64)
-    for length, n in lengths.items():
-        demand[np.searchsorted(ends, length)] += n
-    use = np.flatnonzero(demand)
-    if not len(use):
+    weights = np.array(sorted(x for x, n in demand.items() if n))
+    if not len(weights):
         return []
-    weights, left = ends[use], demand[use].copy()
-    patterns, amounts = solve(weights, demand[use].astype(float), capacity)
-    out = []
+    left = np.array([demand[w] for w in weights.tolist()])
+    patterns, amounts = solve(weights, left.astype(float), capacity)
+    out: list[tuple[dict[int, int], int]] = []
+
+    def use(pattern: np.ndarray, times: int) -> None:
+        nonlocal left
+        left = left - times * pattern
+        out.append(({w: a for w, a in zip(weights.tolist(), pattern.tolist(), strict=True) if a}, times))
+
     for pattern, x in sorted(zip(patterns.tolist(), amounts, strict=True), key=lambda p: -p[1]):
         pattern = np.array(pattern)
         some = pattern > 0
         times = min(int(x + 1e-6), int((left[some] // pattern[some]).min()))  # less where a class is overfilled
         if times > 0:
-            left -= times * pattern
-            out.append(({int(w): int(a) for w, a in zip(weights[some], pattern[some], strict=True)}, times))
+            use(pattern, times)
     while left.any():
         room, pattern = capacity, np.zeros(len(left), np.int64)
         for k in np.flatnonzero(left)[::-1]:
             pattern[k] = min(left[k], room // weights[k])
             room -= pattern[k] * weights[k]
         some = pattern > 0
-        times = int((left[some] // pattern[some]).min())
-        left -= times * pattern
-        out.append(({int(w): int(a) for w, a in zip(weights[some], pattern[some], strict=True)}, times))
+        use(pattern, int((left[some] // pattern[some]).min()))
     return out
+
+
+def wasteful(patterns: list[tuple[dict[int, int], int]], capacity: int, slack: int, supply: int) -> set[int]:
+    """Places of the patterns to give up, the emptiest first, so that what is left free (``slack`` within classes, and
+    what the patterns leave) can be filled by what may be cut: ``supply``, and the items of patterns given up."""
+    used = [sum(w * a for w, a in p.items()) for p, _ in patterns]
+    free, gone = slack + sum(t * (capacity - u) for (_, t), u in zip(patterns, used, strict=True)), set()
+    for k in sorted(range(len(patterns)), key=lambda k: used[k]):
+        if free <= 0.9 * supply:
+            break
+        times = patterns[k][1]
+        free -= times * (capacity - used[k])
+        supply += times * used[k]
+        gone.add(k)
+    return gone

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .cutting_stock import length_classes, plan
+from .cutting_stock import classes, plan, wasteful
 from .shared import parts, running, whole_text, written
 
 CAPACITY = 2048
@@ -30,7 +30,7 @@ FULL, REST, FILL = 0, 1, 2
 #: Where sequence numbers of full pieces and of filled buckets begin; patterns' sequences count from 0.
 FULL_FROM, FILL_FROM = 1 << 61, 1 << 60
 
-PIECES = "kind int, uid long, {id}, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+PIECES = "kind int, uid long, {id}, turn long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 LONG_RUN = re.compile(r"\S{400}")
 
 
@@ -87,11 +87,25 @@ def _cut(tokenizer: str, capacity: int, fillers: int):
                 for at in range(0, n, step):
                     piece = ids[at : at + step].tobytes()
                     kind = kinds[len(piece) < 4 * step]
-                    rows.append((kind, uid, key, at, len(piece) // 4, zlib.crc32(piece), n, piece if kind == FILL else None))
+                    rows.append((kind, uid, key, turn, at, len(piece) // 4, zlib.crc32(piece), n, piece if kind == FILL else None))
                     uid += 1
-            types = [pa.int32(), pa.int64(), batch.schema.field(0).type, *[pa.int64()] * 4, pa.binary()]
-            columns = zip(*rows, strict=True) if rows else [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["kind", "uid", "id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+            types = [pa.int32(), pa.int64(), batch.schema.field(0).type, *[pa.int64()] * 5, pa.binary()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["kind", "uid", "id", "turn", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+
+    return run
+
+
+def _rests(tokenizer: str, capacity: int):
+    """(id, turn, text) to the ids of each text's rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = None
+        for batch in batches:
+            tokens = tokens or Tokens(tokenizer)
+            found = [tokens(t.as_py()) for t in batch.column(2)]
+            ids = pa.array([x[len(x) // capacity * capacity :].tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["id", "turn", "ids"])
 
     return run
 
@@ -187,7 +201,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     A document is the ids of its whole text (null: empty) and one id 1. It is cut into full sequences and a
     rest. The rests' lengths, in classes, give a cutting-stock problem, solved by column generation on the
     histogram (as many numbers as there are classes, whatever the input); its patterns, rounded, are dealt to
-    the rests in the order of their rank within their class. One of ``fillers`` documents, chosen by a hash of
+    the rests in the order of their rank within their class. Patterns that would stay too empty are given up, and
+    their rests may be cut (their texts are then read once more). One of ``fillers`` documents, chosen by a hash of
     id and text, goes whole into the gaps that are left, cut wherever a gap ends; what remains of them goes into
     sequences of their own, the last cut at powers of two, which need no padding. Sequence numbers are unique,
     not gapless. Null or repeated ids and repeated rows are documents like others; other columns are not looked
@@ -200,34 +215,52 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     pieces = written(rows.mapInArrow(_cut(tokenizer, capacity, fillers), PIECES.format(id=f"id {kind}")), "pieces")
     rests = pieces.where(F.col("kind") == REST)
     lengths = {r["length"]: r["n"] for r in rests.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    # each class's ranks, cut into ranges that belong to one pattern
+    supply = pieces.where(F.col("kind") == FILL).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+    # each class's ranks, cut into ranges that belong to one pattern; one that is given up has no sequences
+    of = classes(lengths, capacity)
+    demand: dict[int, int] = {}
+    for x, n in lengths.items():
+        demand[of[x]] = demand.get(of[x], 0) + n
+    patterns = plan(demand, capacity)
+    gone = wasteful(patterns, capacity, sum(n * (of[x] - x) for x, n in lengths.items()), supply)
     ranges, seen, sequences = [], {}, 0
-    for pattern, times in plan(lengths, capacity):
-        for end, items in pattern.items():
-            low = seen.get(end, 0)
-            seen[end] = low + items * times
-            ranges.append((int(end), low, seen[end], items, sequences))
-        sequences += times
-    ends = [int(e) for e in length_classes(capacity)]
-    of = F.element_at(F.lit(np.array(ends)[np.searchsorted(ends, np.arange(1, capacity))].tolist()), F.col("length").cast("int"))
-    classed = rests.drop("ids", "kind").withColumns({"class": of, "chunk": F.shiftright("uid", 16), "one": F.lit(1).cast("long")})
-    ranked = running(classed, ["class"], "chunk", ["uid"], "one", "rank")
+    for k, (pattern, times) in enumerate(patterns):
+        for length, items in pattern.items():
+            low = seen.get(length, 0)
+            seen[length] = low + items * times
+            ranges.append((length, low, seen[length], items, None if k in gone else sequences))
+        sequences += 0 if k in gone else times
+    classed = F.element_at(F.lit([of.get(x, 0) for x in range(1, capacity)]), F.col("length").cast("int")).cast("long")
+    rests = rests.drop("ids", "kind").withColumns({"class": classed, "chunk": F.shiftright("uid", 16), "one": F.lit(1).cast("long")})
+    ranked = running(rests, ["class"], "chunk", ["uid"], "one", "rank")
     schema = "class long, low long, high long, items long, first long"
     held = F.broadcast(spark.createDataFrame(ranges, schema).withColumnRenamed("class", "__class"))
     dealt = ranked.join(held, (F.col("class") == F.col("__class")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     dealt = dealt.withColumn("sequence_id", F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("items")))
+    if gone:
+        dealt = written(dealt, "dealt")
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "uid").rowsBetween(Window.unboundedPreceding, -1)
     columns = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    placed = dealt.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).select(*columns)
+    placed = dealt.where("sequence_id is not null").withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).select(*columns)
     placed = written(placed, "placed")
 
     full = pieces.where(F.col("kind") == FULL).withColumn("sequence_id", F.col("uid") + FULL_FROM).withColumn("offset", F.lit(0).cast("long")).select(*columns)
     used = placed.groupBy("sequence_id").agg(F.sum("length").alias("used")).where(F.col("used") < capacity)
-    buckets = sequences // TOGETHER + 1
+    fill = pieces.where(F.col("kind") == FILL).select("uid", "id", "start", "doc_tokens", "ids")
+    spare = 0
+    if gone:  # the rests of patterns given up are cut too: their texts are read once more
+        pool = dealt.where("sequence_id is null").select("uid", F.col("id").alias("__id"), F.col("turn").alias("__turn"), "start", "doc_tokens")
+        spare = pool.count()
+        wanted = pool.select("__id", "__turn").distinct()
+        again = rows.join(wanted, rows["id"].eqNullSafe(wanted["__id"]) & (rows["turn"] == wanted["__turn"]), "left_semi").dropDuplicates(["id", "turn"]).select("id", "turn", "text")
+        again = again.mapInArrow(_rests(tokenizer, capacity), f"id {kind}, turn long, ids binary")
+        pool = pool.join(again, again["id"].eqNullSafe(pool["__id"]) & (again["turn"] == pool["__turn"]))
+        fill = fill.unionByName(pool.select("uid", "id", "start", "doc_tokens", "ids"))
+    buckets = (sequences + spare) // TOGETHER + 1
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("long").alias("bucket")
     gaps = used.select(bucket("sequence_id"), F.lit(0).alias("kind"), F.col("sequence_id").alias("uid"), "sequence_id", "used", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("doc_tokens"), F.lit(None).cast("binary").alias("ids"))
-    fill = pieces.where(F.col("kind") == FILL).select(bucket("uid"), F.lit(1).alias("kind"), "uid", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("used"), "id", "start", "doc_tokens", "ids")
+    fill = fill.select(bucket("uid"), F.lit(1).alias("kind"), "uid", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("used"), "id", "start", "doc_tokens", "ids")
     together = gaps.unionByName(fill).repartition(parts(spark, buckets, 1), "bucket").sortWithinPartitions("bucket", "kind", "uid")
     filled = together.mapInArrow(_filled(capacity), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return full.unionByName(placed).unionByName(filled).withColumnRenamed("id", id_col)
