@@ -109,7 +109,8 @@ def _parse(window: int):
         new[np.unique(both, return_index=True)[1]] = True
         # runs of cuts that touch
         cut = np.flatnonzero(~new)
-        joined = np.r_[False, (cut[1:] == cut[:-1] + 1) & (key[cut[1:]] == key[cut[:-1]]) & (text[cut[1:]] == text[cut[:-1]]) & (first[cut[1:]] == last[cut[:-1]] + 1)]
+        joined = np.zeros(len(cut), bool)
+        joined[1:] = (cut[1:] == cut[:-1] + 1) & (key[cut[1:]] == key[cut[:-1]]) & (text[cut[1:]] == text[cut[:-1]]) & (first[cut[1:]] == last[cut[:-1]] + 1)
         begin = np.flatnonzero(~joined)
         end = np.r_[begin[1:], len(cut)][: len(begin)] - 1
         begin, end, new = cut[begin], cut[end], np.flatnonzero(new)
