@@ -55,7 +55,7 @@ def test_empty(spark):
     assert s.keep_one_of_each(cases.empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("group", [4, 16, 2048])
+@pytest.mark.parametrize("group", [40, 2048])
 def test_links_connect_as_all_pairs(spark, group):
     rng = np.random.default_rng(group)
     marks = [int(x) for x in rng.integers(-(2**63), 2**63, 40)]
