@@ -103,13 +103,18 @@ def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def forest(fp: np.ndarray, bits: int) -> np.ndarray:
-    """Pairs of places within ``bits`` that connect what all such pairs connect, without a cycle: each set takes
-    its first pair that leaves it, sets so joined become one, and so on."""
+    """Pairs of places within ``bits`` that connect what all such pairs connect, without a cycle: each set takes the
+    closest pair that leaves it, sets so joined become one, and so on. So for each lesser bound too, those of the
+    pairs that are within it connect what all within it connect."""
     found = []
     for at in range(0, len(fp), 256):
-        one, other = np.nonzero(np.bitwise_count(fp[at : at + 256, None] ^ fp[None, at:]) <= bits)
-        found.append(np.stack([one, other], 1)[one < other].astype(np.int32) + np.int32(at))
-    pairs, low, tree = np.concatenate(found), np.arange(len(fp)), [np.empty((0, 2), np.int64)]
+        apart = np.bitwise_count(fp[at : at + 256, None] ^ fp[None, at:])
+        one, other = np.nonzero(apart <= bits)
+        kept = one < other
+        found.append(np.stack([one[kept] + at, other[kept] + at, apart[one[kept], other[kept]]], 1).astype(np.int32))
+    pairs = np.concatenate(found)
+    pairs = pairs[np.argsort(pairs[:, 2], kind="stable"), :2]
+    low, tree = np.arange(len(fp)), [np.empty((0, 2), np.int64)]
     while True:
         sets = low[pairs]
         apart = sets[:, 0] != sets[:, 1]
@@ -233,7 +238,7 @@ def search_for(rows: int, similarity: float, recall: float = 0.9) -> Search:
     segments = math.ceil(math.log(1 - recall) / math.log(1 - one))
     words = max(8, 1 + -(-segments * length // 64))
     spread = math.sqrt(share * (1 - share))
-    return Search(length, segments, words, round(64 * share + 1.5 * 8 * spread), share + spread / math.sqrt(64 * words))
+    return Search(length, segments, words, round(64 * share + 1.5 * 8 * spread), share + spread / math.sqrt(64 * words) / 2)
 
 
 def wide_variants(how: Search):

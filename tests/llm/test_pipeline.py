@@ -73,7 +73,7 @@ def test_packed(stages):
 
 
 def test_run(spark, stages):
-    assert pipeline.ORACLE_SQL is None and __spark_entry__.queries()["pipeline"] is pipeline.run
+    assert pipeline.ORACLE_SQL is None and __spark_entry__.queries()["pipeline"].__wrapped__ is pipeline.run
     got = Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in pipeline.run(spark, SF).collect())
     assert sum(got.values()) == stages[5].count() and sum(r[2] * n for r, n in got.items()) == stages[5].groupBy().sum("length").first()[0]
 
