@@ -83,10 +83,10 @@ def test_format_override(spark, tmp_path):
 def database(tmp_path):
     p = tmp_path / "t.sqlite"
     with sqlite3.connect(p) as con:
-        con.execute("CREATE TABLE seances (id INTEGER, kind TEXT)")
-        con.execute("CREATE TABLE ghosts (id INTEGER, name TEXT, score REAL)")
-        con.executemany("INSERT INTO ghosts VALUES (?, ?, ?)", [(1, "A", 1.5), (2, "B", None), (3, None, 2)])
-        con.executemany("INSERT INTO seances VALUES (?, ?)", [(1, "x"), (2, "y")])
+        con.execute("CREATE TABLE visits (id INTEGER, kind TEXT)")
+        con.execute("CREATE TABLE guests (id INTEGER, name TEXT, score REAL)")
+        con.executemany("INSERT INTO guests VALUES (?, ?, ?)", [(1, "A", 1.5), (2, "B", None), (3, None, 2)])
+        con.executemany("INSERT INTO visits VALUES (?, ?)", [(1, "x"), (2, "y")])
     return p
 
 
@@ -95,9 +95,9 @@ def test_sqlite(spark, database, monkeypatch):
     df = load(spark, database)
     assert types(df) == {"id": "BIGINT", "name": "VARCHAR", "score": "DOUBLE"}
     assert sorted(tuple(r) for r in df.collect()) == [(1, "A", 1.5), (2, "B", None), (3, None, 2.0)]
-    assert load(spark, database, table="seances").count() == 2
-    assert sqlite.list_tables(database) == ["ghosts", "seances"]
-    with pytest.raises(SQLiteTableError, match="Available: ghosts, seances"):
+    assert load(spark, database, table="visits").count() == 2
+    assert sqlite.list_tables(database) == ["guests", "visits"]
+    with pytest.raises(SQLiteTableError, match="Available: guests, visits"):
         load(spark, database, table="none")
 
 
