@@ -41,10 +41,10 @@ class Filters:
         return turn, books
 
 
-def filters_for(rows: int, dim: int, cosine: float, passes: int = 24) -> Filters:
-    """Filters for ``rows`` vectors: the level at which about eight unlike vectors pass a filter, and as many filters as
-    let a vector pass ``passes`` of them on average. Two vectors at the cosine share most of what either passes."""
-    tail = min(0.02, max(8 / max(rows, 1), 1e-12))
+def filters_for(rows: int, dim: int, passes: int) -> Filters:
+    """Filters for ``rows`` vectors: the level at which about two unlike vectors pass a filter, and as many filters as
+    let a vector pass ``passes`` of them on average. Vectors as close as copies share most of what either passes."""
+    tail = min(0.02, max(2 / max(rows, 1), 1e-12))
     low, high = 0.0, 40.0
     while high - low > 1e-6:
         middle = (low + high) / 2
@@ -83,7 +83,8 @@ def decode(unit: np.ndarray, filters: Filters, codes: tuple[np.ndarray, list[np.
 
 
 def _spread(filters: Filters, least: int):
-    """(node, times, label, unit) to (node, times, label, mark, unit, passed): a row for each filter passed."""
+    """(node, label, unit) to (node, label, mark, passed): a row for each filter passed; the first of a node's rows has
+    all of them as passed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = filters.codes()
@@ -92,12 +93,12 @@ def _spread(filters: Filters, least: int):
             row, mark = decode(unit, filters, codes, least)
             order = np.lexsort((mark, row))
             row, mark = row[order], mark[order]
-            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            passed = [mark[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            packed = [v.tobytes() for v in unit]
-            same = [batch.column(c).take(pa.array(row)) for c in ("node", "times", "label")]
-            bits = [pa.array([x[r] for r in row], pa.binary()) for x in (packed, passed)]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(mark), *bits], names=["node", "times", "label", "mark", "unit", "passed"])
+            begin = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            passed: list[bytes | None] = [None] * len(row)
+            for a, b in zip(begin[:-1], begin[1:], strict=True):
+                passed[a] = mark[a:b].tobytes()
+            same = [batch.column(c).take(pa.array(row)) for c in ("node", "label")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(mark), pa.array(passed, pa.binary())], names=["node", "label", "mark", "passed"])
 
     return run
 
@@ -150,7 +151,7 @@ def _linked(cosine: float):
             return None
         _, nodes, marks, unit, passed, side, times = zip(*rows, strict=True)
         degree, tree = compare(
-            np.array(nodes), np.array(times), np.array([np.frombuffer(x, float) for x in unit]), [np.frombuffer(x, np.int64) for x in passed], marks[0], cosine, np.array(side)
+            np.array(nodes), np.array(times), np.array(unit, float), [np.frombuffer(x, np.int64) for x in passed], marks[0], cosine, np.array(side)
         )
         some = np.flatnonzero(degree)
         if not len(some):
@@ -175,7 +176,7 @@ def _linked(cosine: float):
     return run
 
 
-def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, group: int = GROUP, passes: int = 24) -> DataFrame:
+def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, group: int = GROUP, passes: int = 20) -> DataFrame:
     """One row per row of ``vectors``: (id, n_links, component_id, kept).
 
     Vectors link when their labels are equal and not null and their cosine in double precision is at least
@@ -207,19 +208,23 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = None
     for dim in [r[0] for r in nodes.select(F.size("unit")).distinct().collect()]:
         own = nodes.where(F.size("unit") == dim)
-        filters = filters_for(own.count(), dim, cosine, passes)
-        schema = T.StructType([nodes.schema["node"], nodes.schema["times"], nodes.schema["label"], T.StructField("mark", T.LongType()), T.StructField("unit", T.BinaryType()), T.StructField("passed", T.BinaryType())])
-        passing = written(own.select("node", "times", "label", "unit").repartition(parts(spark, own.count(), 20_000)).mapInArrow(_spread(filters, passes // 2), schema), "passing")
+        filters = filters_for(own.count(), dim, passes)
+        schema = T.StructType([nodes.schema["node"], nodes.schema["label"], T.StructField("mark", T.LongType()), T.StructField("passed", T.BinaryType())])
+        passing = own.select("node", "label", "unit").repartition(parts(spark, own.count(), 20_000)).mapInArrow(_spread(filters, passes // 2), schema)
+        passing = written(passing, "passing")
+        # most filters have one vector of a label; only the others' vectors are brought together
         sizes = passing.groupBy("label", "mark").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
         sizes = sizes.select(F.col("label").alias("__label"), F.col("mark").alias("__mark"), F.ceil(F.col("rows") / (group // 2)).cast("int").alias("blocks"))
         sizes = sizes.withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")))
-        cut = passing.join(sizes, (F.col("label") == F.col("__label")) & (F.col("mark") == F.col("__mark")))
+        cut = passing.drop("passed").join(sizes, (F.col("label") == F.col("__label")) & (F.col("mark") == F.col("__mark")))
+        data = own.select("node", "times", "unit").join(passing.where("passed is not null").select("node", "passed"), "node")
+        cut = written(cut.select("node", "label", "mark", "blocks").join(data, "node"), "meeting")
         cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
         key = F.xxhash64("label", "mark", F.least("own", "other"), F.greatest("own", "other"))
         pairs = cut.select(key.alias("key"), "node", "mark", "unit", "passed", side.alias("side"), "times")
-        dealt = pairs.repartition(parts(spark, passing.count(), 50_000), "key").sortWithinPartitions("key", "mark")
+        dealt = pairs.repartition(parts(spark, cut.count(), 50_000), "key").sortWithinPartitions("key", "mark")
         links = written(dealt.mapInArrow(_linked(cosine), PAIRS), "links")
         found = links if found is None else found.unionByName(links)
     if found is None:
