@@ -70,12 +70,20 @@ def names(head: list[str | None]) -> list[str]:
     return out
 
 
+def broken_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some line of the file has an odd number of quotes, so that a value goes on in the next one. Only then are
+    files read whole, each by one task."""
+    line = F.col("value")
+    odd = (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+    return bool(spark.read.text(path).where(odd).take(1))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """All of the file's text is read as such; one aggregation finds the type that fits every value of each column
     (BOOLEAN, BIGINT, DOUBLE, DATE, TIMESTAMP, else VARCHAR; numbers led by zeros stay text)."""
     lines = [r[0] for r in spark.read.text(path).take(HEAD)]
     delimiter, has_header = sniff(lines)
-    raw = spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", any(line.count('"') % 2 for line in lines)).option("mode", "PERMISSIVE")
+    raw = spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", broken_lines(spark, path)).option("mode", "PERMISSIVE")
     first = next(csv.reader(lines, delimiter=delimiter), [])
     schema = ", ".join(f"_c{i} string" for i in range(len(first))) or "_c0 string"
     text = raw.schema(schema).option("header", has_header).option("enforceSchema", True).csv(path)

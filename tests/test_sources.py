@@ -41,6 +41,13 @@ def test_csv_quotes_and_lines(spark, tmp_path):
     assert [tuple(r) for r in load(spark, p).collect()] == [("x, y", 'say "hi"'), ("two\nlines", "z")]
 
 
+def test_csv_lines_broken_far_down(spark, tmp_path):
+    p = tmp_path / "far.csv"
+    p.write_text("a,b\n" + "".join(f"{i},x\n" for i in range(300)) + '300,"two\nlines"\n')
+    df = load(spark, p)
+    assert df.count() == 301 and df.where("a = 300").first()["b"] == "two\nlines"
+
+
 def test_csv_without_header(spark, tmp_path):
     p = tmp_path / "n.csv"
     p.write_text("1,2\n3,4\n")
