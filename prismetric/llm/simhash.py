@@ -20,20 +20,22 @@ SEED = 42
 GROUP = 2048
 #: Up to so many a group is compared by shifting, many groups at once.
 SMALL = 8
+#: Of a set's node, the bits that are the first of its wide fingerprint; the others tell apart sets that agree in them.
+FIRST, FIRST_BITS = np.uint64((1 << 40) - 1), 40
 
 
-def words_of(text: str | None, shingle: int, words: int = 1) -> np.ndarray:
-    """``words`` times 64 bits; a bit is 1 if it is set in over half the hashes of the shingles, repeats included.
-
-    A-Z count as a-z; words lie between ASCII white space. Fewer words than a shingle: all of them are the one
-    shingle; no word (null, empty, white space): zero. The first 64 bits come from the hash itself, the others
-    from mixtures of it.
-    """
+def hashes_of(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the shingles in order, repeats included. A-Z count as a-z; words lie between ASCII white space.
+    Fewer words than a shingle: all of them are the one shingle; no word (null, empty, white space): none."""
     split = (text or "").encode().lower().split()
-    if not split:
-        return np.zeros(words, np.uint64)
-    n = max(1, len(split) - shingle + 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(split[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)
+    n = max(1, len(split) - shingle + 1) if split else 0
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(split[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)
+
+
+def words_of(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """``words`` times 64 bits; a bit is 1 if it is set in over half the hashes; no hash: zero. The first 64 bits
+    come from the hash itself, the others from mixtures of it."""
+    n = len(hashes)
     out = np.empty(words, np.uint64)
     for word in range(words):
         set_bits, turned = np.zeros(64, np.int64), mix(hashes + np.uint64(word)) if word else hashes
@@ -44,17 +46,43 @@ def words_of(text: str | None, shingle: int, words: int = 1) -> np.ndarray:
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
-    return int(words_of(text, shingle)[0])
+    return int(words_of(hashes_of(text, shingle))[0])
+
+
+def node_of(found: np.ndarray, wide: np.ndarray) -> np.uint64:
+    """What stands for a set of hashes (sorted, distinct): its first bits in ``wide``, and above them a hash of the set."""
+    return (wide[0] & FIRST) | np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)) & ~FIRST
+
+
+def set_node(text: str | None, shingle: int) -> int:
+    found = np.unique(hashes_of(text, shingle))
+    return int(node_of(found, words_of(found)).view(np.int64))
+
+
+def shingle_sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(fp, hashes) for every row: the node of its set of shingles, and 48 bits of the hash of each of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(hashes_of(x.as_py(), shingle)) for x in batch.column(0)]
+            nodes = np.array([node_of(x, words_of(x)) for x in sets], np.uint64)
+            cut = [x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(cut, pa.binary())], names=["fp", "hashes"])
+
+    return docs.select(whole_text(text_col).alias("text")).mapInArrow(run, "fp long, hashes binary")
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int = 1) -> DataFrame:
-    """(id, fp long in two's complement, wide binary) for every row; fp is the first of the words in wide."""
+    """(id, fp long in two's complement, wide binary) for every row. With one word, fp is the fingerprint, repeated
+    shingles included, and wide is null; with more, they are the node and the wide fingerprint of the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([words_of(x.as_py(), shingle, words) for x in batch.column(1)], np.uint64).reshape(-1, words)
-            wide = [row.tobytes() for row in marks] if words > 1 else [None] * len(marks)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks[:, 0].view(np.int64)), pa.array(wide, pa.binary())], names=["id", "fp", "wide"])
+            sets = [hashes_of(x.as_py(), shingle) if words == 1 else np.unique(hashes_of(x.as_py(), shingle)) for x in batch.column(1)]
+            marks = [words_of(x, words) for x in sets]
+            fp = np.array([m[0] if words == 1 else node_of(x, m) for x, m in zip(sets, marks, strict=True)], np.uint64)
+            wide = [m.tobytes() if words > 1 else None for m in marks]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), pa.array(wide, pa.binary())], names=["id", "fp", "wide"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType())])
     return docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).mapInArrow(run, schema)
@@ -102,10 +130,8 @@ def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _table(["key", "used", "fp"], mix(mix(key[rows] + np.uint64(piece + 1)) ^ (fp[rows] & mask)), np.full(rows.sum(), fixed | mask, np.uint64), fp[rows])
 
 
-def forest(fp: np.ndarray, bits: int) -> np.ndarray:
-    """Pairs of places within ``bits`` that connect what all such pairs connect, without a cycle: each set takes the
-    closest pair that leaves it, sets so joined become one, and so on. So for each lesser bound too, those of the
-    pairs that are within it connect what all within it connect."""
+def close_pairs(fp: np.ndarray, bits: int) -> np.ndarray:
+    """(place, place, distance) of the pairs within ``bits``, closest first."""
     found = []
     for at in range(0, len(fp), 256):
         apart = np.bitwise_count(fp[at : at + 256, None] ^ fp[None, at:])
@@ -113,8 +139,15 @@ def forest(fp: np.ndarray, bits: int) -> np.ndarray:
         kept = one < other
         found.append(np.stack([one[kept] + at, other[kept] + at, apart[one[kept], other[kept]]], 1).astype(np.int32))
     pairs = np.concatenate(found)
-    pairs = pairs[np.argsort(pairs[:, 2], kind="stable"), :2]
-    low, tree = np.arange(len(fp)), [np.empty((0, 2), np.int64)]
+    return pairs[np.argsort(pairs[:, 2], kind="stable")]
+
+
+def forest(n: int, pairs: np.ndarray) -> np.ndarray:
+    """Of ``close_pairs`` among ``n``, those that connect what all of them connect, without a cycle: each set takes the
+    closest pair that leaves it, sets so joined become one, and so on. So for each lesser bound too, those of the
+    pairs that are within it connect what all within it connect."""
+    pairs = pairs[:, :2]
+    low, tree = np.arange(n), [np.empty((0, 2), np.int64)]
     while True:
         sets = low[pairs]
         apart = sets[:, 0] != sets[:, 1]
@@ -132,8 +165,10 @@ def forest(fp: np.ndarray, bits: int) -> np.ndarray:
                 low = low[low]
 
 
-def link_runs(bits: int, group: int):
-    """Rows sorted by key to links (hot false: key and fp are the ends) and rows of groups too large (hot true)."""
+def link_runs(bits: int, group: int, mask: np.uint64 = ~np.uint64(0), again: bool = False):
+    """Rows sorted by key to links (hot false: key and fp are the ends) and rows of groups too large (hot true).
+    Only bits in ``mask`` are compared. With ``again``, groups of whose links some were left out come out as well, as
+    hot rows whose used is 1."""
 
     def links(key: np.ndarray, used: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -141,9 +176,14 @@ def link_runs(bits: int, group: int):
         small = np.repeat(sizes <= SMALL, sizes)
         pairs = []
         for shift in range(1, SMALL):
-            at = np.flatnonzero((key[:-shift] == key[shift:]) & small[:-shift] & (np.bitwise_count(fp[:-shift] ^ fp[shift:]) <= bits)) if len(key) > shift else np.empty(0, int)
+            at = np.flatnonzero((key[:-shift] == key[shift:]) & small[:-shift] & (np.bitwise_count((fp[:-shift] ^ fp[shift:]) & mask) <= bits)) if len(key) > shift else np.empty(0, int)
             pairs.append(np.stack([at, at + shift], 1))
-        pairs += [forest(fp[s : s + n], bits) + s for s, n in zip(starts, sizes, strict=True) if SMALL < n <= group]
+        for s, n in zip(starts, sizes, strict=True):
+            if SMALL < n <= group:
+                every = close_pairs(fp[s : s + n] & mask, bits)
+                pairs.append(forest(n, every) + s)
+                if again and len(pairs[-1]) < len(every):
+                    yield _table(LINKS.names, np.ones(n, bool), key[s : s + n], np.ones(n, np.uint64), fp[s : s + n])
         found = np.concatenate(pairs)
         if len(found):
             ends = np.unique(np.sort(fp[found], axis=1), axis=0)
@@ -220,7 +260,8 @@ def expected_share(similarity: float) -> float:
 @dataclass(frozen=True)
 class Search:
     """How texts of at least ``similarity`` are found: ``segments`` of ``length`` bits of a wide fingerprint, each
-    under all its one-wildcard variants; ``words`` in all, the first one being compared within a group."""
+    under all its one-wildcard variants; ``words`` in all. Before sets are compared, pairs go that differ in more than
+    ``near`` of the first bits, or in more than ``share`` of all."""
 
     length: int
     segments: int
@@ -238,7 +279,7 @@ def search_for(rows: int, similarity: float, recall: float = 0.9) -> Search:
     segments = math.ceil(math.log(1 - recall) / math.log(1 - one))
     words = max(8, 1 + -(-segments * length // 64))
     spread = math.sqrt(share * (1 - share))
-    return Search(length, segments, words, round(64 * share + 1.5 * 8 * spread), share + spread / math.sqrt(64 * words) / 2)
+    return Search(length, segments, words, round(FIRST_BITS * share + 1.5 * math.sqrt(FIRST_BITS) * spread), share + spread / math.sqrt(64 * words) / 2)
 
 
 def wide_variants(how: Search):
@@ -261,27 +302,106 @@ def wide_variants(how: Search):
     return run
 
 
-def similar_links(marks: DataFrame, how: Search, group: int = GROUP) -> DataFrame:
-    """Links (a, b) between ``marks(fp, wide)``: pairs that share a segment variant, differ in at most ``how.near``
-    bits of fp, and in at most ``how.share`` of all bits. In each group that shares a variant a cycle-free part of
-    the links stands for all. A group over the bound is cut into blocks, every two of which meet in one task."""
+def similar_links(marks: DataFrame, how: Search, group: int = GROUP, sets: DataFrame | None = None, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) between ``marks(fp, wide)``: pairs that share a segment variant, are within the limits of ``how``
+    and, with ``sets(fp, hashes)``, whose sets have a Jaccard similarity of at least ``similarity``. They connect what
+    all such pairs connect. A group over the bound is cut into blocks, every two of which meet in one task.
+
+    Each group proposes a cycle-free part of its links. Where it left some out and its rows are not connected by
+    links that hold, each row proposes those to its closest ones elsewhere, eight times as many in each round, until
+    none is left out.
+    """
     spark = marks.sparkSession
     rows = marks.select("fp", "wide").mapInArrow(wide_variants(how), ROWS)
     count = how.segments * how.length * marks.count()
     deal = lambda r, n: r.repartition(parts(spark, n, 2_000_000), "key").sortWithinPartitions("key")
-    found = written(deal(rows, count).mapInArrow(link_runs(how.near, group), LINKS), "links")
-    links = found.where("not hot").select(F.col("key").alias("a"), F.col("fp").alias("b"))
-    hot = found.where("hot").select("key", "fp")
+    found = written(deal(rows, count).mapInArrow(link_runs(how.near, group, FIRST), LINKS), "links")
+    hot = found.where("hot and used = 0").select("key", "fp")
     if not hot.isEmpty():
         sizes = hot.groupBy(F.col("key").alias("of")).agg(F.ceil(F.count(F.lit(1)) / (group // 2)).cast("int").alias("blocks"))
         cut = hot.join(sizes, F.col("key") == F.col("of")).withColumn("one", F.pmod(F.xxhash64("fp"), "blocks"))
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pair = cut.select(F.xxhash64("key", F.least("one", "other"), F.greatest("one", "other")).alias("key"), F.lit(0).cast("long").alias("used"), "fp")
-        again = written(deal(pair, pair.count()).mapInArrow(link_runs(how.near, 1 << 62), LINKS), "links")
-        links = links.union(again.select(F.col("key").alias("a"), F.col("fp").alias("b")))
-    links = links.distinct()
-    end = lambda c: marks.select(F.col("fp").alias(c), F.col("wide").alias(f"wide_{c}"))
-    return links.join(end("a"), "a").join(end("b"), "b").select("a", "b", "wide_a", "wide_b").mapInArrow(_close(how.share), "a long, b long")
+        found = found.where("not hot or used = 1").union(written(deal(pair, pair.count()).mapInArrow(link_runs(how.near, 1 << 62, FIRST), LINKS), "links"))
+    end = lambda t, c: t.select(F.col("fp").alias(c), F.col(t.columns[1]).alias(f"of_{c}"))
+    both = lambda pairs, t, test: pairs.join(end(t, "a"), "a").join(end(t, "b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(test, "a long, b long")
+    marks, held, tested, out, width = marks.select("fp", "wide"), None, None, None, 1
+    while True:
+        new = found.where("not hot").select(F.col("key").alias("a"), F.col("fp").alias("b")).distinct()
+        new = new.join(tested, ["a", "b"], "left_anti") if tested is not None else new
+        new = written(both(new, marks, _close(how.share)), "near")
+        tested = new if tested is None else tested.union(new)
+        if sets is not None:
+            if held is None:  # later links have their ends in the groups that are looked at again
+                ends = new.select(F.col("a").alias("fp")).union(new.select("b")).union(found.where("hot and used = 1").select("fp"))
+                held = written(sets.join(written(ends.distinct(), "ends"), "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes")), "sets")
+            new = written(both(new, held, _alike(similarity)), "alike")
+        out = new if out is None else out.union(new)
+        left = found.where("hot and used = 1")
+        if left.isEmpty():
+            return out
+        width *= 8
+        roots = components(out).withColumnRenamed("node", "fp")
+        left = left.join(roots, "fp", "left").select("key", F.coalesce("root", "fp").alias("used"), "fp")
+        apart = left.groupBy("key").agg(F.min("used").alias("least"), F.max("used").alias("most")).where("least < most").select("key")
+        left = written(left.join(apart, "key"), "left")
+        found = written(deal(left, left.count()).mapInArrow(further(how.near, width), LINKS), "links")
+
+
+def further(bits: int, width: int):
+    """Rows sorted by key, used being the component, to links from each row to the ``width`` closest ones of other
+    components, and the rows (hot, used 1) of groups where that leaves some out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.empty(0, np.uint64)] * 3
+        for batch in batches:
+            new = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in range(3)]
+            rest = [np.concatenate(x) for x in zip(rest, new, strict=True)]
+            last = len(rest[0]) - int(np.argmax(rest[0][::-1] != rest[0][-1])) if len(rest[0]) and (rest[0] != rest[0][-1]).any() else 0
+            yield from groups(*(x[:last] for x in rest))
+            rest = [x[last:] for x in rest]
+        yield from groups(*rest)
+
+    def groups(key: np.ndarray, root: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        for s, e in zip(starts, np.r_[starts[1:], len(key)][: len(starts)], strict=True):
+            pairs = close_pairs(fp[s:e] & FIRST, bits)[:, :2] + s
+            pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
+            if not len(pairs):
+                continue
+            # the place of each end among the pairs of its row, closest first
+            ends = pairs.ravel()
+            order = np.argsort(ends, kind="stable")
+            first = np.r_[True, ends[order][1:] != ends[order][:-1]]
+            rank = np.empty(len(ends), np.int64)
+            rank[order] = np.arange(len(ends)) - np.maximum.accumulate(np.where(first, np.arange(len(ends)), 0))
+            taken = (rank.reshape(-1, 2) < width).any(1)
+            link = np.unique(np.sort(fp[pairs[taken]], axis=1), axis=0)
+            yield _table(LINKS.names, np.zeros(len(link), bool), link[:, 0], np.zeros(len(link), np.uint64), link[:, 1])
+            if not taken.all():
+                yield _table(LINKS.names, np.ones(e - s, bool), key[s:e], np.ones(e - s, np.uint64), fp[s:e])
+
+    return run
+
+
+def _alike(similarity: float):
+    """Of links with the sets of their ends those whose Jaccard similarity is at least ``similarity``."""
+
+    def hashes(cut: bytes) -> np.ndarray:
+        whole = np.zeros((len(cut) // 6, 8), np.uint8)
+        whole[:, :6] = np.frombuffer(cut, np.uint8).reshape(-1, 6)
+        return np.unique(whole.view(np.uint64).ravel())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for one, other in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = hashes(one.as_py()), hashes(other.as_py())
+                common = len(np.intersect1d(a, b, assume_unique=True)) if len(a) and len(b) else 0
+                kept.append(common + 1e-9 >= similarity * (len(a) + len(b) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return run
 
 
 def _close(share: float):
@@ -299,11 +419,11 @@ def _close(share: float):
 
 def labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, bits: int | None, similarity: float | None = None) -> DataFrame:
     """(id, fp, root, component_id) for every row; root stands for the component also where ids are null or repeat.
-    Texts link within ``bits`` of the 64-bit fingerprint, or by ``similarity``."""
+    Texts link within ``bits`` of the 64-bit fingerprint, or by the Jaccard ``similarity`` of their sets of shingles."""
     how = search_for(docs.count(), similarity) if similarity else None
     rows = written(fingerprints(docs, id_col, text_col, shingle, how.words if how else 1), "fingerprints")
     marks = written(rows.groupBy("fp").agg(F.min("id").alias("low"), F.min("wide").alias("wide")), "marks")
-    links = similar_links(marks, how) if how else near_links(marks.select("fp"), bits)
+    links = similar_links(marks.select("fp", "wide"), how, sets=shingle_sets(docs, text_col, shingle), similarity=similarity) if how else near_links(marks.select("fp"), bits)
     roots = components(links).withColumnRenamed("node", "fp")
     rooted = written(marks.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "roots")
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -324,13 +444,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their group, with all their columns; one row for each group,
-    also where ids are null or repeat. Texts link by the similarity of their shingles that wide fingerprints show."""
+    also where ids are null or repeat. Texts link where the Jaccard similarity of their sets of shingles is at least ``similarity``."""
     found = written(labelled(docs, id_col, text_col, shingle, None, similarity), "labelled")
     stays = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), F.col("root").alias("__root"))
     again = written(found.groupBy(F.col("id").alias("__again")).count().where("count > 1").select("__again"), "again")
     if again.isEmpty():
         return docs.join(stays, docs[id_col].eqNullSafe(stays["__id"]), "left_semi")
-    mark = F.udf(lambda t: int(np.uint64(fingerprint(t, shingle)).view(np.int64)), T.LongType())
+    mark = F.udf(lambda t: set_node(t, shingle), T.LongType())
     stays_once = stays.join(again, stays["__id"].eqNullSafe(again["__again"]), "left_anti")
     once = docs.join(stays_once, docs[id_col].eqNullSafe(stays_once["__id"]), "left_semi")
     odd = docs.join(again, docs[id_col].eqNullSafe(again["__again"]), "left_semi").withColumn("__mark", mark(whole_text(text_col)))

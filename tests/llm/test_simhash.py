@@ -161,3 +161,19 @@ def test_components(spark, n, links):
     nodes = {x for a, b in links for x in (a, b) if a != b}
     assert set(got) == nodes
     assert all((got[a] == got[b]) == (want[a] == want[b]) for a in nodes for b in nodes)
+
+
+def test_repeated_lines_neither_link_nor_part(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line, rows = word(12), []
+    for i in range(20):  # unlike bodies with one line often: all stay
+        rows.append((i, "\n".join([word(200)] + [line] * 20), "a"))
+    for i in range(20):  # one body with that line twice and ten times: equal sets but for the seams
+        body = word(200)
+        rows += [(100 + 2 * i, "\n".join([body] + [line] * 2), "a"), (101 + 2 * i, "\n".join([body] + [line] * 10), "a")]
+    kept = {r.doc_id for r in s.keep_one_of_each(cases.documents(spark, rows)).collect()}
+    assert kept == {*range(20), *range(100, 140, 2)}
+
