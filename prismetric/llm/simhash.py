@@ -272,14 +272,15 @@ class Search:
 
 def search_for(rows: int, similarity: float, recall: float = 0.9) -> Search:
     """Segments so long that unlike texts rarely share a variant among ``rows`` texts, and so many that texts just
-    at the similarity share one with probability ``recall`` (more alike ones: far more often)."""
+    at the similarity share one with probability ``recall`` (more alike ones: far more often). Both limits are three
+    standard deviations (over 512 bits, whatever the rows) above what such texts differ in."""
     share = expected_share(similarity)
     length = max(16, math.ceil(math.log2(max(rows, 2))) + 2)
     one = (1 - share) ** length + length * share * (1 - share) ** (length - 1)
     segments = math.ceil(math.log(1 - recall) / math.log(1 - one))
     words = max(8, 1 + -(-segments * length // 64))
     spread = math.sqrt(share * (1 - share))
-    return Search(length, segments, words, round(FIRST_BITS * share + 1.5 * math.sqrt(FIRST_BITS) * spread), share + spread / math.sqrt(64 * words) / 2)
+    return Search(length, segments, words, round(FIRST_BITS * share + 3 * math.sqrt(FIRST_BITS) * spread), share + 3 * spread / math.sqrt(512))
 
 
 def wide_variants(how: Search):

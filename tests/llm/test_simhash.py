@@ -177,3 +177,29 @@ def test_repeated_lines_neither_link_nor_part(spark):
     kept = {r.doc_id for r in s.keep_one_of_each(cases.documents(spark, rows)).collect()}
     assert kept == {*range(20), *range(100, 140, 2)}
 
+
+def test_recall_of_isolated_pairs(spark):
+    """Pairs just at the similarity are found, none below it is."""
+    import random
+
+    rng = random.Random(9)
+    rows, alike = [], {}
+    for i in range(600):
+        words = [f"w{rng.randrange(10**7)}" for _ in range(304)]
+        other = list(words)
+        for k in range(6 if i % 2 else 7):  # sets of 300: 30 and 35 of them differ, or a few more at the end
+            other[4 + 45 * k] = "x" + other[4 + 45 * k]
+        for k in range(rng.randint(1, 3)):
+            other[-1 - k] = "y" + other[-1 - k]
+        a, b = shingles(" ".join(words)), shingles(" ".join(other))
+        alike[i] = len(a & b) / len(a | b)
+        rows += [(2 * i, " ".join(words), "a"), (2 * i + 1, " ".join(other), "a")]
+    kept = {r.doc_id for r in s.keep_one_of_each(cases.documents(spark, rows)).collect()}
+    at = [i for i in alike if 0.8 <= alike[i] <= 0.82]
+    below = [i for i in alike if 0.74 <= alike[i] < 0.8]
+    assert len(at) >= 200 and len(below) >= 200
+    assert all(2 * i in kept for i in alike) and all(2 * i + 1 in kept for i in below)
+    found = sum(2 * i + 1 not in kept for i in at) / len(at)
+    print("recall at 0.80 to 0.82:", found, "of", len(at))
+    assert found >= 0.87
+
