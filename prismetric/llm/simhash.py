@@ -316,14 +316,14 @@ def similar_links(marks: DataFrame, how: Search, group: int = GROUP, sets: DataF
     rows = marks.select("fp", "wide").mapInArrow(wide_variants(how), ROWS)
     count = how.segments * how.length * marks.count()
     deal = lambda r, n: r.repartition(parts(spark, n, 2_000_000), "key").sortWithinPartitions("key")
-    found = written(deal(rows, count).mapInArrow(link_runs(how.near, group, FIRST), LINKS), "links")
+    found = written(deal(rows, count).mapInArrow(link_runs(how.near, group, FIRST, True), LINKS), "links")
     hot = found.where("hot and used = 0").select("key", "fp")
     if not hot.isEmpty():
         sizes = hot.groupBy(F.col("key").alias("of")).agg(F.ceil(F.count(F.lit(1)) / (group // 2)).cast("int").alias("blocks"))
         cut = hot.join(sizes, F.col("key") == F.col("of")).withColumn("one", F.pmod(F.xxhash64("fp"), "blocks"))
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pair = cut.select(F.xxhash64("key", F.least("one", "other"), F.greatest("one", "other")).alias("key"), F.lit(0).cast("long").alias("used"), "fp")
-        found = found.where("not hot or used = 1").union(written(deal(pair, pair.count()).mapInArrow(link_runs(how.near, 1 << 62, FIRST), LINKS), "links"))
+        found = found.where("not hot or used = 1").union(written(deal(pair, pair.count()).mapInArrow(link_runs(how.near, 1 << 62, FIRST, True), LINKS), "links"))
     end = lambda t, c: t.select(F.col("fp").alias(c), F.col(t.columns[1]).alias(f"of_{c}"))
     both = lambda pairs, t, test: pairs.join(end(t, "a"), "a").join(end(t, "b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(test, "a long, b long")
     marks, held, tested, out, width = marks.select("fp", "wide"), None, None, None, 1

@@ -203,3 +203,23 @@ def test_recall_of_isolated_pairs(spark):
     print("recall at 0.80 to 0.82:", found, "of", len(at))
     assert found >= 0.87
 
+
+def test_links_that_fail_hide_no_others(spark):
+    """A chain of closer pairs whose sets are not alike stands between two rows whose sets are."""
+    how = s.search_for(1000, 0.8)
+    wide = np.random.default_rng(3).integers(0, 2**63, how.words, dtype=np.uint64)
+    marks, sets = [], []
+    for i in range(24):  # the first bits form a path: neighbours differ in one bit, and the ends are alike
+        mark = wide.copy()
+        for b in range(min(i, 12)):
+            mark[0] ^= np.uint64(1 << b)
+        for b in range(12, i):
+            mark[0] ^= np.uint64(1 << b)
+        hashes = np.arange(10 * i, 10 * i + 10, dtype=np.uint64) if i % 8 else np.arange(10, dtype=np.uint64)
+        marks.append((i, int(mark[:1].view(np.int64)[0]), mark.tobytes()))
+        sets.append((marks[-1][1], hashes.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
+    df = spark.createDataFrame([m[1:] for m in marks], "fp long, wide binary")
+    links = s.similar_links(df, how, sets=spark.createDataFrame(sets, "fp long, hashes binary"))
+    got = {r.node: r.root for r in shared.components(links).collect()}
+    ends = [marks[i][1] for i in (0, 8, 16)]
+    assert set(got) == set(ends) and len(set(got.values())) == 1
