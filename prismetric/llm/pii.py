@@ -1,4 +1,4 @@
-"""Personal data: patterns, and terms that reveal what they stand beside; DataFrame functions only."""
+"""Personal data: patterns, and terms that reveal an entity they stand in a text with; DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -23,9 +23,7 @@ PATTERNS = {
 }
 SIGNS = {"email": "@", "phone": "+"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-#: Characters kept on either side of a match, for the words that stand there.
-CONTEXT = 100
-WORD = r"[\p{L}]{3,40}"
+LETTERS, OTHERS = r"\p{L}+", r"[^\p{L}]+"
 
 
 def holds(kind: str, match: Column) -> Column:
@@ -41,27 +39,26 @@ def holds(kind: str, match: Column) -> Column:
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, text_hash, found), written: found has for each match of a kind, valid or not, in order: kind, place
-    among them, characters since the last one, the match, and the text around it up to the next ones."""
+    """(row, id, text_hash, text, found), written: found has for each match of a kind, valid or not, in order: kind,
+    place among them, characters since the last one, and the match. Without any, text is null."""
     text = whole_text(text_col)
 
     def of(kind: str, pattern: str) -> Column:
         hits, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
         one = lambda hit, i: F.struct(
             F.lit(kind).alias("kind"), i.alias("place"), F.length(F.get(between, i)).cast("long").alias("since"), hit.alias("match"),
-            F.right(F.get(between, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(between, i + 1), F.lit(CONTEXT)).alias("after"),
         )
         there = F.regexp_like(text, F.lit(pattern))
         return F.when(F.contains(text, F.lit(SIGNS[kind])) & there if kind in SIGNS else there, F.transform(hits, one))
 
     found = [of(*pair) for pair in PATTERNS.items()]
-    empty = F.array().cast("array<struct<kind:string,place:int,since:bigint,match:string,before:string,after:string>>")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.concat(*[F.coalesce(f, empty) for f in found]).alias("found"))
-    return written(rows, "matches")
+    empty = F.array().cast("array<struct<kind:string,place:int,since:bigint,match:string>>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), F.concat(*[F.coalesce(f, empty) for f in found]).alias("found"))
+    return written(rows.withColumn("text", F.when(F.size("found") > 0, F.col("text"))), "matches")
 
 
 def located(rows: DataFrame) -> DataFrame:
-    """(row, text_hash, kind, start, end, match, before, after) of the matches that count; code points, end exclusive."""
+    """(row, text_hash, kind, start, end, match) of the matches that count; code points, end exclusive."""
     each = rows.select("row", "text_hash", F.explode("found").alias("m")).select("row", "text_hash", "m.*")
     so_far = Window.partitionBy("row", "kind").orderBy("place")
     end = F.sum(F.col("since") + F.length("match")).over(so_far)
@@ -69,41 +66,34 @@ def located(rows: DataFrame) -> DataFrame:
     valid = F.lit(False)
     for kind in KINDS:
         valid = valid | ((F.col("kind") == kind) & holds(kind, F.col("match")))
-    return each.where(valid).select("row", "text_hash", "kind", "start", "end", "match", "before", "after")
+    return each.where(valid).select("row", "text_hash", "kind", "start", "end", "match")
 
 
-def neighbours(spans: DataFrame) -> DataFrame:
-    """(row, text_hash, entity, term, start, end): the two words on either side of each match, as terms in lower case."""
-    b, a, start, end = F.col("before"), F.col("after"), F.col("start"), F.col("end")
-    word = lambda c, p, g: F.regexp_extract(c, p, g)
-    n = F.length
-    near, far = rf"(?<!\p{{L}})({WORD})([^\p{{L}}]*)$", rf"(?<!\p{{L}})({WORD})([^\p{{L}}]+\p{{L}}+[^\p{{L}}]*)$"
-    next_, later = rf"^([^\p{{L}}]*)({WORD})(?!\p{{L}})", rf"^([^\p{{L}}]*\p{{L}}+[^\p{{L}}]+)({WORD})(?!\p{{L}})"
-    left = lambda p: F.struct(F.lower(word(b, p, 1)).alias("term"), (start - n(word(b, p, 2)) - n(word(b, p, 1))).alias("start"), (start - n(word(b, p, 2))).alias("end"))
-    right = lambda p: F.struct(F.lower(word(a, p, 2)).alias("term"), (end + n(word(a, p, 1))).alias("start"), (end + n(word(a, p, 1)) + n(word(a, p, 2))).alias("end"))
-    entity = F.xxhash64("kind", F.lower("match"))
-    each = spans.select("row", "text_hash", entity.alias("entity"), F.explode(F.array(left(near), left(far), right(next_), right(later))).alias("w"))
-    return each.select("row", "text_hash", "entity", "w.*").where("term <> ''")
+def terms_of(text: Column) -> Column:
+    """The distinct words (3 to 40 letters, in lower case) of a text outside its addresses."""
+    words = F.transform(F.split(F.regexp_replace(text, PATTERNS["email"], " "), OTHERS), F.lower)
+    return F.array_distinct(F.filter(words, lambda w: F.length(w).between(3, 40)))
 
 
-def telling(docs: DataFrame, spans: DataFrame, beside: DataFrame, text_col: str, support: int, share: float, bound: int) -> DataFrame:
+def telling(docs: DataFrame, holds: DataFrame, texts: DataFrame, text_col: str, support: int, share: float, bound: int) -> DataFrame:
     """(entity, term, share): terms whose pointwise mutual information with an entity is at least ``share`` of the
-    entity's own information, over distinct texts. A pair counts from ``support`` texts on; each term's frequency
-    is taken over all texts. Terms are broadcast while there are at most ``bound`` of them."""
+    entity's own information, over distinct texts. ``holds(entity, n_entity, text_hash)`` and ``texts(text_hash,
+    terms)`` have the entities and the words of whole texts. A pair counts from ``support`` texts on; each term's
+    frequency is taken over all texts. Terms are broadcast while there are at most ``bound`` of them."""
     n = docs.count()
-    of_entity = spans.select(F.xxhash64("kind", F.lower("match")).alias("entity"), "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     own = F.log2(F.lit(n) / F.col("n_entity"))
     mutual = lambda n_term: F.log2(F.col("both") * F.lit(n) / (F.col(n_term) * F.col("n_entity")))
-    pairs = beside.groupBy("entity", "term").agg(F.count_distinct("text_hash").alias("both")).where(F.col("both") >= support)
-    # a term is in at least as many texts as it has beside some entity: what can't reach the share by that goes at once
-    around = beside.select("term", "text_hash").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_around"))
-    pairs = pairs.join(of_entity, "entity").where(own > 0).join(around, "term").where(mutual("n_around") / own >= share)
+    with_terms = holds.where(own > 0).join(texts, "text_hash").select("entity", "n_entity", F.explode("terms").alias("term"))
+    pairs = with_terms.groupBy("entity", "n_entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
+    # a term is in at least as many texts as it is in beside some entity: what can't reach the share by that goes at once
+    around = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_around"))
+    pairs = pairs.join(around, "term").where(mutual("n_around") / own >= share)
     pairs = written(pairs.select("entity", "term", "both", "n_entity"), "pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("share"))
     terms = written(pairs.select("term").distinct(), "terms")
     text = whole_text(text_col)
-    words = docs.select(F.xxhash64(text).alias("text_hash"), F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word"))
+    words = docs.select(F.xxhash64(text).alias("text_hash"), F.explode(F.array_distinct(F.transform(F.split(text, OTHERS), F.lower))).alias("word"))
     held = F.broadcast(terms) if terms.count() <= bound else terms
     of_term = words.join(held, F.col("word") == F.col("term")).select("term", "text_hash").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     found = pairs.join(of_term, "term").withColumn("share", mutual("n_term") / own)
@@ -115,13 +105,29 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     those of ``KINDS`` and "term". rows: (row, id).
 
     Base kinds: the leftmost matches that don't overlap, per kind, less those that fail their test. A term is a
-    word (3 to 40 letters) next to a match, or next but one, that reveals it: see ``telling``.
+    word (3 to 40 letters, outside addresses) that reveals an entity of its text, wherever it stands there: see
+    ``telling``.
     """
     rows = matches(docs, id_col, text_col)
     spans = written(located(rows), "spans")
-    beside = written(neighbours(spans), "beside")
-    known = telling(docs, spans, beside, text_col, support, share, bound)
-    terms = beside.join(known, ["entity", "term"]).select("row", F.lit("term").alias("kind"), "start", "end").distinct()
+    entity = F.xxhash64("kind", F.lower("match")).alias("entity")
+    holds = written(spans.select(entity, "text_hash").distinct(), "holds")
+    often = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
+    holds = written(holds.join(often, "entity").select("entity", "n_entity", "text_hash"), "holds")
+    whole = rows.where("text is not null").join(holds.select("text_hash").distinct(), "text_hash", "left_semi")
+    whole = whole.groupBy("text_hash").agg(F.first("text").alias("text"))
+    texts = written(whole.select("text_hash", "text", terms_of(F.col("text")).alias("terms")), "texts")
+    known = telling(docs, holds, texts, text_col, support, share, bound)
+
+    told = written(holds.join(known, "entity").select("text_hash", "term").distinct(), "told")
+    words, between = F.regexp_extract_all("text", F.lit(LETTERS), F.lit(0)), F.split("text", LETTERS, -1)
+    word = F.transform(words, lambda w, i: F.struct(i.alias("place"), F.length(F.get(between, i)).cast("long").alias("since"), w.alias("word")))
+    each = texts.join(told.select("text_hash").distinct(), "text_hash", "left_semi").select("text_hash", F.explode(word).alias("w")).select("text_hash", "w.*")
+    end = F.sum(F.col("since") + F.length("word")).over(Window.partitionBy("text_hash").orderBy("place"))
+    each = each.select("text_hash", F.lower("word").alias("term"), (end - F.length("word")).alias("start"), end.alias("end")).join(told, ["text_hash", "term"])
+    inside = spans.where("kind = 'email'").select("text_hash", F.col("start").alias("from"), F.col("end").alias("to")).distinct().withColumnRenamed("text_hash", "of")
+    each = each.join(inside, (F.col("text_hash") == F.col("of")) & (F.col("start") >= F.col("from")) & (F.col("end") <= F.col("to")), "left_anti")
+    terms = spans.select("row", "text_hash").distinct().join(each, "text_hash").select("row", F.lit("term").alias("kind"), "start", "end")
     return rows.select("row", "id"), spans.select("row", "kind", "start", "end").unionByName(terms)
 
 

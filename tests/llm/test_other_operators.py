@@ -231,6 +231,17 @@ def test_telling_terms(spark):
     assert not any("term" in got[100 + i] for i in range(60))
 
 
+def test_telling_terms_anywhere(spark):
+    """A name far from the address is found at each of its places, but not inside the address."""
+    rows = [(i, f"Zanzibarov says that the note is {'so very ' * 30}long, and zanzibarov@example.com is where Zanzibarov gets thing{i}", "a") for i in range(4)]
+    rows += [(100 + i, f"somebody says that the note is {'so very ' * 30}long, and mail{i}@example.com is where somebody gets thing{i}", "a") for i in range(60)]
+    got = {r.doc_id: r.spans for r in pii.pii(cases.documents(spark, rows)).collect()}
+    for i in range(4):
+        places = [(int(a), int(b)) for kind, a, b in (s.split(":") for s in got[i].split(",")) if kind == "term"]
+        assert places == [m.span() for m in re.finditer("Zanzibarov", rows[i][1])]
+    assert not any("term" in got[100 + i] for i in range(60))
+
+
 def test_sanitise(spark):
     df = spark.sql("SELECT 'é mail a@b.c or 1.2.3.4!' AS t, array(named_struct('kind', 'ip', 'start', 16L, 'end', 23L), named_struct('kind', 'email', 'start', 7L, 'end', 12L)) AS s")
     assert df.select(pii.sanitise(df.t, df.s)).first()[0] == "é mail [EMAIL] or [IP]!"
