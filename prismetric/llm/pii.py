@@ -80,7 +80,7 @@ def telling(docs: DataFrame, holds: DataFrame, texts: DataFrame, text_col: str,
     entity's own information, over distinct texts. ``holds(entity, n_entity, text_hash)`` and ``texts(text_hash,
     terms)`` have the entities and the words of whole texts. A pair counts from ``support`` texts on; each term's
     frequency is taken over all texts. Terms are broadcast while there are at most ``bound`` of them."""
-    n = docs.count()
+    n = docs.select(F.xxhash64(whole_text(text_col))).distinct().count()
     own = F.log2(F.lit(n) / F.col("n_entity"))
     mutual = lambda n_term: F.log2(F.col("both") * F.lit(n) / (F.col(n_term) * F.col("n_entity")))
     with_terms = holds.where(own > 0).join(texts, "text_hash").select("entity", "n_entity", F.explode("terms").alias("term"))
