@@ -25,18 +25,22 @@ FILLERS = 20
 ROW = 1 << 16
 #: Sequences whose gaps are filled together.
 TOGETHER = 5000
+#: Buckets of such sequences in one task.
+BUCKETS = 16
 
 FULL, REST, FILL = 0, 1, 2
 #: Where sequence numbers of full pieces and of filled buckets begin; patterns' sequences count from 0.
 FULL_FROM, FILL_FROM = 1 << 61, 1 << 60
 
 PIECES = "kind int, uid long, {id}, turn long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-LONG_RUN = re.compile(r"\S{400}")
+#: Long words are slow in the quick library, and long white space overflows its stack.
+LONG_RUN = re.compile(r"\S{400}|\s{400}")
 
 
 class Tokens:
     """Ids of ``byte_bpe_50k``. A merge table's file serves both libraries; the quicker one gives the same ids and
-    is used, but for texts with a special token's string or very long words, where their rules or costs differ."""
+    is used, but for texts with a special token's string or very long runs of letters or of white space, where their
+    rules or costs differ."""
 
     def __init__(self, tokenizer: str):
         import json
@@ -261,6 +265,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("long").alias("bucket")
     gaps = used.select(bucket("sequence_id"), F.lit(0).alias("kind"), F.col("sequence_id").alias("uid"), "sequence_id", "used", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("doc_tokens"), F.lit(None).cast("binary").alias("ids"))
     fill = fill.select(bucket("uid"), F.lit(1).alias("kind"), "uid", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("used"), "id", "start", "doc_tokens", "ids")
-    together = gaps.unionByName(fill).repartition(parts(spark, buckets, 1), "bucket").sortWithinPartitions("bucket", "kind", "uid")
+    together = gaps.unionByName(fill).repartition(parts(spark, buckets, BUCKETS), "bucket").sortWithinPartitions("bucket", "kind", "uid")
     filled = together.mapInArrow(_filled(capacity), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return full.unionByName(placed).unionByName(filled).withColumnRenamed("id", id_col)

@@ -129,9 +129,17 @@ def test_both_tokenizers_agree(text):
     assert own(text).tolist() == [*other.encode(text, add_special_tokens=False).ids, 1]
 
 
+LONG_SPACES = [f"a{gap}b" for gap in (" " * 2_000_000, "\n" * 2_000_000, "\t" * 1_000_000, " \n\t\r\x0b" * 150_000, "\u3000 " * 300_000)] + ["a" + "\n" * 399 + " b"]
+
+
+def test_packing_long_spaces(spark):
+    rows = [(i, text, "a") for i, text in enumerate([LONG_SPACES[0], *LONG_SPACES[3:]])]
+    check_packing(rows, packing.pack(cases.documents(spark, rows), BPE).collect())
+
+
 def test_long_words_and_special_strings():
     own, other = packing.Tokens(BPE), Tokenizer.from_file(BPE)
-    for text in ("a<|endoftext|>b", "x" * 20000, "é" * 3000 + " end"):
+    for text in ("a<|endoftext|>b", "x" * 20000, "é" * 3000 + " end", *LONG_SPACES):
         assert own(text).tolist() == [*other.encode(text, add_special_tokens=False).ids, 1]
 
 
