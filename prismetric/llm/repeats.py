@@ -5,13 +5,16 @@ given length; each phrase starts with its trigger and overlaps the next one by i
 fixed residue, these stand in every window, and equal windows have theirs at the same place. So every window
 belongs to one trigger, and equal windows belong to equal triggers. A phrase here is a trigger with as much text
 before and behind as the windows reach that belong to it; the dictionary is the set of phrases, the parse the
-list of their places.
-
-All windows of a phrase that the parse has had before are repeats: for these, hashes of dictionary and parse are
-enough. Only phrases that differ, but share their trigger, are looked at byte by byte: their windows are sorted
-by content and, within equal content, by place in the corpus. That is the suffix order of dictionary and parse
-together, to the depth of a window, where suffixes can agree at all. The first of each run of equals is where a
-window starts first; the others are repeats.
+list of their places in the order of the corpus.
+
+The parse is sorted by phrase and place. All windows of a phrase that the parse has had before are repeats. In
+this step phrases are told apart by 128 bits: the hash of the trigger, and one of its first and last window.
+Dictionary phrases that share their trigger with another one may share windows too: of these the suffixes are
+sorted by their bytes, eight at a time, to the depth of a window, which is as far as a suffix can matter here
+(``suffix_runs``). Suffixes that agree to that depth stand in the order in which the parse has their phrases, and
+so in the order of the corpus: the first of each run is where that window starts first, the others are repeats.
+Suffixes of phrases with different triggers can't agree, so triggers are dealt out to tasks. Only where one trigger
+has over ``GROUP`` windows its phrases are dealt out by window, told apart by 128 bits as well.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parts, whole_text, written
+from .shared import collected, mix, parts, whole_text, written
 
 TRIGGER = 32
 #: Bytes parsed at once, windows sorted at once, and windows of one trigger that a task sorts at most.
@@ -36,12 +39,6 @@ NEW, CUT = 0, 1
 LOWEST = -(1 << 63)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(32))
-
-
 def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     out = left * np.uint64(0x9E3779B97F4A7C15)
     out += right
@@ -90,7 +87,7 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-PARSE = "state int, deal long, trigger long, content long, id long, hash long, first long, last long"
+PARSE = "state int, trigger long, content long, id long, hash long, first long, last long"
 
 
 def _parse(window: int):
@@ -116,9 +113,10 @@ def _parse(window: int):
         begin, end, new = cut[begin], cut[end], np.flatnonzero(new)
         rows = np.r_[new, begin]
         state = np.r_[np.full(len(new), NEW), np.full(len(begin), CUT)].astype(np.int32)
-        deal = np.where(state == NEW, trigger[rows].view(np.int64), mix(text[rows].view(np.uint64) + first[rows].astype(np.uint64)).view(np.int64))
+        # a cut has no trigger that matters: it goes anywhere
+        trigger[begin] = mix(text[begin].view(np.uint64) + first[begin].astype(np.uint64))
         until = np.r_[last[new], last[end] + window]
-        return pa.RecordBatch.from_arrays([pa.array(state), pa.array(deal), *(_longs(x[rows]) for x in (trigger, content, key, text, first)), _longs(until)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(state), *(_longs(x[rows]) for x in (trigger, content, key, text, first)), _longs(until)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -182,8 +180,39 @@ def _repeating(window: int):
     return run
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number that sorts as they do; zeros stand behind the end."""
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    out = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        out = (out << np.uint64(8)) | padded[k : k + len(data)]
+    return out
+
+
+def suffix_runs(data: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, run): the suffixes of ``data`` at ``places`` that share their first ``depth`` bytes with another, sorted
+    by these bytes and, where they agree, as in ``places``; run numbers those that agree.
+
+    Sorted by the first eight bytes, then within equal ones by the next eight, and so on; a suffix that nothing
+    agrees with any more has its place and is looked at no further.
+    """
+    words, order, run = eights(data), np.arange(len(places)), np.zeros(len(places), np.int64)
+    for at in range(0, depth, 8):
+        at = min(at, depth - 8)
+        key = words[places[order] + at]
+        # order is by run already: a stable sort by the new key and then by run keeps places in order
+        by = np.argsort(key, kind="stable")
+        by = by[np.argsort(run[by], kind="stable")]
+        order, run, key = order[by], run[by], key[by]
+        new = np.r_[True, (run[1:] != run[:-1]) | (key[1:] != key[:-1])][: len(order)]
+        run = np.cumsum(new) - 1
+        alone = new & np.r_[new[1:], True][: len(order)]
+        order, run = order[~alone], run[~alone]
+    return order, run
+
+
 class Sorted:
-    """Contexts in the order of the corpus whose windows are sorted together."""
+    """Phrases of the dictionary, with their first places, whose suffixes are sorted together."""
 
     def __init__(self, window: int):
         self.window = window
@@ -204,17 +233,12 @@ class Sorted:
         rows = sorted(self.rows, key=lambda r: (r[1], r[2], r[3]))
         w = self.window
         sizes = np.array([len(r[4]) for r in rows])
-        ends = np.cumsum(sizes)
-        data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-        hashes = rolled(data, w)
+        begin = np.cumsum(sizes) - sizes
         counts = sizes - w + 1
         row = np.repeat(np.arange(len(rows)), counts)
-        begin = ends - sizes
-        base = np.cumsum(counts) - counts
-        at = np.arange(len(row)) - base[row]  # place in the context
-        key = mix(hashes[begin[row] + at] ^ mix(np.array([r[0] for r in rows], np.int64).view(np.uint64))[row])
-        order = np.argsort(key, kind="stable")
-        head = np.r_[True, key[order][1:] != key[order][:-1]]
+        at = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]  # place in the phrase
+        order, run = suffix_runs(np.frombuffer(b"".join(r[4] for r in rows), np.uint8), begin[row] + at, w)
+        head = np.r_[True, run[1:] != run[:-1]][: len(run)]
         lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
         place = np.array([r[3] for r in rows])[row] + at
         doc = np.array([(r[1], r[2]) for r in rows], np.int64).reshape(-1, 2)[row]
@@ -358,8 +382,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     parsed = rows.select("id", "hash", "text").mapInArrow(_parse(window), PARSE)
     n = docs.count()
-    dealt = parsed.repartition(parts(spark, n, 20_000), "deal").sortWithinPartitions("trigger", "content", "id", "hash", "first")
+    dealt = parsed.repartition(parts(spark, n, 20_000), "trigger").sortWithinPartitions("trigger", "content", "id", "hash", "first")
     repeating = written(dealt.mapInArrow(_repeating(window), REPEATING), "repeating")
+    del parsed, dealt
+    collected(spark)
 
     texts = rows.mapInArrow(_packed, f"out_id {kind}, id long, hash long, packed binary")
     of_text = repeating.where(F.col("state") == NEW).groupBy("id", "hash").agg(F.collect_set(F.struct("trigger", "first", "last")).alias("phrases"))
@@ -367,6 +393,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     contexts = with_text.mapInArrow(_contexts(window), CONTEXT)
     sorted_ = contexts.repartition(parts(spark, n, 20_000), "trigger").sortWithinPartitions("trigger")
     again = written(sorted_.mapInArrow(_cuts(window, group), FOUND), "cuts")
+    del with_text, contexts, sorted_
+    collected(spark)
     cuts = repeating.where(F.col("state") == CUT).unionByName(again.where("context is null").withColumn("state", F.lit(CUT)).drop("context")).select("id", "hash", "first", "last")
     hot = again.where("context is not null")
     if not hot.isEmpty():

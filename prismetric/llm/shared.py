@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,6 +45,20 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def collected(spark: SparkSession) -> None:
+    """What lies behind written tables (shuffled files above all) goes from the executors' disks now; else it stays until
+    the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mixture of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
+
+
 def parts(spark: SparkSession, rows: int, each: int) -> int:
     """Partitions for ``rows`` with at most about ``each`` in one, never fewer than the session's own number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import components, parts, whole_text, written
+from .shared import components, mix, parts, whole_text, written
 
 SEED = 42
 #: Distinct fingerprints of one key that a task compares at once; a larger group is dealt anew by finer keys.
@@ -22,6 +22,8 @@ GROUP = 2048
 SMALL = 8
 #: Of a set's node, the bits that are the first of its wide fingerprint; the others tell apart sets that agree in them.
 FIRST, FIRST_BITS = np.uint64((1 << 40) - 1), 40
+#: Set in the keys of groups of whose links some were left out.
+TRACED = np.uint64(1 << 63)
 
 
 def hashes_of(text: str | None, shingle: int) -> np.ndarray:
@@ -88,12 +90,6 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, word
     return docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(32))
-
-
 ROWS = T.StructType([T.StructField("key", T.LongType()), T.StructField("used", T.LongType()), T.StructField("fp", T.LongType())])
 LINKS = T.StructType([T.StructField("hot", T.BooleanType()), *ROWS.fields])
 
@@ -168,7 +164,7 @@ def forest(n: int, pairs: np.ndarray) -> np.ndarray:
 def link_runs(bits: int, group: int, mask: np.uint64 = ~np.uint64(0), again: bool = False):
     """Rows sorted by key to links (hot false: key and fp are the ends) and rows of groups too large (hot true).
     Only bits in ``mask`` are compared. With ``again``, groups of whose links some were left out come out as well, as
-    hot rows whose used is 1."""
+    hot rows whose used is 1, and the links that they do propose have the group's key as used."""
 
     def links(key: np.ndarray, used: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -181,9 +177,13 @@ def link_runs(bits: int, group: int, mask: np.uint64 = ~np.uint64(0), again: boo
         for s, n in zip(starts, sizes, strict=True):
             if SMALL < n <= group:
                 every = close_pairs(fp[s : s + n] & mask, bits)
-                pairs.append(forest(n, every) + s)
-                if again and len(pairs[-1]) < len(every):
-                    yield _table(LINKS.names, np.ones(n, bool), key[s : s + n], np.ones(n, np.uint64), fp[s : s + n])
+                tree = forest(n, every) + s
+                if again and len(tree) < len(every):
+                    yield _table(LINKS.names, np.ones(n, bool), key[s : s + n] | TRACED, np.ones(n, np.uint64), fp[s : s + n])
+                    ends = np.sort(fp[tree], axis=1)
+                    yield _table(LINKS.names, np.zeros(len(ends), bool), ends[:, 0], key[s : s + 1].repeat(len(ends)) | TRACED, ends[:, 1])
+                else:
+                    pairs.append(tree)
         found = np.concatenate(pairs)
         if len(found):
             ends = np.unique(np.sort(fp[found], axis=1), axis=0)
@@ -308,9 +308,9 @@ def similar_links(marks: DataFrame, how: Search, group: int = GROUP, sets: DataF
     and, with ``sets(fp, hashes)``, whose sets have a Jaccard similarity of at least ``similarity``. They connect what
     all such pairs connect. A group over the bound is cut into blocks, every two of which meet in one task.
 
-    Each group proposes a cycle-free part of its links. Where it left some out and its rows are not connected by
-    links that hold, each row proposes those to its closest ones elsewhere, eight times as many in each round, until
-    none is left out.
+    Each group proposes a cycle-free part of its links. Where all of these hold, they connect what the group's links
+    connect. Where it left some out and one that it proposed fails, each row proposes the links to its closest ones in
+    other components, eight times as many in each round, until none is left out.
     """
     spark = marks.sparkSession
     rows = marks.select("fp", "wide").mapInArrow(wide_variants(how), ROWS)
@@ -339,6 +339,10 @@ def similar_links(marks: DataFrame, how: Search, group: int = GROUP, sets: DataF
             new = written(both(new, held, _alike(similarity)), "alike")
         out = new if out is None else out.union(new)
         left = found.where("hot and used = 1")
+        if width == 1:
+            failed = found.where("not hot and used <> 0").select(F.col("key").alias("a"), F.col("fp").alias("b"), F.col("used").alias("group"))
+            failed = failed.join(out, ["a", "b"], "left_anti").select(F.col("group").alias("key")).distinct()
+            left = written(left.join(failed, "key", "left_semi"), "again")
         if left.isEmpty():
             return out
         width *= 8
