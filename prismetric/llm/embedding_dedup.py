@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .shared import components, parts, written
 
@@ -21,13 +22,12 @@ GROUP = 1024
 @dataclass(frozen=True)
 class Filters:
     """A filter is a direction made of one code word for each of ``blocks`` parts of the (rotated) space; a vector
-    passes all filters on which it projects at least ``level`` (in units where a random unit vector's projection
-    has variance 1)."""
+    passes all filters on which its projection exceeds a level of its own: that of its ``passes`` best ones."""
 
     dim: int
     blocks: int
     words: int
-    level: float
+    passes: int
     seed: int = 1
 
     def codes(self) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -42,63 +42,52 @@ class Filters:
 
 
 def filters_for(rows: int, dim: int, passes: int) -> Filters:
-    """Filters for ``rows`` vectors: the level at which about two unlike vectors pass a filter, and as many filters as
-    let a vector pass ``passes`` of them on average. Vectors as close as copies share most of what either passes."""
+    """Filters for ``rows`` vectors: so many that about two unlike vectors pass each, if each vector passes ``passes``
+    of them. Vectors as close as copies share most of what either passes. A level for all vectors would let some pass
+    hundreds and others none, since projections on a few words have wide tails; a vector's own level does not."""
     tail = min(0.02, max(2 / max(rows, 1), 1e-12))
-    low, high = 0.0, 40.0
-    while high - low > 1e-6:
-        middle = (low + high) / 2
-        low, high = (middle, high) if math.erfc(middle / math.sqrt(2)) / 2 > tail else (low, middle)
     blocks = min(dim, 2 if tail > 1e-4 else 3 if tail > 1e-7 else 4)
-    return Filters(dim, blocks, max(2, math.ceil((passes / tail) ** (1 / blocks))), low)
+    return Filters(dim, blocks, max(2, math.ceil((passes / tail) ** (1 / blocks))), passes)
 
 
-def decode(unit: np.ndarray, filters: Filters, codes: tuple[np.ndarray, list[np.ndarray]], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) for every filter that a row exceeds, block by block: a choice of code words for the first
-    blocks goes on only while the best words of the blocks to come could still lift it to the level. A row that
-    exceeds fewer than ``least`` filters has its level lowered by steps until it does not."""
+def decode(unit: np.ndarray, filters: Filters, codes: tuple[np.ndarray, list[np.ndarray]]) -> np.ndarray:
+    """A row of filters for each vector, in their order: those on which it projects best. Block by block: the best
+    choices of words for the blocks so far are all that the best ones for one block more can be made of."""
     turn, books = codes
-    scale = math.sqrt(filters.dim)
-    turned = unit @ turn
+    turned, n = unit @ turn, filters.passes
     splits = np.array_split(np.arange(filters.dim), filters.blocks)
-    gains = [scale * turned[:, part] @ book.T for part, book in zip(splits, books, strict=True)]
-    rest = np.zeros((len(unit), filters.blocks + 1))
-    for b in range(filters.blocks - 1, -1, -1):
-        rest[:, b] = rest[:, b + 1] + gains[b].max(1)
-    level = np.full(len(unit), filters.level)
-    todo, rows, marks = np.arange(len(unit)), [], []
-    while len(todo):
-        row, mark, reached = todo, np.zeros(len(todo), np.int64), np.zeros(len(todo))
-        for b in range(filters.blocks):
-            total = reached[:, None] + gains[b][row]
-            at, word = np.nonzero(total >= (level[row] - rest[row, b + 1])[:, None])
-            row, mark, reached = row[at], mark[at] * filters.words + word, total[at, word]
-        counts = np.bincount(row, minlength=len(unit))
-        full = counts[row] >= least
-        rows.append(row[full])
-        marks.append(mark[full])
-        todo = todo[counts[todo] < min(least, filters.words**filters.blocks)]
-        level[todo] -= 0.25
-    return np.concatenate(rows), np.concatenate(marks)
-
-
-def _spread(filters: Filters, least: int):
-    """(node, label, unit) to (node, label, mark, passed): a row for each filter passed; the first of a node's rows has
+    reached, marks = np.zeros((len(unit), 1)), np.zeros((len(unit), 1), np.int64)
+    for part, book in zip(splits, books, strict=True):
+        gains = turned[:, part] @ book.T
+        best = np.argsort(-gains, axis=1, kind="stable")[:, :n]
+        total = (reached[:, :, None] + np.take_along_axis(gains, best, 1)[:, None, :]).reshape(len(unit), -1)
+        mark = (marks[:, :, None] * filters.words + best[:, None, :]).reshape(len(unit), -1)
+        held = np.argsort(-total, axis=1, kind="stable")[:, :n]
+        reached, marks = np.take_along_axis(total, held, 1), np.take_along_axis(mark, held, 1)
+    return np.sort(marks, axis=1)
+
+
+def _units(column: pa.Array | tuple) -> np.ndarray:
+    """Vectors of one length as rows of length 1; divided by their largest component first, so that no square overflows
+    or vanishes."""
+    found = np.array(column.to_pylist() if isinstance(column, pa.Array) else column, float).reshape(len(column), -1)
+    found /= np.abs(found).max(1, keepdims=True)
+    return found / np.sqrt((found * found).sum(1, keepdims=True))
+
+
+def _spread(filters: Filters):
+    """(node, label, vector) to (node, label, mark, passed): a row for each filter passed; the first of a node's rows has
     all of them as passed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = filters.codes()
         for batch in (b.slice(at, 250) for b in batches for at in range(0, b.num_rows, 250)):
-            unit = np.array(batch.column("unit").to_pylist(), float).reshape(batch.num_rows, -1)
-            row, mark = decode(unit, filters, codes, least)
-            order = np.lexsort((mark, row))
-            row, mark = row[order], mark[order]
-            begin = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            passed: list[bytes | None] = [None] * len(row)
-            for a, b in zip(begin[:-1], begin[1:], strict=True):
-                passed[a] = mark[a:b].tobytes()
-            same = [batch.column(c).take(pa.array(row)) for c in ("node", "label")]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(mark), pa.array(passed, pa.binary())], names=["node", "label", "mark", "passed"])
+            marks = decode(_units(batch.column("vector")), filters, codes)
+            n, each = marks.shape
+            passed: list[bytes | None] = [None] * (n * each)
+            passed[::each] = [row.tobytes() for row in marks]
+            same = [batch.column(c).take(pa.array(np.repeat(np.arange(n), each))) for c in ("node", "label")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(marks.ravel()), pa.array(passed, pa.binary())], names=["node", "label", "mark", "passed"])
 
     return run
 
@@ -149,9 +138,9 @@ def _linked(cosine: float):
     def group(rows: list[tuple]) -> pa.RecordBatch | None:
         if len(rows) < 2:
             return None
-        _, nodes, marks, unit, passed, side, times = zip(*rows, strict=True)
+        _, nodes, marks, vectors, passed, side, times = zip(*rows, strict=True)
         degree, tree = compare(
-            np.array(nodes), np.array(times), np.array(unit, float), [np.frombuffer(x, np.int64) for x in passed], marks[0], cosine, np.array(side)
+            np.array(nodes), np.array(times), _units(vectors), [np.frombuffer(x, np.int64) for x in passed], marks[0], cosine, np.array(side)
         )
         some = np.flatnonzero(degree)
         if not len(some):
@@ -164,7 +153,7 @@ def _linked(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "mark", "unit", "passed", "side", "times")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "mark", "vector", "passed", "side", "times")), strict=True):
                 if held and held[0][0] != row[0]:
                     if (out := group(held)) is not None:
                         yield out
@@ -176,7 +165,7 @@ def _linked(cosine: float):
     return run
 
 
-def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, group: int = GROUP, passes: int = 20) -> DataFrame:
+def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, group: int = GROUP, passes: int = 24) -> DataFrame:
     """One row per row of ``vectors``: (id, n_links, component_id, kept).
 
     Vectors link when their labels are equal and not null and their cosine in double precision is at least
@@ -192,38 +181,37 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     spark = vectors.sparkSession
     v = F.col("vector")
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
-    square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+    # vectors travel as they come (single precision is half as long); they are compared in double precision
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast(kind).alias("vector"))
     whole = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)) & F.exists(v, lambda x: x != 0)
-    largest = F.array_max(F.transform(v, F.abs))
     rows = rows.withColumn("links", F.coalesce(whole, F.lit(False)) & F.col("label").isNotNull())
-    # divided by the largest component first, so that no square overflows or vanishes
-    rows = rows.withColumn("vector", F.when(F.col("links"), F.transform(v, lambda x: x / largest)))
-    rows = rows.withColumn("unit", F.when(F.col("links"), F.transform(v, lambda x: x / F.sqrt(square)))).drop("vector")
-    hashes = {"h1": F.xxhash64("label", "unit"), "h2": F.xxhash64(F.lit(1), "unit", "label")}
+    # negative zero counts as zero; vectors that are multiples of each other are nodes of their own that link
+    rows = rows.withColumn("vector", F.when(F.col("links"), F.transform(v, lambda x: x + F.lit(0).cast(kind[6:-1]))))
+    hashes = {"h1": F.xxhash64("label", "vector"), "h2": F.xxhash64(F.lit(1), "vector", "label")}
     rows = written(rows.withColumns({c: F.when(F.col("links"), h) for c, h in hashes.items()}), "vectors")
-    nodes = rows.where("links").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("low"), F.first("label").alias("label"), F.first("unit").alias("unit"))
+    nodes = rows.where("links").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("low"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     found = None
-    for dim in [r[0] for r in nodes.select(F.size("unit")).distinct().collect()]:
-        own = nodes.where(F.size("unit") == dim)
+    for dim in [r[0] for r in nodes.select(F.size("vector")).distinct().collect()]:
+        own = nodes.where(F.size("vector") == dim)
         filters = filters_for(own.count(), dim, passes)
         schema = T.StructType([nodes.schema["node"], nodes.schema["label"], T.StructField("mark", T.LongType()), T.StructField("passed", T.BinaryType())])
-        passing = own.select("node", "label", "unit").repartition(parts(spark, own.count(), 20_000)).mapInArrow(_spread(filters, passes // 2), schema)
+        passing = own.select("node", "label", "vector").repartition(parts(spark, own.count(), 20_000)).mapInArrow(_spread(filters), schema)
         passing = written(passing, "passing")
         # most filters have one vector of a label; only the others' vectors are brought together
-        sizes = passing.groupBy("label", "mark").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-        sizes = sizes.select(F.col("label").alias("__label"), F.col("mark").alias("__mark"), F.ceil(F.col("rows") / (group // 2)).cast("int").alias("blocks"))
-        sizes = sizes.withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")))
-        cut = passing.drop("passed").join(sizes, (F.col("label") == F.col("__label")) & (F.col("mark") == F.col("__mark")))
-        data = own.select("node", "times", "unit").join(passing.where("passed is not null").select("node", "passed"), "node")
-        cut = written(cut.select("node", "label", "mark", "blocks").join(data, "node"), "meeting")
+        together = F.count(F.lit(1)).over(Window.partitionBy("label", "mark"))
+        cut = passing.select("node", "label", "mark", together.alias("rows")).where("rows > 1")
+        blocks = F.ceil(F.col("rows") / (group // 2)).cast("int")
+        cut = cut.withColumn("blocks", F.when(blocks <= 2, 1).otherwise(blocks)).drop("rows")
+        data = own.select("node", "times", "vector").join(passing.where("passed is not null").select("node", "passed"), "node")
+        cut = written(cut.join(data, "node"), "meeting")
         cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
         key = F.xxhash64("label", "mark", F.least("own", "other"), F.greatest("own", "other"))
-        pairs = cut.select(key.alias("key"), "node", "mark", "unit", "passed", side.alias("side"), "times")
+        pairs = cut.select(key.alias("key"), "node", "mark", "vector", "passed", side.alias("side"), "times")
         dealt = pairs.repartition(parts(spark, cut.count(), 50_000), "key").sortWithinPartitions("key", "mark")
         links = written(dealt.mapInArrow(_linked(cosine), PAIRS), "links")
         found = links if found is None else found.unionByName(links)
