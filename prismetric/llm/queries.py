@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import embedding_dedup, exact_dedup, licences, mixing, packing, pii, repeats, simhash, token_counts, toxicity
 from .licence_oracle import LICENCES
@@ -40,7 +41,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pii(_read(spark, sf_dir, "documents"))
+    return pii_digests(pii.pii(_read(spark, sf_dir, "documents")))
+
+
+def pii_digests(found: DataFrame) -> DataFrame:
+    """The base spans and the sanitised texts as digests; the latter null where a text stays as it is."""
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], digest("base"), "spans", digest("sanitised"))
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +92,7 @@ ORACLES: dict[str, str] = {
     "op6_source_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                   md5(coalesce(doc_id::VARCHAR, '')) AS o
+                   md5(concat(coalesce(doc_id::VARCHAR, ''), ':', coalesce(text, ''))) AS o
             FROM documents
         ), s AS (
             SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS place
@@ -99,14 +106,27 @@ ORACLES: dict[str, str] = {
         ), t AS (
             SELECT *, least((3 * source_size)::DOUBLE, max(level) OVER () * weight) AS target FROM l
         ), q AS (
-            SELECT *, round(target)::BIGINT AS quota FROM t
+            SELECT *, round(target)::BIGINT AS quota, sum(round(target)::BIGINT) OVER (ORDER BY place)::BIGINT AS until FROM t
+        ), n AS (SELECT greatest(1, sum(quota))::BIGINT AS words, least(65536, greatest(1, -(-sum(quota) // 1048576)))::BIGINT AS block FROM q
+        ), r AS (
+            SELECT q.*, block, floor((until - quota)::DOUBLE / words * 4294967296)::BIGINT AS lo, floor(until::DOUBLE / words * 4294967296)::BIGINT AS hi FROM q, n
+        ), x AS (
+            SELECT i AS slot, i * 2654435769 % 4294967296 AS point FROM (SELECT unnest(range((SELECT -(-sum(quota) // block) FROM q, n GROUP BY block)::BIGINT)) AS i)
+        ), y AS (SELECT slot, place, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS rank FROM x JOIN r ON point >= lo AND point < hi
+        ), z AS (SELECT place, count(*) AS n FROM y GROUP BY place
         ), p AS (
             SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
             FROM d
+        ), a AS (
+            SELECT p.doc_id, p.size, r.source_size, r.target, r.place, r.block, p.ahead, least(coalesce(z.n, 0) * r.block, 3 * r.source_size)::BIGINT AS reach
+            FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source LEFT JOIN z USING (place)
         )
         SELECT doc_id, size, source_size, target,
-               (size * (quota // greatest(source_size, 1)) + least(size, greatest(0, quota % greatest(source_size, 1) - ahead)))::BIGINT AS taken
-        FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source
+               (size * (reach // greatest(source_size, 1)) + least(size, greatest(0, reach % greatest(source_size, 1) - ahead)))::BIGINT AS taken,
+               list_sum([CASE WHEN size > 0 AND ahead + k * source_size < reach
+                              THEN (least(ahead + k * source_size + size, reach) - 1) // block - (ahead + k * source_size) // block + 1 ELSE 0 END FOR k IN [0, 1, 2]])::BIGINT AS n_slots,
+               CASE WHEN size > 0 AND ahead < reach THEN y.slot ELSE -1 END::BIGINT AS first_slot
+        FROM a LEFT JOIN y ON y.place = a.place AND y.rank = a.ahead // a.block
     """,
     "op8_licence_scan": LICENCES,
 }
