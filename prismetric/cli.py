@@ -12,7 +12,7 @@ from pyspark.errors import PySparkException
 
 from . import config as settings
 from . import narrate, rpc, voices
-from .model import BANDS, SEVERITIES, ProfileReport
+from .model import BANDS, SEVERITIES, TableProfile
 from .operators import expectations, multi, redact
 from .operators.diff import compare, diff_to_dict
 from .operators.profile import is_remote, profile
@@ -120,7 +120,7 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def _profiled(args: argparse.Namespace, path: str, conf: settings.LoadedConfig, table: str | None = None) -> ProfileReport:
+def _profiled(args: argparse.Namespace, path: str, conf: settings.LoadedConfig, table: str | None = None) -> TableProfile:
     spark = session()
     df = load(spark, path, table=table or getattr(args, "table", None), form=getattr(args, "format", None), region=getattr(args, "region", None), sheet=_sheet(getattr(args, "sheet", None)))
     rules = conf.values.get("pii", {}).get("name_rules", [])
@@ -128,10 +128,6 @@ def _profiled(args: argparse.Namespace, path: str, conf: settings.LoadedConfig,
     return profile(df, path=path if is_remote(path) else Path(path), sample=args.sample or conf.values.get("sample"), timeseries_=series, rules=rules)
 
 
-def _worst(report: ProfileReport) -> tuple[float, str, str]:
-    return max(((f.confidence, f.kind, c.name) for c in report.columns for f in c.pii), key=lambda x: x[0], default=(0.0, "", ""))
-
-
 def summon(args: argparse.Namespace, conf: settings.LoadedConfig, voice: voices.Persona) -> int:
     fail_on = args.fail_on_pii or conf.values.get("fail_on_pii")
     min_score = args.min_score if args.min_score is not None else conf.values.get("min_score")
@@ -148,7 +144,7 @@ def summon(args: argparse.Namespace, conf: settings.LoadedConfig, voice: voices.
         many = multi.profile_many(spark, files, sample=args.sample, table=args.table, sheet=_sheet(args.sheet), region=args.region, form=args.format, timeseries_=not args.no_timeseries, rules=conf.values.get("pii", {}).get("name_rules", []))
         if not args.quiet or args.json:
             print(reports.dumps(reports.multi_to_dict(many)) if args.json else reports.multi_text(many))
-        if fail_on and any(_worst(f.report)[0] >= BANDS[fail_on] for f in many.files if f.report):
+        if fail_on and any(f.report.most_personal()[0] >= BANDS[fail_on] for f in many.files if f.report):
             return PII
         return OK if many.loaded_count else BAD_INPUT
     report = _profiled(args, args.path, conf)
@@ -165,7 +161,7 @@ def summon(args: argparse.Namespace, conf: settings.LoadedConfig, voice: voices.
         print(reports.dumps(reports.report_to_dict(report, score if args.score else None)))
     elif not args.quiet:
         print(reports.text(report, score))
-    confidence, kind, column = _worst(report)
+    confidence, kind, column = report.most_personal()
     if fail_on and confidence >= BANDS[fail_on]:
         if not args.json and not args.quiet:
             print(f"{voice.refusal} {kind} in column '{column}' (confidence {confidence:.2f} ≥ {fail_on} threshold {BANDS[fail_on]:.2f}).")
@@ -203,7 +199,7 @@ def watch(args: argparse.Namespace, conf: settings.LoadedConfig, voice: voices.P
     told = conf.values.get("watch", {})
     interval = args.interval if args.interval is not None else told.get("poll_interval", 1.0)
     wait = args.debounce_ms if args.debounce_ms is not None else told.get("debounce_ms", watching.DEBOUNCE_MS)
-    before: dict[Path, ProfileReport] = {}
+    before: dict[Path, TableProfile] = {}
 
     def render(path: Path) -> None:
         report = _profiled(args, str(path), conf)

@@ -26,13 +26,13 @@ def digits(v: Column) -> Column:
     return F.regexp_replace(v, r"(?U)\D+", "")
 
 
-def card(v: Column) -> Column:
-    d = digits(v)
+def card(v: Column, d: Column | None = None) -> Column:
+    d = digits(v) if d is None else d
     return F.length(d).between(12, 19) & F.coalesce(F.call_function("luhn_check", d), F.lit(False))
 
 
-def phone(v: Column) -> Column:
-    return v.rlike(PHONE) & F.length(digits(v)).between(7, 15)
+def phone(v: Column, d: Column | None = None) -> Column:
+    return F.length(digits(v) if d is None else d).between(7, 15) & v.rlike(PHONE)
 
 
 def name(v: Column) -> Column:
@@ -44,17 +44,26 @@ def date(v: Column) -> Column:
     return v.rlike(DATE_START) | v.rlike(DATE_WHOLE)
 
 
-#: In the order in which findings are made.
-DETECTORS: dict[str, Callable[[Column], Column]] = {
-    "email": lambda v: v.rlike(EMAIL),
+def has(sign: str, pattern: str) -> Callable[..., Column]:
+    """Values that fit the pattern, which none without the sign does."""
+    return lambda v, d=None: F.contains(v, F.lit(sign)) & v.rlike(pattern)
+
+
+#: In the order in which findings are made. A detector takes a value, and its digits if they are known.
+DETECTORS: dict[str, Callable[..., Column]] = {
+    "email": has("@", EMAIL),
     "credit_card": card,
-    "ipv4": lambda v: v.rlike(IPV4),
-    "ipv6": lambda v: v.rlike(IPV6),
+    "ipv4": has(".", IPV4),
+    "ipv6": has(":", IPV6),
     "phone": phone,
-    "ssn": lambda v: v.rlike(SSN),
+    "ssn": has("-", SSN),
 }
 #: Evidence that counts only beside a column's name or type.
-WEAK: dict[str, Callable[[Column], Column]] = {"ssn_loose": lambda v: v.rlike(SSN_LOOSE), "name": name, "date": date}
+WEAK: dict[str, Callable[..., Column]] = {
+    "ssn_loose": lambda v, d=None: (F.length(v) == 9) & v.rlike(SSN_LOOSE),
+    "name": lambda v, d=None: name(v),
+    "date": lambda v, d=None: date(v),
+}
 
 
 def shape(v: Column) -> Column:

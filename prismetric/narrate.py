@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from .model import ProfileReport
+from .model import TableProfile
 from .render.reports import report_to_dict
 from .voices import Persona, resolve
 
@@ -59,7 +59,7 @@ def load_config(env: dict[str, str] | None = None, *, timeout: float | None = No
     return LLMConfig(found[BASE_URL], env.get(KEY, "").strip() or None, found[MODEL], TIMEOUT if timeout is None else timeout)
 
 
-def shortened(report: ProfileReport) -> str:
+def shortened(report: TableProfile) -> str:
     """The profile as JSON within the bound: fewer frequent values, then none, then cut."""
     data = report_to_dict(report)
     for keep in (None, 3, 0):
@@ -71,7 +71,7 @@ def shortened(report: ProfileReport) -> str:
     return text[:MOST_BYTES]
 
 
-def messages(report: ProfileReport, persona: Persona | None = None) -> list[dict[str, str]]:
+def messages(report: TableProfile, persona: Persona | None = None) -> list[dict[str, str]]:
     return [{"role": "system", "content": (persona or resolve(None)).prompt}, {"role": "user", "content": f"The profile:\n{shortened(report)}"}]
 
 
@@ -96,7 +96,7 @@ def post(config: LLMConfig, body: dict[str, Any]) -> dict[str, Any]:
         raise LLMUnavailableError("Provider returned non-JSON response.") from e
 
 
-def read(report: ProfileReport, config: LLMConfig, persona: Persona | None = None, send: Callable[[LLMConfig, dict[str, Any]], dict[str, Any]] = post) -> LLMResult:
+def read(report: TableProfile, config: LLMConfig, persona: Persona | None = None, send: Callable[[LLMConfig, dict[str, Any]], dict[str, Any]] = post) -> LLMResult:
     began = time.monotonic()
     answer = send(config, {"model": config.model, "messages": messages(report, persona), "temperature": TEMPERATURE, "stream": False})
     took = time.monotonic() - began

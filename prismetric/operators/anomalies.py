@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from ..model import Anomaly
+from ..model import ODD, Notice
 
 # Thresholds, and names that promise unique values.
 HIGH_NULLS, ALMOST_ALL = 50.0, 90.0
@@ -13,13 +13,17 @@ LEAST_NUMBERS, FENCE, MANY_PCT = 8, 1.5, 1.0
 KEY = re.compile(r"(id|.*_id|pk|primary_key|uuid|guid)", re.IGNORECASE)
 
 
-def high_nulls(null_pct: float, threshold: float = HIGH_NULLS) -> Anomaly | None:
+def odd(kind: str, level: str, words: str) -> Notice:
+    return Notice(ODD, kind, level=level, words=words)
+
+
+def high_nulls(null_pct: float, threshold: float = HIGH_NULLS) -> Notice | None:
     if null_pct < threshold:
         return None
-    return Anomaly("high_nulls", "high" if null_pct >= ALMOST_ALL else "warn", f"{null_pct:.2f}% of values are NULL (>= {threshold:.0f}%).")
+    return odd("high_nulls", "high" if null_pct >= ALMOST_ALL else "warn", f"{null_pct:.2f}% of values are NULL (>= {threshold:.0f}%).")
 
 
-def mixed_types(dtype: str, shapes: dict[str, int]) -> Anomaly | None:
+def mixed_types(dtype: str, shapes: dict[str, int]) -> Notice | None:
     """``shapes``: how many values have each shape; empty ones are left out."""
     total = sum(shapes.values())
     if not total or not re.search("VARCHAR|TEXT", dtype.upper()):
@@ -28,14 +32,14 @@ def mixed_types(dtype: str, shapes: dict[str, int]) -> Anomaly | None:
     if len(common) < 2:  # one shape, or one besides a few stray values
         return None
     said = ", ".join(f"{s}={n}" for s, n in common)
-    return Anomaly("mixed_types", "warn", f"VARCHAR column carries mixed value shapes ({said}).")
+    return odd("mixed_types", "warn", f"VARCHAR column carries mixed value shapes ({said}).")
 
 
-def key_duplicates(name: str, rows: int, distinct: int) -> Anomaly | None:
+def key_duplicates(name: str, rows: int, distinct: int) -> Notice | None:
     """A null counts as a duplicate: it is a row without a value of its own."""
     if rows <= 1 or distinct >= rows or not KEY.fullmatch(name):
         return None
-    return Anomaly("pk_duplicates", "high", f"PK-candidate column has {rows - distinct:,} duplicate value(s) ({distinct:,}/{rows:,} distinct).")
+    return odd("pk_duplicates", "high", f"PK-candidate column has {rows - distinct:,} duplicate value(s) ({distinct:,}/{rows:,} distinct).")
 
 
 def fences(numbers: list[float]) -> tuple[float, float] | None:
@@ -52,7 +56,7 @@ def fences(numbers: list[float]) -> tuple[float, float] | None:
     return (low - reach, high + reach) if reach > 0 else None
 
 
-def numeric_outliers(numbers: list[float]) -> Anomaly | None:
+def numeric_outliers(numbers: list[float]) -> Notice | None:
     n = len(numbers)
     if n < LEAST_NUMBERS or not (fence := fences(numbers)):
         return None
@@ -60,9 +64,9 @@ def numeric_outliers(numbers: list[float]) -> Anomaly | None:
     if not outside:
         return None
     pct = 100.0 * outside / n
-    return Anomaly("numeric_outliers", "warn" if pct >= MANY_PCT else "info", f"{outside} of {n} values lie outside IQR fence [{fence[0]:.4g}, {fence[1]:.4g}] ({pct:.1f}%).")
+    return odd("numeric_outliers", "warn" if pct >= MANY_PCT else "info", f"{outside} of {n} values lie outside IQR fence [{fence[0]:.4g}, {fence[1]:.4g}] ({pct:.1f}%).")
 
 
-def anomalies(name: str, dtype: str, rows: int, distinct: int, null_pct: float, shapes: dict[str, int], numbers: list[float] | None, threshold: float = HIGH_NULLS) -> list[Anomaly]:
+def anomalies(name: str, dtype: str, rows: int, distinct: int, null_pct: float, shapes: dict[str, int], numbers: list[float] | None, threshold: float = HIGH_NULLS) -> list[Notice]:
     found = [high_nulls(null_pct, threshold), mixed_types(dtype, shapes), key_duplicates(name, rows, distinct), numeric_outliers(numbers) if numbers else None]
     return [a for a in found if a]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import family
-from ..model import SEVERITIES, ColumnProfile, PIIFinding, ProfileReport
+from ..model import PERSONAL, SEVERITIES, ColumnRow, TableProfile
 from . import stats
 
 # From which change on a severity holds (low, medium, high).
@@ -18,22 +18,20 @@ RELATIVE = (0.10, 0.50, 2.00)
 SURE, SHIFT, FAR_SHIFT = 0.60, 0.20, 0.40
 
 
-@dataclass(frozen=True)
-class FieldChange:
-    field: str
-    before: Any
-    after: Any
-    severity: str = "low"
-    detail: str | None = None
+#: What a change is of: a fact of the column, or what it gives notice of.
+FACT, NOTICE = "fact", "notice"
 
 
 @dataclass(frozen=True)
-class PIIChange:
-    kind: str
-    direction: str
-    before: float | None
-    after: float | None
-    severity: str = "medium"
+class Change:
+    """Of the fact or the kind of notice ``of``: its values on both sides (None where there is none), how severe it is,
+    and words about it."""
+
+    about: str
+    of: str
+    sides: tuple[Any, Any]
+    severity: str
+    words: str | None = None
 
 
 def worst(severities) -> str:
@@ -41,32 +39,32 @@ def worst(severities) -> str:
 
 
 @dataclass(frozen=True)
-class ColumnDiff:
-    name: str
-    status: str
-    before_dtype: str | None = None
-    after_dtype: str | None = None
-    changes: tuple[FieldChange, ...] = ()
-    pii_changes: tuple[PIIChange, ...] = ()
+class Matched:
+    """The columns of one name in two profiles, None where a profile has none, and what has changed between them."""
+
+    sides: tuple[ColumnRow | None, ColumnRow | None]
+    changes: tuple[Change, ...] = ()
+
+    @property
+    def name(self) -> str:
+        return next(c.name for c in self.sides if c)
+
+    @property
+    def status(self) -> str:
+        before, after = self.sides
+        return "added" if not before else "removed" if not after else "changed" if self.changes else "unchanged"
 
     @property
     def severity(self) -> str:
-        least = ["medium"] if self.status in ("added", "removed") else []
-        return worst([*least, *(c.severity for c in (*self.changes, *self.pii_changes))])
+        least = ["medium"] if None in self.sides else []
+        return worst([*least, *(c.severity for c in self.changes)])
 
 
 @dataclass(frozen=True)
-class SchemaDiff:
-    before_path: str | None
-    after_path: str | None
-    before_rows: int
-    after_rows: int
-    before_cols: int
-    after_cols: int
-    columns: tuple[ColumnDiff, ...] = ()
-
-    def named(self, status: str) -> tuple[ColumnDiff, ...]:
-        return tuple(c for c in self.columns if c.status == status)
+class Comparison:
+    before: TableProfile
+    after: TableProfile
+    columns: tuple[Matched, ...] = ()
 
     @property
     def severity(self) -> str:
@@ -84,41 +82,40 @@ def relative(before: float | None, after: float | None) -> str:
     return banded(abs(after - before) / max(abs(before), 1e-9), RELATIVE)
 
 
-def _pii(before: tuple[PIIFinding, ...], after: tuple[PIIFinding, ...]) -> tuple[PIIChange, ...]:
-    old, new = ({f.kind: f.confidence for f in side} for side in (before, after))
+def _notices(before: ColumnRow | None, after: ColumnRow | None) -> list[Change]:
+    old, new = ({n.kind: n.weight for n in (side.about(PERSONAL) if side else ())} for side in (before, after))
     out = []
     for kind in sorted(old | new):
         b, a = old.get(kind), new.get(kind)
         if a is None or b is None:
             sure = (b if a is None else a) >= SURE
-            out.append(PIIChange(kind, "disappeared" if a is None else "appeared", b, a, "high" if sure else "medium"))
+            out.append(Change(NOTICE, kind, (b, a), "high" if sure else "medium", "disappeared" if a is None else "appeared"))
         elif abs(a - b) >= SHIFT:
-            out.append(PIIChange(kind, "shifted", b, a, "high" if abs(a - b) >= FAR_SHIFT else "medium"))
-    return tuple(out)
+            out.append(Change(NOTICE, kind, (b, a), "high" if abs(a - b) >= FAR_SHIFT else "medium", "shifted"))
+    return out
 
 
-def _changes(b: ColumnProfile, a: ColumnProfile) -> tuple[FieldChange, ...]:
-    points = a.null_pct - b.null_pct
+def _facts(b: ColumnRow, a: ColumnRow) -> list[Change]:
+    points = a.null_share - b.null_share
+    retyped = "none" if a.type == b.type else "medium" if family(a.type) == family(b.type) else "high"
     seen = [
-        ("dtype", b.dtype, a.dtype, "none" if a.dtype == b.dtype else "medium" if family(a.dtype) == family(b.dtype) else "high", None),
-        ("null_pct", b.null_pct, a.null_pct, banded(abs(points), NULL_POINTS), f"Δ {points:+.2f} pp"),
-        *((name, getattr(b, name), getattr(a, name), relative(getattr(b, name), getattr(a, name)), None) for name in ("distinct", "mean", "stddev")),
+        Change(FACT, "dtype", (b.type, a.type), retyped),
+        Change(FACT, "null_pct", (b.null_share, a.null_share), banded(abs(points), NULL_POINTS), f"Δ {points:+.2f} pp"),
     ]
-    return tuple(FieldChange(*one) for one in seen if one[3] != "none")
+    for name, old, new in (("distinct", b.distinct, a.distinct), ("mean", b.mean, a.mean), ("stddev", b.deviation, a.deviation)):
+        seen.append(Change(FACT, name, (old, new), relative(old, new)))
+    return [c for c in seen if c.severity != "none"]
 
 
-def compare(before: ProfileReport, after: ProfileReport) -> SchemaDiff:
+def compare(before: TableProfile, after: TableProfile) -> Comparison:
     """Columns in the order of ``after``, then those that only ``before`` has."""
     old, new = ({c.name: c for c in side.columns} for side in (before, after))
     out = []
     for name in (*new, *(n for n in old if n not in new)):
         b, a = old.get(name), new.get(name)
-        pii = _pii(b.pii if b else (), a.pii if a else ())
-        changes = _changes(b, a) if a and b else ()
-        status = "added" if not b else "removed" if not a else "changed" if changes or pii else "unchanged"
-        out.append(ColumnDiff(name, status, b.dtype if b else None, a.dtype if a else None, changes, pii))
-    text = lambda p: str(p) if p else None
-    return SchemaDiff(text(before.path), text(after.path), before.rows, after.rows, before.cols, after.cols, tuple(out))
+        facts = _facts(b, a) if a and b else []
+        out.append(Matched((b, a), (*facts, *_notices(b, a))))
+    return Comparison(before, after, tuple(out))
 
 
 def compare_tables(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -145,13 +142,33 @@ def compare_tables(before: DataFrame, after: DataFrame) -> DataFrame:
 DIFF_VERSION = 1
 
 
-def diff_to_dict(diff: SchemaDiff) -> dict:
-    side = lambda of: {k: getattr(diff, f"{of}_{k}") for k in ("path", "rows", "cols")}
-    column = lambda c: {
-        "name": c.name, "status": c.status, "before_dtype": c.before_dtype, "after_dtype": c.after_dtype, "severity": c.severity,
-        "changes": [vars(x) for x in c.changes], "pii_changes": [vars(x) for x in c.pii_changes],
-    }
+def diff_to_dict(diff: Comparison) -> dict:
+    def side(p: TableProfile) -> dict:
+        return {"path": str(p.origin.path) if p.origin.path else None, "rows": p.rows, "cols": len(p.columns)}
+
+    def fact(c: Change) -> dict:
+        return {"field": c.of, "before": c.sides[0], "after": c.sides[1], "severity": c.severity, "detail": c.words}
+
+    def notice(c: Change) -> dict:
+        return {"kind": c.of, "direction": c.words, "before": c.sides[0], "after": c.sides[1], "severity": c.severity}
+
+    def column(c: Matched) -> dict:
+        types = {f"{of}_dtype": x.type if x else None for of, x in zip(("before", "after"), c.sides, strict=True)}
+        return {
+            "name": c.name,
+            "status": c.status,
+            **types,
+            "severity": c.severity,
+            "changes": [fact(x) for x in c.changes if x.about == FACT],
+            "pii_changes": [notice(x) for x in c.changes if x.about == NOTICE],
+        }
+
+    by_status = {s: [c.name for c in diff.columns if c.status == s] for s in ("added", "removed", "changed", "unchanged")}
     return {
-        "schema_version": DIFF_VERSION, "before": side("before"), "after": side("after"), "severity": diff.severity,
-        "summary": {s: [c.name for c in diff.named(s)] for s in ("added", "removed", "changed", "unchanged")}, "columns": [column(c) for c in diff.columns],
-    }
+        "schema_version": DIFF_VERSION,
+        "before": side(diff.before),
+        "after": side(diff.after),
+        "severity": diff.severity,
+        "summary": by_status,
+        "columns": [column(c) for c in diff.columns],
+    }

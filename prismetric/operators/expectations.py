@@ -9,7 +9,7 @@ from pathlib import Path
 from typing import Any
 
 from ..functions.types import WHOLE
-from ..model import BANDS, ColumnProfile, ProfileReport
+from ..model import BANDS, PERSONAL, ColumnRow, TableProfile
 from ..render.values import jsonable
 
 # Formats, versions, the largest set of values, and the name where a path has none.
@@ -36,49 +36,50 @@ def suite_name(path: Path | str | None) -> str:
     return re.sub(r"[^A-Za-z0-9_.-]+", "_", stem).strip("_") or FALLBACK
 
 
-def eligible(report: ProfileReport, include_pii: bool, min_samples: int) -> list[ColumnProfile]:
+def eligible(report: TableProfile, include_pii: bool, min_samples: int) -> list[ColumnRow]:
     """Columns without likely personal data (unless wanted) and with enough values, as the null share tells."""
-    there = lambda c: max(0, round(report.rows * (1 - c.null_pct / 100)))
-    return [c for c in report.columns if (include_pii or all(f.confidence < BANDS["medium"] for f in c.pii)) and there(c) >= min_samples]
+    there = lambda c: max(0, round(report.rows * (1 - c.null_share / 100)))
+    safe = lambda c: include_pii or all(n.weight < BANDS["medium"] for n in c.about(PERSONAL))
+    return [c for c in report.columns if safe(c) and there(c) >= min_samples]
 
 
-def bounds(c: ColumnProfile) -> tuple[Any, Any] | None:
-    low, high = jsonable(c.min), jsonable(c.max)
-    return (low, high) if plain_type(c.dtype) in ("int", "float") and low is not None and high is not None else None
+def bounds(c: ColumnRow) -> tuple[Any, Any] | None:
+    low, high = jsonable(c.least), jsonable(c.greatest)
+    return (low, high) if plain_type(c.type) in ("int", "float") and low is not None and high is not None else None
 
 
-def value_set(c: ColumnProfile, most: int) -> list[Any] | None:
+def value_set(c: ColumnRow, most: int) -> list[Any] | None:
     """All values of the column, if there are few and the frequent values are all of them."""
-    if not 0 < c.distinct <= min(most, len(c.top)):
+    if not 0 < c.distinct <= min(most, len(c.common)):
         return None
     values: list[Any] = []
-    for v in (jsonable(t.value) for t in c.top):
+    for v in (jsonable(value) for value, _ in c.common):
         if v is not None and v not in values:
             values.append(v)
     return values or None
 
 
-def _about(report: ProfileReport, include_pii: bool, min_samples: int) -> dict[str, Any]:
-    return {"schema_version": VERSION, "source_path": str(report.path) if report.path else None, "rows_profiled": report.rows, "sampled": report.sampled, "include_pii": include_pii, "min_samples": min_samples}
+def _about(report: TableProfile, include_pii: bool, min_samples: int) -> dict[str, Any]:
+    return {"schema_version": VERSION, "source_path": str(report.origin.path) if report.origin.path else None, "rows_profiled": report.rows, "sampled": bool(report.origin.first), "include_pii": include_pii, "min_samples": min_samples}
 
 
-def _of_column(c: ColumnProfile, rows: int, most: int) -> Iterator[tuple[str, dict[str, Any], dict[str, Any]]]:
+def _of_column(c: ColumnRow, rows: int, most: int) -> Iterator[tuple[str, dict[str, Any], dict[str, Any]]]:
     """(expectation without its prefix, arguments, more about it)."""
     yield "to_exist", {}, {}
-    if kind := plain_type(c.dtype):
-        yield "values_to_be_of_type", {"type_": kind}, {"dtype": c.dtype}
-    if c.null_pct == 0 and rows > 0:
+    if kind := plain_type(c.type):
+        yield "values_to_be_of_type", {"type_": kind}, {"dtype": c.type}
+    if c.null_share == 0 and rows > 0:
         yield "values_to_not_be_null", {}, {}
     if found := bounds(c):
         yield "values_to_be_between", {"min_value": found[0], "max_value": found[1]}, {}
-    lengths = [len(t.value) for t in c.top if isinstance(t.value, str)] if kind == "str" else []
+    lengths = [len(value) for value, _ in c.common if isinstance(value, str)] if kind == "str" else []
     if lengths:
         yield "value_lengths_to_be_between", {"min_value": min(lengths), "max_value": max(lengths)}, {"source_hint": "top_k_lengths"}
     if values := value_set(c, most):
         yield "values_to_be_in_set", {"value_set": values}, {}
 
 
-def to_great_expectations(report: ProfileReport, *, name: str | None = None, include_pii: bool = False, min_samples: int = 0, most_values: int = MOST_VALUES) -> dict[str, Any]:
+def to_great_expectations(report: TableProfile, *, name: str | None = None, include_pii: bool = False, min_samples: int = 0, most_values: int = MOST_VALUES) -> dict[str, Any]:
     out = []
     if report.columns:
         out.append({"expectation_type": "expect_table_columns_to_match_set", "kwargs": {"column_set": [c.name for c in report.columns]}, "meta": {"source": MAKER, "level": "table"}})
@@ -86,26 +87,26 @@ def to_great_expectations(report: ProfileReport, *, name: str | None = None, inc
         for what, kwargs, more in _of_column(c, report.rows, most_values):
             out.append({"expectation_type": f"expect_column_{what}", "kwargs": {"column": c.name, **kwargs}, "meta": {"source": MAKER, "column": c.name, **more}})
     meta = {"generated_by": MAKER, **_about(report, include_pii, min_samples)}
-    return {"expectation_suite_name": name or suite_name(report.path), "meta": meta, "expectations": out, "data_asset_type": None, "ge_cloud_id": None}
+    return {"expectation_suite_name": name or suite_name(report.origin.path), "meta": meta, "expectations": out, "data_asset_type": None, "ge_cloud_id": None}
 
 
-def to_soda(report: ProfileReport, *, name: str | None = None, include_pii: bool = False, min_samples: int = 0, most_values: int = MOST_VALUES) -> dict[str, Any]:
+def to_soda(report: TableProfile, *, name: str | None = None, include_pii: bool = False, min_samples: int = 0, most_values: int = MOST_VALUES) -> dict[str, Any]:
     checks: list[dict[str, Any]] = [{"row_count > 0": None}]
     if report.columns:
         checks.append({"schema": {"name": "expected columns present", "fail": {"when required column missing": [c.name for c in report.columns]}}})
     for c in eligible(report, include_pii, min_samples):
-        if c.null_pct == 0 and report.rows > 0:
+        if c.null_share == 0 and report.rows > 0:
             checks.append({f"missing_count({c.name}) = 0": None})
         if found := bounds(c):
             checks += [{f"min({c.name}) >= {found[0]}": None}, {f"max({c.name}) <= {found[1]}": None}]
         if values := value_set(c, most_values):
             checks.append({f"invalid_count({c.name}) = 0": {"name": f"{c.name} in known value set", "valid values": values}})
-        if kind := plain_type(c.dtype):
+        if kind := plain_type(c.type):
             checks.append({f"invalid_count({c.name}) = 0 as {c.name}_type_check": {"name": f"{c.name} matches type {SODA_TYPES[kind]}", "valid format": SODA_TYPES[kind]}})
-    return {f"checks for {name or suite_name(report.path)}": checks, MAKER: _about(report, include_pii, min_samples)}
+    return {f"checks for {name or suite_name(report.origin.path)}": checks, MAKER: _about(report, include_pii, min_samples)}
 
 
-def dumps(report: ProfileReport, form: str, **options: Any) -> str:
+def dumps(report: TableProfile, form: str, **options: Any) -> str:
     form = form.lower().strip()
     if form == GX:
         return json.dumps(to_great_expectations(report, **options), indent=2)

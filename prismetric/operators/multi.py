@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.types import type_name
-from ..model import ProfileReport
+from ..model import TableProfile
 from ..sources.errors import ExcelReaderError, RemoteAccessError, SQLiteTableError, UnsupportedFormatError
 from ..sources.load import SUFFIXES, load, remote_listing
 from .profile import is_remote, profile
@@ -32,7 +32,7 @@ class MultiInputError(ValueError):
 class FileOutcome:
     path: str
     ok: bool
-    report: ProfileReport | None = None
+    report: TableProfile | None = None
     error: str | None = None
     error_kind: str | None = None
 
@@ -133,7 +133,7 @@ def profile_many(spark: SparkSession, inputs: Iterable[str], *, sample: int | No
         except (PySparkException, OSError, ValueError, RuntimeError) as e:
             kind = next((name for cause, name in ERRORS if isinstance(e, cause)), "load_error")
             outcomes.append(FileOutcome(path, False, error=str(e), error_kind=kind))
-    clusters, drifted = clusters_of((o.path, [(c.name, c.dtype) for c in o.report.columns]) for o in outcomes if o.report)
+    clusters, drifted = clusters_of((o.path, [(c.name, c.type) for c in o.report.columns]) for o in outcomes if o.report)
     return MultiReport(inputs, tuple(outcomes), clusters, drifted)
 
 

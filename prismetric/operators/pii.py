@@ -6,11 +6,12 @@ import fnmatch
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns
-from ..model import BANDS, NameRule, PIIFinding
+from ..functions.text import as_text
+from ..model import BANDS, PERSONAL, NameRule, Notice
 
 # Words of a column's name that speak for a kind.
 HINTS = {
@@ -32,50 +33,59 @@ def hinted(name: str, kind: str) -> bool:
     return bool({plain, *plain.split("_")} & set(HINTS.get(kind, ())))
 
 
-def evidence(v: Column) -> list[Column]:
-    """Aggregates over trimmed text: how many values there are, and how many match each detector."""
-    matches = {**patterns.DETECTORS, **patterns.WEAK}
-    return [F.count(v).alias("sampled"), *(F.count_if(test(v)).alias(kind) for kind, test in matches.items())]
-
-
-def findings(name: str, dtype: str, counts: dict[str, int], rules: Iterable[NameRule] = ()) -> list[PIIFinding]:
-    """What the counts of ``evidence`` say of a column; of each kind the most confident, the most confident first."""
+def findings(name: str, dtype: str, counts: dict[str, int], rules: Iterable[NameRule] = ()) -> list[Notice]:
+    """What ``match_counts`` say of a column; of each kind the most confident, the most confident first."""
     n = counts["sampled"]
     if not n:
         return []
-    best: dict[str, PIIFinding] = {}
+    best: dict[str, Notice] = {}
 
-    def found(kind: str, confidence: float, matched: int, ratio: float) -> None:
-        one = PIIFinding(kind, round(confidence, 3), round(ratio, 3), matched, n)
-        if kind not in best or one.confidence > best[kind].confidence:
+    def found(kind: str, confidence: float, matched: int) -> None:
+        one = Notice(PERSONAL, kind, round(confidence, 3), matched, n)
+        if kind not in best or one.weight > best[kind].weight:
             best[kind] = one
 
     share = {kind: counts[kind] / n for kind in counts if kind != "sampled"}
     for kind in patterns.DETECTORS:
         if counts[kind]:
-            found(kind, min(1.0, share[kind] * 0.9 + 0.1 * hinted(name, kind)), counts[kind], share[kind])
+            found(kind, min(1.0, share[kind] * 0.9 + 0.1 * hinted(name, kind)), counts[kind])
     if "ssn" not in best and hinted(name, "ssn") and counts["ssn_loose"]:
-        found("ssn", min(1.0, share["ssn_loose"] * 0.7 + 0.2), counts["ssn_loose"], share["ssn_loose"])
+        found("ssn", min(1.0, share["ssn_loose"] * 0.7 + 0.2), counts["ssn_loose"])
 
     told, ratio = hinted(name, "name"), share["name"]
     if told or ratio >= 0.7:
         confidence = min(0.9, ratio * 0.85) if not told else min(1.0, ratio * 0.7 + 0.25) if ratio >= 0.3 else 0.35
         if round(confidence, 3) >= BANDS["low"]:
-            found("name", confidence, counts["name"], ratio)
+            found("name", confidence, counts["name"])
     if hinted(name, "dob"):
         ratio = 1.0 if re.search("DATE|TIMESTAMP", dtype.upper()) else share["date"]
         if ratio > 0:
-            found("dob", min(1.0, ratio * 0.8 + 0.2), int(ratio * n), ratio)
+            found("dob", min(1.0, ratio * 0.8 + 0.2), int(ratio * n))
     for rule in rules:
         if fnmatch.fnmatchcase(name.lower(), rule.pattern.lower()):
-            found(rule.detector, MIDDLE[rule.confidence.lower()], 0, 0.0)
-    return sorted(best.values(), key=lambda f: -f.confidence)
+            found(rule.detector, MIDDLE[rule.confidence.lower()], 0)
+    return sorted(best.values(), key=lambda f: -f.weight)
 
 
 def match_counts(values: DataFrame) -> dict[int, dict[str, int]]:
-    """From (place, v) rows of text the counts of ``evidence``, and of each shape, by place; one job."""
-    v = F.trim(F.col("v"))
-    shaped = patterns.shape(v)
-    shapes = [F.count_if(shaped == s).alias(f"shape_{s}") for s in patterns.SHAPES]
-    rows = values.groupBy("place").agg(*evidence(v), *shapes).collect()
-    return {r["place"]: {k: x for k, x in r.asDict().items() if k != "place"} for r in rows}
+    """From (place, v) rows of text, by place: how many values there are ("sampled"), how many match each detector, and
+    how many have each shape; one job. Digits and shape of a value are worked out once."""
+    v, tests = F.col("v"), {**patterns.DETECTORS, **patterns.WEAK}
+    plain = values.select("place", F.trim("v").alias("v")).where("v is not null")
+    known = plain.select("place", "v", patterns.digits(v).alias("d"), patterns.shape(v).alias("shape"))
+    marks = known.select("place", "shape", *(test(v, F.col("d")).alias(kind) for kind, test in tests.items()))
+    # few rows, whatever the table: a place has five shapes
+    counts = marks.groupBy("place", "shape").agg(F.count(F.lit(1)).alias("sampled"), *(F.count_if(F.col(kind)).alias(kind) for kind in tests))
+    out: dict[int, dict[str, int]] = {}
+    for r in counts.collect():
+        of = out.setdefault(r["place"], dict.fromkeys(["sampled", *tests, *(f"shape_{s}" for s in patterns.SHAPES)], 0))
+        for kind in ("sampled", *tests):
+            of[kind] += r[kind]
+        if r["shape"] in patterns.SHAPES:
+            of[f"shape_{r['shape']}"] = r["sampled"]
+    return out
+
+
+def long(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(place, v): the values of ``columns`` as text, from one scan."""
+    return df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("place"), as_text(F.col(c), df.schema[c].dataType).alias("v")) for i, c in enumerate(columns)))).alias("s")).select("s.place", "s.v").where("v is not null")

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import types as kinds
-from ..functions.text import as_text
-from ..model import ColumnProfile, NameRule, ProfileReport, TopValue
+from ..model import ColumnRow, NameRule, Notice, Origin, TableProfile
 from . import anomalies, pii, stats, timeseries
 
 # How many values speak for a column, and files whose encoding is known.
@@ -49,7 +48,7 @@ def _number(v: Any) -> float | None:
 
 def profile(
     df: DataFrame, *, path: str | Path | None = None, sample: int | None = None, top_k: int = TOP, timeseries_: bool = True, rules: Iterable[NameRule] = (), detect: str = "sample"
-) -> ProfileReport:
+) -> TableProfile:
     """The profile of ``df``.
 
     ``sample``: only the first rows count. ``detect``: "sample" judges a column by its first 500 values (5000 for
@@ -62,7 +61,7 @@ def profile(
     tables = stats.frequencies(df, top_k)
     plain, fields = stats.numbered(df)
     if detect == "all":
-        values = _union([plain.select(F.lit(i).alias("place"), as_text(F.col(f"c{i}"), f.dataType).alias("v")) for i, f in enumerate(fields)])
+        values = pii.long(plain, plain.columns)
         numbers: dict[int, list[float]] = {}
     else:
         head = df.take(DETECT)
@@ -73,6 +72,7 @@ def profile(
     counts = pii.match_counts(values) if fields else {}
     none = dict.fromkeys(["sampled", *pii.patterns.DETECTORS, *pii.patterns.WEAK, *(f"shape_{s}" for s in pii.patterns.SHAPES)], 0)
 
+    series = _series(df, fields, detect == "all") if timeseries_ and rows else [None] * len(fields)
     columns = []
     for i, f in enumerate(fields):
         dtype, fact, (distinct, top) = kinds.type_name(f.dataType), facts[i], tables[i]
@@ -83,35 +83,27 @@ def profile(
         if detect == "all" and kinds.numeric(f.dataType) and (a := whole_outliers(plain.select(f"c{i}"))):
             held.append(a)
         columns.append(
-            ColumnProfile(
-                f.name, dtype, null_pct, distinct, fact["sample"], fact["min"], fact["max"], fact["mean"], fact["stddev"],
-                tuple(TopValue(v, n) for v, n in top), tuple(pii.findings(f.name, dtype, count, rules)), tuple(held),
+            ColumnRow(
+                f.name, dtype, rows, fact["nulls"], distinct, fact["sample"], fact["min"], fact["max"], fact["mean"], fact["stddev"],
+                tuple(top), (*pii.findings(f.name, dtype, count, rules), *held), series[i],
             )
         )
-    series = _series(df, fields, detect == "all") if timeseries_ and rows else []
-    known, size, encoding = file_facts(path)
-    return ProfileReport(known, rows, len(fields), size, encoding, bool(sample), sample or None, columns, series)
+    return TableProfile(rows, tuple(columns), Origin(*file_facts(path), sample or None))
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for more in frames[1:]:
-        out = out.unionAll(more)
-    return out.where("v is not null")
-
-
-def whole_outliers(numbers: DataFrame) -> anomalies.Anomaly | None:
-    """The outliers of a whole column: quartiles (exact, interpolated) in one pass, what lies outside in another."""
-    x = F.col(numbers.columns[0]).cast("double")
-    quarters = numbers.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))), F.count(x)).first()
-    if not quarters[0] or quarters[1] < anomalies.LEAST_NUMBERS or quarters[0][0] == quarters[0][1]:
+def whole_outliers(numbers: DataFrame) -> Notice | None:
+    """The outliers of a whole column: quartiles (exact, interpolated), then what lies outside."""
+    numbers = numbers.select(F.col(numbers.columns[0]).cast("double").alias("x"))
+    x, quarters = F.col("x"), stats.quantiles(numbers, [0.25, 0.75])["x"]
+    n = numbers.agg(F.count(x)).first()[0]
+    if not quarters or n < anomalies.LEAST_NUMBERS or quarters[0] == quarters[1]:
         return None
-    reach = anomalies.FENCE * (quarters[0][1] - quarters[0][0])
-    low, high, n = quarters[0][0] - reach, quarters[0][1] + reach, quarters[1]
+    reach = anomalies.FENCE * (quarters[1] - quarters[0])
+    low, high = quarters[0] - reach, quarters[1] + reach
     outside = numbers.agg(F.count_if((x < low) | (x > high))).first()[0]
     pct = 100.0 * outside / n
     said = f"{outside} of {n} values lie outside IQR fence [{low:.4g}, {high:.4g}] ({pct:.1f}%)."
-    return anomalies.Anomaly("numeric_outliers", "warn" if pct >= anomalies.MANY_PCT else "info", said) if outside else None
+    return anomalies.odd("numeric_outliers", "warn" if pct >= anomalies.MANY_PCT else "info", said) if outside else None
 
 
 def _series(df: DataFrame, fields: list[T.StructField], whole: bool) -> list:
@@ -128,4 +120,4 @@ def _series(df: DataFrame, fields: list[T.StructField], whole: bool) -> list:
         return timeseries.time_series(f.name, f.dataType, values, whole)
 
     with ThreadPoolExecutor(stats.AT_ONCE) as pool:
-        return [s for s in pool.map(of, range(len(fields))) if s]
+        return list(pool.map(of, range(len(fields))))

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import types as kinds
 from ..functions.masks import DEFAULTS, STRATEGIES, redacted
 from ..functions.text import as_text
-from ..model import BANDS, ProfileReport
+from ..model import BANDS, PERSONAL, TableProfile
 
 # The output format that each file name stands for.
 FORMATS = ("csv", "jsonl", "parquet")
@@ -58,7 +58,7 @@ def parse_overrides(texts: Iterable[str]) -> dict[str, str]:
     return out
 
 
-def build_plan(report: ProfileReport, *, min_confidence: str = "high", overrides: dict[str, str] | None = None) -> RedactionPlan:
+def build_plan(report: TableProfile, *, min_confidence: str = "high", overrides: dict[str, str] | None = None) -> RedactionPlan:
     """Each column goes by its most confident finding of the band or above; ``keep`` leaves it alone."""
     level = (min_confidence or "high").lower()
     if level not in BANDS:
@@ -66,9 +66,9 @@ def build_plan(report: ProfileReport, *, min_confidence: str = "high", overrides
     chosen = DEFAULTS | {k.lower(): v.lower() for k, v in (overrides or {}).items()}
     actions = []
     for column in report.columns:
-        best = max(column.pii, key=lambda f: f.confidence, default=None)
-        if best and best.confidence >= BANDS[level] and (strategy := chosen.get(best.kind, "mask")) != "keep":
-            actions.append(RedactionAction(column.name, best.kind, strategy, best.confidence))
+        best = max(column.about(PERSONAL), key=lambda n: n.weight, default=None)
+        if best and best.weight >= BANDS[level] and (strategy := chosen.get(best.kind, "mask")) != "keep":
+            actions.append(RedactionAction(column.name, best.kind, strategy, best.weight))
     return RedactionPlan(tuple(actions), tuple(c.name for c in report.columns), level)
 
 

@@ -6,7 +6,7 @@ import html
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from ..model import ColumnProfile, ProfileReport, band
+from ..model import ODD, PERSONAL, ColumnRow, TableProfile, band
 
 # Grades by least score with their colours; costs, and the most that each kind may cost.
 GRADES = {"A": (90, "#4c1"), "B": (80, "#97CA00"), "C": (70, "#dfb317"), "D": (60, "#fe7d37"), "F": (0, "#e05d44")}
@@ -41,43 +41,43 @@ def grade(score: int) -> str:
 
 
 #: What a column costs, and how it is named in the detail; None if nothing.
-Charge = Callable[[ColumnProfile], tuple[int, str] | None]
+Charge = Callable[[ColumnRow], tuple[int, str] | None]
 
 
-def _nulls(c: ColumnProfile) -> tuple[int, str] | None:
-    cost = min(round(c.null_pct / 2), NULL_COLUMN) if c.null_pct > NULL_FLOOR else 0
-    return (cost, f"'{c.name}' {c.null_pct:.0f}%") if cost > 0 else None
+def _nulls(c: ColumnRow) -> tuple[int, str] | None:
+    cost = min(round(c.null_share / 2), NULL_COLUMN) if c.null_share > NULL_FLOOR else 0
+    return (cost, f"'{c.name}' {c.null_share:.0f}%") if cost > 0 else None
 
 
 def _flat(kind: str, cost: int) -> Charge:
-    return lambda c: (cost, f"'{c.name}'") if any(a.kind == kind for a in c.anomalies) else None
+    return lambda c: (cost, f"'{c.name}'") if any(c.about(ODD, kind)) else None
 
 
-def _outliers(c: ColumnProfile) -> tuple[int, str] | None:
-    first = next((a for a in c.anomalies if a.kind == "numeric_outliers"), None)
-    return (OUTLIERS.get(first.severity, 1), f"'{c.name}'") if first else None
+def _outliers(c: ColumnRow) -> tuple[int, str] | None:
+    first = next(c.about(ODD, "numeric_outliers"), None)
+    return (OUTLIERS.get(first.level, 1), f"'{c.name}'") if first else None
 
 
-def _exposed(c: ColumnProfile) -> tuple[int, str] | None:
-    bands = [(EXPOSED.get(band(f.confidence), 0), f) for f in c.pii]
+def _exposed(c: ColumnRow) -> tuple[int, str] | None:
+    bands = [(EXPOSED.get(band(n.weight), 0), n) for n in c.about(PERSONAL)]
     cost, worst = max(bands, key=lambda x: x[0], default=(0, None))
-    return (cost, f"{c.name} ({worst.kind}:{band(worst.confidence)})") if cost else None
+    return (cost, f"{c.name} ({worst.kind}:{band(worst.weight)})") if cost else None
 
 
 def _listed(names: list[str]) -> str:
     return ", ".join(names[:3]) + (f" (+{len(names) - 3} more)" if len(names) > 3 else "")
 
 
-def _penalty(kind: str, columns: Iterable[ColumnProfile], charge: Charge, detail: Callable[[list[str]], str]) -> list[PenaltyDetail]:
+def _penalty(kind: str, columns: Iterable[ColumnRow], charge: Charge, detail: Callable[[list[str]], str]) -> list[PenaltyDetail]:
     charged = [x for x in map(charge, columns) if x]
     total = min(sum(cost for cost, _ in charged), MOST[kind])
     return [PenaltyDetail(kind, total, detail([name for _, name in charged]))] if total else []
 
 
-def compute_score(report: ProfileReport) -> ScoreResult:
+def compute_score(report: TableProfile) -> ScoreResult:
     """100 less the penalties, each kind up to its bound; the dearest come first."""
     columns = report.columns
-    by_nulls = sorted(columns, key=lambda c: -c.null_pct)
+    by_nulls = sorted(columns, key=lambda c: -c.null_share)
     many = lambda names: f"{len(names)} column{'s' * (len(names) != 1)}"
     found = [
         *_penalty("null_density", by_nulls, _nulls, lambda n: f"high null density ({many(n)} > {NULL_FLOOR:.0f}% null: {', '.join(n[:3])})"),
@@ -86,8 +86,8 @@ def compute_score(report: ProfileReport) -> ScoreResult:
         *_penalty("numeric_outliers", columns, _outliers, lambda n: f"numeric outliers in {_listed(n)}"),
         *_penalty("pii_exposure", columns, _exposed, lambda n: f"PII detected without masking: {_listed(n)}"),
     ]
-    kind = getattr(report.path, "suffix", "").lower()
-    if kind in TEXT_FILES and not report.encoding:
+    kind = getattr(report.origin.path, "suffix", "").lower()
+    if kind in TEXT_FILES and not report.origin.encoding:
         found.append(PenaltyDetail("encoding", ENCODING, f"could not confirm text encoding for {kind} input"))
     score = max(0, min(100, 100 - sum(p.points for p in found)))
     return ScoreResult(score, grade(score), tuple(sorted(found, key=lambda p: (-p.points, p.kind))))

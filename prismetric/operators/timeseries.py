@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 
 from ..functions import patterns
 from ..functions import types as kinds
-from ..model import Gap, SeasonalitySignal, TimeSeriesProfile
+from ..model import Rhythm
+from . import stats
 
 # Tolerances, least numbers, labels, and parts of names that promise times.
 TOLERANCE, TOP_GAPS, RATIO, LEAST, LEAST_SEASON = 0.10, 5, 2.0, 4, 14
@@ -72,14 +73,19 @@ def spacing(points: DataFrame, chunk: str = "day") -> DataFrame:
     return inside.unionByName(across).select("before", "ts", seconds("before", "ts").alias("delta"))
 
 
-def season(counts: dict[int, int], labels: list[str], bucket: str) -> list[SeasonalitySignal]:
-    total, expected = sum(counts.values()), 1 / len(labels)
+#: Into how many labels each bucket parts the times.
+BUCKETS = {"day_of_week": 7, "hour_of_day": 24}
+
+
+def season(counts: dict[int, int], labels: list[str], bucket: str) -> list[tuple[str, str, float]]:
+    """(bucket, label, share) of the labels that have ``RATIO`` times their even share or more."""
+    total = sum(counts.values())
     shares = ((label, counts.get(i, 0) / total) for i, label in enumerate(labels))
-    return [SeasonalitySignal(bucket, label, round(s, 4), round(expected, 4), round(s / expected, 2)) for label, s in shares if s / expected >= RATIO]
+    return [(bucket, label, s) for label, s in shares if s * len(labels) >= RATIO]
 
 
-def time_series(name: str, kind: T.DataType, values: DataFrame, whole: bool = False) -> TimeSeriesProfile | None:
-    """The profile of the one column of ``values`` as times, or None. ``whole``: the column may be of any size."""
+def time_series(name: str, kind: T.DataType, values: DataFrame, whole: bool = False) -> Rhythm | None:
+    """The rhythm of the one column of ``values`` as times, or None. ``whole``: the column may be of any size."""
     got = times(values.toDF(name), kind)
     if not got:
         return None
@@ -90,24 +96,20 @@ def time_series(name: str, kind: T.DataType, values: DataFrame, whole: bool = Fa
     steps = spacing(points) if whole else deltas(points)
     steps = steps.persist()
     try:
-        cadence = steps.agg(F.percentile("delta", 0.5)).first()[0]
+        cadence = (stats.quantiles(steps.select("delta"), [0.5])["delta"] or [None])[0]
         cadence = cadence if cadence and cadence > 0 else None
         span = (last - first).total_seconds()
-        expected = missing = None
-        conformance, gaps = 0.0, ()
+        on_time, gaps = 0, ()
         if cadence:
             on_time = steps.where(F.abs(F.col("delta") - cadence) <= cadence * TOLERANCE).count()
-            conformance = round(100.0 * on_time / (n - 1), 2)
-            expected = round(span / cadence) + 1
-            missing = max(0, expected - n)
             wide = steps.where(F.col("delta") > cadence * (1 + TOLERANCE)).orderBy(F.desc("delta"), "before").limit(TOP_GAPS).collect()
-            gaps = tuple(Gap(r["before"].isoformat(), r["ts"].isoformat(), r["delta"]) for r in wide)
+            gaps = tuple((r["before"], r["ts"], r["delta"]) for r in wide)
     finally:
         steps.unpersist()
-    signals: list[SeasonalitySignal] = []
+    signals: list[tuple[str, str, float]] = []
     if n >= LEAST_SEASON and span >= DAY:
         by = {(r[0], r[1]): r[2] for r in points.groupBy(F.weekday("ts"), F.hour("ts")).count().collect()}
         fold = lambda k: {x: sum(c for key, c in by.items() if key[k] == x) for x in {key[k] for key in by}}
         signals += season(fold(0), list(DAYS), "day_of_week") if span >= 7 * DAY else []
         signals += season(fold(1), [f"{h:02d}" for h in range(24)], "hour_of_day") if hours else []
-    return TimeSeriesProfile(name, source, n, first.isoformat(), last.isoformat(), cadence, duration(cadence) if cadence else None, conformance, expected, missing, gaps, tuple(signals))
+    return Rhythm(source, n, (first, last), cadence, on_time, gaps, tuple(signals))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterable
 from functools import reduce
 
@@ -82,7 +83,7 @@ def _profile_query(table: str) -> Query:
 
 def _profile_oracle(table: str, columns: dict[str, str]) -> str:
     def of(c: str, dtype: str) -> str:
-        number, nested = dtype in kinds.NUMBERS, dtype.endswith("]")
+        number, nested = dtype in ("INTEGER", "BIGINT", "DOUBLE", "FLOAT"), dtype.endswith("]")
         num = f"min({c})::DOUBLE AS min_number, max({c})::DOUBLE AS max_number, NULL::VARCHAR AS min_text, NULL::VARCHAR AS max_text, round(avg({c}::DOUBLE), 4) AS mean, round(stddev_samp({c}::DOUBLE), 4) AS stddev"
         text = f"NULL::DOUBLE AS min_number, NULL::DOUBLE AS max_number, {'NULL' if nested else f'min({c})'}::VARCHAR AS min_text, {'NULL' if nested else f'max({c})'}::VARCHAR AS max_text, NULL::DOUBLE AS mean, NULL::DOUBLE AS stddev"
         return f"SELECT '{c}' AS name, '{dtype}' AS dtype, count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, count(DISTINCT {c}) AS \"distinct\", {num if number else text} FROM {table}"
@@ -144,23 +145,23 @@ def words(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return read(spark, sf_dir, table).select(F.explode(F.split("text", " ", -1)).alias("v"))
 
 
-def _sql(pattern: str) -> str:
-    return "'" + pattern.replace("(?U)", "").replace("'", "''") + "'"
-
-
 DIGITS = r"regexp_replace(v, '\D+', '', 'g')"
 LUHN = f"list_sum([CASE WHEN i % 2 = 1 THEN {{0}}[-i]::INT ELSE CASE WHEN {{0}}[-i]::INT > 4 THEN {{0}}[-i]::INT * 2 - 9 ELSE {{0}}[-i]::INT * 2 END END FOR i IN range(1, len({{0}}) + 1)]) % 10 = 0".format(DIGITS)
+# The SQL has its own patterns, words and thresholds, so that a wrong one in the library shows.
+DATE_SQL = r"(regexp_matches(v, '^\d{4}[-/]\d{1,2}[-/]\d{1,2}') OR regexp_matches(v, '^\d{1,2}[-/]\d{1,2}[-/]\d{2,4}$'))"
+OCTET_SQL = r"(?:25[0-5]|2[0-4]\d|[01]?\d?\d)"
 TEST_SQL = {
-    "email": f"regexp_matches(v, {_sql(patterns.EMAIL)})",
+    "email": r"regexp_matches(v, '^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$')",
     "credit_card": f"(len({DIGITS}) BETWEEN 12 AND 19 AND CASE WHEN len({DIGITS}) BETWEEN 12 AND 19 THEN {LUHN} ELSE FALSE END)",
-    "ipv4": f"regexp_matches(v, {_sql(patterns.IPV4)})",
-    "ipv6": f"regexp_matches(v, {_sql(patterns.IPV6)})",
-    "phone": f"(regexp_matches(v, {_sql(patterns.PHONE)}) AND len({DIGITS}) BETWEEN 7 AND 15)",
+    "ipv4": rf"regexp_matches(v, '^(?:{OCTET_SQL}\.){{3}}{OCTET_SQL}$')",
+    "ipv6": "regexp_matches(v, '^(([0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|([0-9a-fA-F]{1,4}:){1,7}:|:(:[0-9a-fA-F]{1,4}){1,7}|::)$')",
+    "phone": rf"(regexp_matches(v, '^\+?[\d][\d \-().]{{6,20}}$') AND len({DIGITS}) BETWEEN 7 AND 15)",
     "ssn": r"(regexp_matches(v, '^\d{3}-\d{2}-\d{4}$') AND v[1:3] NOT IN ('000', '666') AND v[1] <> '9' AND v[5:6] <> '00' AND v[8:11] <> '0000')",
-    "ssn_loose": f"regexp_matches(v, {_sql(patterns.SSN_LOOSE)})",
-    "name": f"(v <> '' AND len(v) <= 60 AND (rtrim(lower(regexp_extract(v, '^\\S+')), '.') IN {patterns.TITLES} OR regexp_matches(v, {_sql(patterns.NAME)})))",
-    "date": f"(regexp_matches(v, {_sql(patterns.DATE_START)}) OR regexp_matches(v, {_sql(patterns.DATE_WHOLE)}))",
+    "ssn_loose": r"regexp_matches(v, '^\d{9}$')",
+    "name": r"(v <> '' AND len(v) <= 60 AND (rtrim(lower(regexp_extract(v, '^\S+')), '.') IN ('mr', 'mrs', 'ms', 'dr', 'prof', 'sir') OR regexp_matches(v, '^[A-Z][a-z''’\-]{1,}(?:[ \-][A-Z][a-z''’\-]{1,}){0,3}$')))",
+    "date": DATE_SQL,
 }
+STRONG = ("email", "credit_card", "ipv4", "ipv6", "phone", "ssn")
 TRIMMED = "SELECT trim(v, ' ') AS v FROM ({}) WHERE v IS NOT NULL"
 
 
@@ -176,13 +177,34 @@ def _matches_query(kind: str, table: str) -> Query:
 for _kind in TEST_SQL:
     query(f"pii_{_kind}", f"SELECT count(*) AS sampled, count(*) FILTER ({TEST_SQL[_kind]}) AS matched FROM ({TRIMMED.format(WORDS.format('documents'))})")(_matches_query(_kind, "documents"))
 
+# Built rows with each kind of value, right and nearly right.
+BUILT = (
+    "a.b@c.io", "a@b.c", "@c.io", "4111 1111 1111 1111", "4111-1111-1111-1112", "123456789012", "10.0.0.255", "10.0.0.256", "1.2.3", "::1", "1:2:3:4:5:6:7:8", "fe80::", "1:2:3:4:5:6:7",
+    "g::1", "+1 (555) 123-4567", "555-1234", "555-123", "123-45-6789", "000-45-6789", "666-45-6789", "912-45-6789", "123-00-6789", "123-45-0000", "123456789", "12345678", "Ann Lee", "Dr. x", "ann lee",
+    "O'Neil", "Ann Lee Bo Cy Di", "2024-01-05", "2024/1/5 10:00", "5-1-24", "5-1-2024x", "true", "N", "0", "-1.50", "1e5", "", " x ",
+)
+BUILT_SQL = "SELECT trim(unnest([{}]), ' ') AS v".format(", ".join("'" + x.replace("'", "''") + "'" for x in BUILT))
+
+
+@query("pii_built", all_of(f"SELECT '{kind}' AS kind, v FROM ({BUILT_SQL}) WHERE {test}" for kind, test in TEST_SQL.items()))
+def pii_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which built values each detector finds."""
+    values = spark.createDataFrame([(x,) for x in BUILT], "v string").select(F.trim("v").alias("v"))
+    tests = {**patterns.DETECTORS, **patterns.WEAK}
+    found = F.array(*(F.when(test(F.col("v")), F.lit(kind)) for kind, test in tests.items()))
+    return values.select(F.explode(found).alias("kind"), "v").where("kind is not null")
+
+
 FOUND_IN = {"customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "events": ["event_type", "props"], "conversations": ["role"], "documents": ["lang", "source"], "nation": ["n_name"], "region": ["r_name"], "part": ["p_name", "p_brand"]}
 
 
+NAMED = ("c_name", "s_name", "n_name", "r_name", "p_name")
+
+
 def _findings_sql(table: str, column: str) -> str:
     counts = f"(SELECT count(*) AS n, {', '.join(f'count(*) FILTER ({test}) AS {kind}' for kind, test in TEST_SQL.items())} FROM ({TRIMMED.format(f'SELECT {column} AS v FROM {table}')}))"
-    out = [f"SELECT '{table}' AS tab, '{column}' AS name, '{k}' AS kind, round(least(1.0, {k} / n * 0.9 + {0.1 if pii.hinted(column, k) else 0.0}), 3)::DOUBLE AS confidence, {k} AS matched FROM {counts} WHERE {k} > 0" for k in patterns.DETECTORS]
-    hinted = pii.hinted(column, "name")
+    out = [f"SELECT '{table}' AS tab, '{column}' AS name, '{k}' AS kind, round(least(1.0, {k} / n * 0.9 + 0.0), 3)::DOUBLE AS confidence, {k} AS matched FROM {counts} WHERE {k} > 0" for k in STRONG]
+    hinted = column in NAMED
     confidence = "CASE WHEN name / n >= 0.3 THEN least(1.0, name / n * 0.7 + 0.25) ELSE 0.35 END" if hinted else "least(0.9, name / n * 0.85)"
     out.append(f"SELECT '{table}' AS tab, '{column}' AS name, 'name' AS kind, round({confidence}, 3)::DOUBLE AS confidence, name AS matched FROM {counts} c WHERE {'n > 0' if hinted else 'n > 0 AND c.name / n >= 0.7'}".replace("name / n", "c.name / n").replace("c.c.", "c.").replace(", name AS matched", ", c.name AS matched"))
     return all_of(out)
@@ -194,10 +216,9 @@ def pii_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
     for table, columns in FOUND_IN.items():
         df = read(spark, sf_dir, table)
-        values = union(df.select(F.lit(i).alias("place"), as_text(F.col(c), df.schema[c].dataType).alias("v")) for i, c in enumerate(columns)).where("v is not null")
-        for i, counts in pii.match_counts(values).items():
+        for i, counts in pii.match_counts(pii.long(df, columns)).items():
             found = pii.findings(columns[i], kinds.type_name(df.schema[columns[i]].dataType), counts)
-            rows += [(table, columns[i], f.kind, f.confidence, f.matched) for f in found]
+            rows += [(table, columns[i], f.kind, f.weight, f.hits) for f in found]
     out = spark.createDataFrame(rows, "tab string, name string, kind string, confidence double, matched long")
     level = lambda b: F.col("confidence") >= BANDS[b]
     return out.withColumn("band", F.when(level("high"), "high").when(level("medium"), "medium").when(level("low"), "low").otherwise("none"))
@@ -205,7 +226,7 @@ def pii_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- anomalies ----------------------------------------------------------------------------------------------------
 
-SHAPE_SQL = f"CASE WHEN v = '' THEN 'empty' WHEN regexp_matches(v, {_sql(patterns.NUMBER)}) THEN 'numeric' WHEN {TEST_SQL['date']} THEN 'date' WHEN regexp_matches(v, {_sql(patterns.BOOLEAN)}) THEN 'bool' ELSE 'string' END"
+SHAPE_SQL = rf"CASE WHEN v = '' THEN 'empty' WHEN regexp_matches(v, '^-?\d+(?:\.\d+)?$') THEN 'numeric' WHEN {DATE_SQL} THEN 'date' WHEN regexp_matches(v, '(?i)^(true|false|yes|no|y|n|0|1)$') THEN 'bool' ELSE 'string' END"
 
 
 @query("value_shapes", f"SELECT {SHAPE_SQL} AS shape, count(*) AS n FROM ({TRIMMED.format(WORDS.format('documents'))}) GROUP BY 1")
@@ -216,19 +237,39 @@ def value_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIXED = "SELECT source AS col, unnest(string_split(text, ' ')) AS v FROM documents"
 
 
-@query(
-    "mixed_types",
-    f"""WITH s AS (SELECT col, {SHAPE_SQL} AS shape, count(*) AS n FROM (SELECT col, trim(v, ' ') AS v FROM ({MIXED})) GROUP BY ALL),
+def _mixed_sql(values: str) -> str:
+    return f"""WITH s AS (SELECT col, {SHAPE_SQL} AS shape, count(*) AS n FROM (SELECT col, trim(v, ' ') AS v FROM ({values})) GROUP BY ALL),
         t AS (SELECT *, n / sum(n) OVER (PARTITION BY col) AS part FROM s WHERE shape <> 'empty')
-        SELECT col, count(*) FILTER (part >= 0.05) AS significant, count(*) FILTER (part >= 0.05) >= 2 AS mixed FROM t GROUP BY col""",
-)
+        SELECT col, count(*) FILTER (part >= 0.05) AS significant, count(*) FILTER (part >= 0.05) >= 2 AS mixed FROM t GROUP BY col"""
+
+
+@query("mixed_types", _mixed_sql(MIXED))
 def mixed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = read(spark, sf_dir, "documents").select(F.col("source").alias("col"), F.explode(F.split("text", " ", -1)).alias("v"))
-    v = patterns.shape(F.trim("v"))
-    shaped = values.groupBy("col").agg(*(F.count_if(v == s).alias(s) for s in patterns.SHAPES))
-    total = sum((F.col(s) for s in patterns.SHAPES), F.lit(0))
-    common = sum((F.when(F.col(s) / total >= anomalies.SIGNIFICANT, 1).otherwise(0) for s in patterns.SHAPES), F.lit(0)).cast("long")
-    return shaped.where(total > 0).select("col", common.alias("significant"), (common >= 2).alias("mixed"))
+    return mixed_columns(values)
+
+
+def mixed_columns(values: DataFrame) -> DataFrame:
+    """(col, significant, mixed) from (col, v): the shape of a value is worked out once, and counted by column."""
+    shaped = values.where("v is not null").select("col", patterns.shape(F.trim("v")).alias("shape")).groupBy("col", "shape").agg(F.count(F.lit(1)).alias("n"))
+    shaped = shaped.where("shape <> 'empty'")
+    total = shaped.groupBy("col").agg(F.sum("n").alias("total"))
+    common = F.count_if(F.col("n") / F.col("total") >= anomalies.SIGNIFICANT)
+    by = shaped.join(total, "col").groupBy("col").agg(common.alias("significant"))
+    return by.select("col", "significant", (F.col("significant") >= 2).alias("mixed"))
+
+
+# Built columns of one shape, of two, and of one with strays.
+MIXED_SQL = """SELECT 'plain' AS col, unnest(['1', '2', '3.5', ' 4 ']) AS v UNION ALL SELECT 'mixed', unnest(['1', '2', 'x', '2024-01-05', ''])
+    UNION ALL SELECT 'strays', CASE WHEN i < 99 THEN 'word' ELSE '1' END FROM range(100) t(i) UNION ALL SELECT 'edge', CASE WHEN i < 95 THEN 'word' ELSE 'true' END FROM range(100) t(i)
+    UNION ALL SELECT 'empty', ''"""
+
+
+@query("mixed_built", _mixed_sql(MIXED_SQL))
+def mixed_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("plain", v) for v in ("1", "2", "3.5", " 4 ")] + [("mixed", v) for v in ("1", "2", "x", "2024-01-05", "")] + [("empty", "")]
+    rows += [("strays", "word" if i < 99 else "1") for i in range(100)] + [("edge", "word" if i < 95 else "true") for i in range(100)]
+    return mixed_columns(spark.createDataFrame(rows, "col string, v string"))
 
 
 def _outlier_sql(table: str, c: str) -> str:
@@ -239,12 +280,12 @@ def _outlier_sql(table: str, c: str) -> str:
 
 @query("numeric_outliers", all_of(_outlier_sql(t, c) for t, cs in NUMERIC.items() for c in cs))
 def numeric_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fences by exact quartiles, one aggregation a table; then what lies outside, another."""
+    """Fences by exact quartiles; then what lies outside, in one more aggregation a table."""
 
     def of(table: str, columns: list[str]) -> DataFrame:
         df = read(spark, sf_dir, table).select(*(F.col(c).cast("double").alias(c) for c in columns))
-        quarters = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns)).first()
-        fence = {c: (q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])) for c, q in quarters.asDict().items() if q}
+        quarters = stats.quantiles(df, [0.25, 0.75])
+        fence = {c: (q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])) for c, q in quarters.items() if q}
         counts = [F.struct(F.lit(c).alias("name"), F.lit(lo).alias("low"), F.lit(hi).alias("high"), F.count(c).alias("n"), F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias("outside")).alias(c) for c, (lo, hi) in fence.items()]
         wide = df.agg(*counts)
         return wide.select(F.explode(F.array(*fence)).alias("s")).select(F.lit(table).alias("tab"), "s.name", F.round("s.low", 6).alias("low"), F.round("s.high", 6).alias("high"), "s.n", "s.outside")
@@ -252,7 +293,7 @@ def numeric_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union(of(t, cs) for t, cs in NUMERIC.items())
 
 
-KEYS = {t: [c for c in cs if anomalies.KEY.fullmatch(c)] for t, cs in TABLES.items() if any(anomalies.KEY.fullmatch(c) for c in cs)}
+KEYS = {"events": ["event_id", "user_id"], "documents": ["doc_id"], "labels": ["doc_id"], "conversations": ["conv_id"], "benchmark": ["item_id"], "pages": ["page_id"]}
 
 
 @query("key_duplicates", all_of(f"SELECT '{t}' AS tab, '{c}' AS name, count(*) AS rows, count(DISTINCT {c}) AS distinct_values, count(*) - count(DISTINCT {c}) AS duplicates, count(*) > 1 AND count(DISTINCT {c}) < count(*) AS flagged FROM {t}" for t, cs in KEYS.items() for c in cs))
@@ -286,18 +327,24 @@ def _cadence_sql(table: str) -> str:
 @query("ts_cadence", all_of(_cadence_sql(t) for t in TIMES))
 def ts_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     def of(table: str) -> DataFrame:
-        steps = timeseries.spacing(_points(spark, sf_dir, table))
-        m = steps.agg(F.percentile("delta", 0.5)).first()[0] or 0.0
+        steps, m = _steps(spark, sf_dir, table)
         d = F.col("delta")
-        return steps.agg(F.count(F.lit(1)).alias("steps"), F.count_if(F.abs(d - m) <= timeseries.TOLERANCE * m).alias("on_time"), F.count_if(d > m * (1 + timeseries.TOLERANCE)).alias("gaps")).select(F.lit(table).alias("tab"), "steps", F.round(F.lit(m), 6).alias("cadence"), "on_time", "gaps")
+        on_time, gaps = F.count_if(F.abs(d - m) <= timeseries.TOLERANCE * m), F.count_if(d > m * (1 + timeseries.TOLERANCE))
+        counts = steps.agg(F.count(F.lit(1)).alias("steps"), on_time.alias("on_time"), gaps.alias("gaps"))
+        return counts.select(F.lit(table).alias("tab"), "steps", F.round(F.lit(m), 6).alias("cadence"), "on_time", "gaps")
 
     return union(of(t) for t in TIMES)
 
 
+def _steps(spark: SparkSession, sf_dir: str, table: str) -> tuple[DataFrame, float]:
+    """The steps between neighbouring times, kept by the session since they are read more than once, and their median."""
+    steps = timeseries.spacing(_points(spark, sf_dir, table)).persist()
+    return steps, (stats.quantiles(steps.select("delta"), [0.5])["delta"] or [0.0])[0]
+
+
 @query("ts_gaps", all_of(f"SELECT * FROM (SELECT '{t}' AS tab, before::VARCHAR AS gap_start, ts::VARCHAR AS gap_end, round(delta, 6) AS seconds FROM ({_deltas_sql(t)}) WHERE delta > 1.1 * (SELECT median(delta) FROM ({_deltas_sql(t)})) ORDER BY delta DESC, before LIMIT 5)" for t in ("events",)))
 def ts_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = timeseries.spacing(_points(spark, sf_dir, "events"))
-    m = steps.agg(F.percentile("delta", 0.5)).first()[0] or 0.0
+    steps, m = _steps(spark, sf_dir, "events")
     wide = steps.where(F.col("delta") > m * (1 + timeseries.TOLERANCE)).orderBy(F.desc("delta"), "before").limit(timeseries.TOP_GAPS)
     return wide.select(F.lit("events").alias("tab"), F.col("before").cast("string").alias("gap_start"), F.col("ts").cast("string").alias("gap_end"), F.round("delta", 6).alias("seconds"))
 
@@ -398,7 +445,7 @@ def schema_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _half_sql(side: str) -> str:
     where = f"o_orderkey % 2 = {int(side == 'a')}"
     return all_of(
-        f"SELECT '{c}' AS name, '{d}' AS dtype, count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, count(DISTINCT {c})::DOUBLE AS dis, {f'avg({c}::DOUBLE)' if d in kinds.NUMBERS else 'NULL::DOUBLE'} AS mean, {f'stddev_samp({c}::DOUBLE)' if d in kinds.NUMBERS else 'NULL::DOUBLE'} AS stddev FROM orders WHERE {where}"
+        f"SELECT '{c}' AS name, '{d}' AS dtype, count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, count(DISTINCT {c})::DOUBLE AS dis, {f'avg({c}::DOUBLE)' if d in ('INTEGER', 'BIGINT', 'DOUBLE') else 'NULL::DOUBLE'} AS mean, {f'stddev_samp({c}::DOUBLE)' if d in ('INTEGER', 'BIGINT', 'DOUBLE') else 'NULL::DOUBLE'} AS stddev FROM orders WHERE {where}"
         for c, d in TYPES["orders"].items()
     )
 
@@ -421,6 +468,54 @@ def profile_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.compare_tables(orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 2 = 1"))
 
 
+@query(
+    "diff_built",
+    """SELECT * FROM (VALUES ('kept', 'both', 'BIGINT', 'BIGINT', 0.0::DOUBLE, 'none', 'none', 'none', 'none'), ('retyped', 'both', 'BIGINT', 'VARCHAR', 25.0, 'high', 'low', 'medium', 'medium'),
+        ('added', 'added', NULL, 'VARCHAR', NULL, 'none', 'medium', 'none', 'none'), ('removed', 'removed', 'DOUBLE', NULL, NULL, 'none', 'medium', 'medium', 'medium'))
+        t(name, status, before_dtype, after_dtype, null_points, null_severity, distinct_severity, mean_severity, stddev_severity)""",
+)
+def diff_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that stay, change their type, come and go."""
+    before = spark.createDataFrame([(i, i, i / 2) for i in range(4)], "kept long, retyped long, removed double")
+    after = spark.createDataFrame([(i, None if i == 3 else f"w{i}", "x") for i in range(4)], "kept long, retyped string, added string")
+    return diff.compare_tables(before, after)
+
+
+@query("redact_built", "SELECT * FROM (VALUES ('email', 'email', 'mask'), ('phone', 'phone', 'hash'), ('dob', 'dob', 'year')) t(name, kind, strategy)")
+def redact_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan for a built table: one kind by another strategy, one kept."""
+    rows = [(i, f"u{i}@example.com", f"+1 555 123 45{i:02d}", dt.date(1990, 1, 1 + i), f"10.0.0.{i}") for i in range(12)]
+    df = spark.createDataFrame(rows, "n int, email string, phone string, dob date, ip string")
+    plan = redact.build_plan(profile(df, timeseries_=False), min_confidence="high", overrides={"phone": "hash", "ipv4": "keep"})
+    return spark.createDataFrame([(a.column, a.kind, a.strategy) for a in plan.actions], "name string, kind string, strategy string")
+
+
+# Built rows: a key with repeats, a column three quarters null, one of mixed shapes, one with an outlier.
+SCORED = [(i // 2 if i < 4 else i, None if i % 4 else "a", str(i) if i % 2 else "word", 1000.0 if i == 19 else float(i % 5), f"u{i}@example.com") for i in range(20)]
+SCORED_SQL = """SELECT CASE WHEN i < 4 THEN i // 2 ELSE i END AS user_id, CASE WHEN i % 4 = 0 THEN 'a' END AS gap, CASE WHEN i % 2 = 1 THEN i::VARCHAR ELSE 'word' END AS v,
+    CASE WHEN i = 19 THEN 1000.0 ELSE i % 5 END::DOUBLE AS x, 'u' || i || '@example.com' AS email FROM range(20) t(i)"""
+
+
+@query(
+    "score_built",
+    f"""WITH t AS ({SCORED_SQL}),
+        gap AS (SELECT 100.0 * count(*) FILTER (gap IS NULL) / count(*) AS pct FROM t),
+        q AS (SELECT quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b FROM t),
+        p AS (
+            SELECT 'null_density' AS kind, least(round(pct / 2), 20)::INT AS points, 'high null density (1 column > 20% null: ''gap'' ' || round(pct)::INT || '%)' AS detail FROM gap
+            UNION ALL SELECT 'pk_duplicates', 10, 'duplicate values in PK-candidate ''user_id''' WHERE (SELECT count(DISTINCT user_id) < count(*) FROM t)
+            UNION ALL SELECT 'mixed_types', 6, 'mixed types in ''v''' WHERE (SELECT count(*) FILTER (regexp_matches(v, '^[0-9]+$')) BETWEEN 1 AND count(*) - 1 FROM t)
+            UNION ALL SELECT 'numeric_outliers', CASE WHEN n >= 0.01 THEN 2 ELSE 1 END, 'numeric outliers in ''x''' FROM (SELECT avg((x > b + 1.5 * (b - a) OR x < a - 1.5 * (b - a))::INT) AS n FROM t, q) WHERE n > 0
+            UNION ALL SELECT 'pii_exposure', 4, 'PII detected without masking: email (email:high)' WHERE (SELECT bool_and(regexp_matches(email, '^[a-z0-9]+@example[.]com$')) FROM t)
+        )
+        SELECT greatest(0, 100 - sum(points) OVER ())::INT AS score, kind, points, detail FROM p""",
+)
+def score_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.createDataFrame(SCORED, "user_id long, gap string, v string, x double, email string")
+    result = score.compute_score(profile(df, timeseries_=False, detect="all"))
+    return spark.createDataFrame([(result.score, p.kind, p.points, p.detail) for p in result.penalties], "score int, kind string, points int, detail string")
+
+
 @query("score_penalties")
 def score_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
@@ -430,17 +525,49 @@ def score_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "tab string, score int, grade string, kind string, points int")
 
 
-@query("expectation_suite")
+ORDER_TYPES = {"o_orderkey": "int", "o_custkey": "int", "o_orderstatus": "str", "o_totalprice": "float", "o_orderdate": "datetime", "o_orderpriority": "str"}
+
+
+def _suite_sql() -> str:
+    def one(what: str, words: str = "NULL", low: str = "NULL", high: str = "NULL") -> str:
+        return f"SELECT 'expect_column_{what}', '{c}', {words}::VARCHAR, {low}::DOUBLE, {high}::DOUBLE"
+
+    names = ",".join(sorted(ORDER_TYPES))
+    out = [f"SELECT 'expect_table_columns_to_match_set' AS expectation, NULL::VARCHAR AS name, '{names}' AS words, NULL::DOUBLE AS low, NULL::DOUBLE AS high"]
+    for c, kind in ORDER_TYPES.items():
+        out += [one("to_exist"), one("values_to_be_of_type", f"'{kind}'")]
+        out.append(f"{one('values_to_not_be_null')} WHERE (SELECT count(*) = count({c}) AND count(*) > 0 FROM orders)")
+        if kind in ("int", "float"):
+            out.append(f"{one('values_to_be_between', low=f'min({c})', high=f'max({c})')} FROM orders")
+        if kind == "str":
+            top = f"(SELECT {c} AS v, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY n DESC, v LIMIT 5)"
+            out.append(f"{one('value_lengths_to_be_between', low='min(len(v))', high='max(len(v))')} FROM {top}")
+            values = "string_agg(v, ',' ORDER BY v)"
+            out.append(f"{one('values_to_be_in_set', words=values)} FROM {top} HAVING (SELECT count(DISTINCT {c}) <= 5 FROM orders)")
+    return all_of(out)
+
+
+@query("expectation_suite", _suite_sql())
 def expectation_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     suite = expectations.to_great_expectations(profile(read(spark, sf_dir, "orders"), path="orders.parquet", detect="all"), include_pii=True)
-    rows = [(e["expectation_type"], e["kwargs"].get("column"), str({k: v for k, v in e["kwargs"].items() if k != "column"})) for e in suite["expectations"]]
-    return spark.createDataFrame(rows, "expectation string, name string, arguments string")
+    rows = []
+    for e in suite["expectations"]:
+        k = e["kwargs"]
+        words = k.get("type_") or ",".join(sorted(k.get("value_set", k.get("column_set", [])))) or None
+        low, high = (float(k[x]) if x in k else None for x in ("min_value", "max_value"))
+        rows.append((e["expectation_type"], k.get("column"), words, low, high))
+    return spark.createDataFrame(rows, "expectation string, name string, words string, low double, high double")
 
 
-@query("outlier_anomalies")
+@query(
+    "outlier_anomalies",
+    f"""SELECT tab, name, CASE WHEN 100.0 * outside / n >= 1 THEN 'warn' ELSE 'info' END AS severity,
+        format('{{}} of {{}} values lie outside IQR fence [{{:.4g}}, {{:.4g}}] ({{:.1f}}%).', outside, n, low, high, (100.0 * outside / n)::DOUBLE) AS detail
+        FROM ({all_of(_outlier_sql(t, c) for t, cs in NUMERIC.items() for c in cs)}) WHERE outside > 0 AND n >= 8 AND high > low""",
+)
 def outlier_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = [(t, c, whole_outliers(read(spark, sf_dir, t).select(c))) for t, cs in NUMERIC.items() for c in cs]
-    return spark.createDataFrame([(t, c, a.severity, a.detail) for t, c, a in found if a], "tab string, name string, severity string, detail string")
+    return spark.createDataFrame([(t, c, a.level, a.words) for t, c, a in found if a], "tab string, name string, severity string, detail string")
 
 
 # -- free SQL -----------------------------------------------------------------------------------------------------
@@ -450,7 +577,7 @@ SQL = {
     "group": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "join": "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "window": "SELECT c_custkey, c_nationkey, r FROM (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r <= 3",
-    "sets": "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey AS k FROM supplier",
+    "sets": "SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey * 2 AS k FROM supplier",
     "intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier",
     "grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
     "cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
@@ -462,6 +589,12 @@ SQL = {
     "range": "SELECT count(*) AS n FROM supplier s JOIN supplier t ON s.s_nationkey = t.s_nationkey AND s.s_acctbal < t.s_acctbal",
     "qualify": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
     "exclude": "SELECT * EXCLUDE (html) FROM pages",
+    "split": "SELECT url, string_split(url, '.')[1] AS first, string_split(url, '.')[-1] AS last, string_split(url, '.')[99] AS none FROM pages",
+    "lists": "SELECT n_nationkey, [10, 20, 30][n_nationkey % 4] AS v, [n_name, 'x'][1] AS name FROM nation",
+    "strptime": "SELECT o_orderkey, strptime(strftime(o_orderdate, '%d/%m/%Y %H:%M:%S'), '%d/%m/%Y %H:%M:%S') AS at, strftime(o_orderdate, '%Y-%m') AS month FROM orders",
+    "nested_limit": "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 5)",
+    "union_by_name": "SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL BY NAME SELECT r_name AS name, r_regionkey AS region FROM region",
+    "sample": "SELECT r_name FROM region USING SAMPLE 100%",
 }
 
 

@@ -4,35 +4,63 @@ from __future__ import annotations
 
 import html
 import json
-from dataclasses import asdict
 from typing import Any
 
-from ..model import ProfileReport, band
-from ..operators.diff import SchemaDiff
+from ..model import ODD, PERSONAL, ColumnRow, Rhythm, TableProfile, band
+from ..operators.diff import FACT, Comparison
 from ..operators.multi import MultiReport
 from ..operators.score import ScoreResult, score_to_dict
+from ..operators.timeseries import BUCKETS, duration
 from .values import jsonable
 
 VERSION = 4
 
 
-def report_to_dict(report: ProfileReport, score: ScoreResult | None = None) -> dict[str, Any]:
-    def column(c) -> dict[str, Any]:
-        plain = {k: getattr(c, k) for k in ("name", "dtype", "null_pct", "distinct")}
-        values = {k: jsonable(getattr(c, k)) for k in ("sample", "min", "max", "mean", "stddev")}
-        return plain | values | {"top": [{"value": jsonable(t.value), "count": t.count} for t in c.top], "pii": [asdict(f) for f in c.pii], "anomalies": [asdict(a) for a in c.anomalies]}
+def _column(c: ColumnRow) -> dict[str, Any]:
+    values = {"sample": c.example, "min": c.least, "max": c.greatest, "mean": c.mean, "stddev": c.deviation}
+    return {
+        "name": c.name, "dtype": c.type, "null_pct": c.null_share, "distinct": c.distinct,
+        **{k: jsonable(v) for k, v in values.items()},
+        "top": [{"value": jsonable(v), "count": n} for v, n in c.common],
+        "pii": [{"kind": n.kind, "confidence": n.weight, "match_ratio": n.share, "matched": n.hits, "sampled": n.seen} for n in c.about(PERSONAL)],
+        "anomalies": [{"kind": n.kind, "severity": n.level, "detail": n.words} for n in c.about(ODD)],
+    }
+
+
+def kept_share(t: Rhythm) -> float:
+    """Steps that keep to the usual one, in percent."""
+    return round(100.0 * t.kept / (t.n - 1), 2) if t.step else 0.0
+
+
+def missing(t: Rhythm) -> int | None:
+    return max(0, t.expected - t.n) if t.step else None
+
 
-    def series(t) -> dict[str, Any]:
-        out = asdict(t)
-        out["range"] = {"min": out.pop("range_min"), "max": out.pop("range_max")}
-        first = ("column", "detected_from", "points", "range")
-        return {k: out[k] for k in first} | {k: list(v) if isinstance(v, tuple) else v for k, v in out.items() if k not in first}
+def _skew(bucket: str, label: str, share: float) -> dict[str, Any]:
+    even = 1 / BUCKETS[bucket]
+    return {"bucket": bucket, "label": label, "share": round(share, 4), "expected_share": round(even, 4), "ratio": round(share / even, 2)}
 
+
+def _series(name: str, t: Rhythm) -> dict[str, Any]:
+    first, last = (at.isoformat() for at in t.span)
+    return {
+        "column": name, "detected_from": t.read_from, "points": t.n, "range": {"min": first, "max": last},
+        "cadence_seconds": t.step, "cadence_label": duration(t.step) if t.step else None, "conformance_pct": kept_share(t),
+        "expected_buckets": t.expected, "missing_buckets": missing(t),
+        "gaps": [{"start": a.isoformat(), "end": b.isoformat(), "duration_seconds": s} for a, b, s in t.gaps],
+        "seasonality": [_skew(*s) for s in t.skew],
+    }
+
+
+def report_to_dict(report: TableProfile, score: ScoreResult | None = None) -> dict[str, Any]:
+    """The keys of a report, which its readers rely on."""
+    path, size, encoding = report.origin.path, report.origin.size, report.origin.encoding
     out = {
         "schema_version": VERSION,
-        "file": {"path": str(report.path) if report.path else None, "size_bytes": report.size_bytes, "encoding": report.encoding},
-        "rows": report.rows, "cols": report.cols, "sampled": report.sampled, "sample_size": report.sample_size,
-        "columns": [column(c) for c in report.columns], "time_series": [series(t) for t in report.time_series],
+        "file": {"path": str(path) if path else None, "size_bytes": size, "encoding": encoding},
+        "rows": report.rows, "cols": len(report.columns), "sampled": bool(report.origin.first), "sample_size": report.origin.first,
+        "columns": [_column(c) for c in report.columns],
+        "time_series": [_series(c.name, c.rhythm) for c in report.columns if c.rhythm],
     }
     return out | ({"score": score_to_dict(score)} if score else {})
 
@@ -56,16 +84,17 @@ def table(head: list[str], rows: list[list[Any]]) -> str:
     return "\n".join([lines[0], "  ".join("-" * w for w in widths), *lines[1:]])
 
 
-def _column_rows(report: ProfileReport) -> list[list[Any]]:
-    return [[c.name, c.dtype, f"{c.null_pct:.2f}", c.distinct, c.min, c.max, c.mean, c.stddev, ", ".join(f"{t.value} ({t.count})" for t in c.top[:3])] for c in report.columns]
+def _column_rows(report: TableProfile) -> list[list[Any]]:
+    common = lambda c: ", ".join(f"{v} ({n})" for v, n in c.common[:3])
+    return [[c.name, c.type, f"{c.null_share:.2f}", c.distinct, c.least, c.greatest, c.mean, c.deviation, common(c)] for c in report.columns]
 
 
-def _pii_rows(report: ProfileReport) -> list[list[Any]]:
-    return [[c.name, f.kind, f"{f.confidence:.2f}", band(f.confidence), f"{f.matched}/{f.sampled}"] for c in report.columns for f in c.pii]
+def _pii_rows(report: TableProfile) -> list[list[Any]]:
+    return [[c.name, n.kind, f"{n.weight:.2f}", band(n.weight), f"{n.hits}/{n.seen}"] for c, n in report.personal()]
 
 
-def _anomaly_rows(report: ProfileReport) -> list[list[Any]]:
-    return [[c.name, a.kind, a.severity, a.detail] for c in report.columns for a in c.anomalies]
+def _anomaly_rows(report: TableProfile) -> list[list[Any]]:
+    return [[c.name, n.kind, n.level, n.words] for c in report.columns for n in c.about(ODD)]
 
 
 COLUMN_HEAD = ["column", "type", "null %", "distinct", "min", "max", "mean", "stddev", "frequent"]
@@ -73,15 +102,20 @@ PII_HEAD = ["column", "kind", "confidence", "band", "matched"]
 ANOMALY_HEAD = ["column", "kind", "severity", "detail"]
 
 
-def text(report: ProfileReport, score: ScoreResult | None = None) -> str:
-    size = "" if report.size_bytes is None else f", {report.size_bytes:,} bytes"
-    parts = [f"{report.path or 'table'}: {report.rows:,} rows, {report.cols} columns{size}{' (sampled)' if report.sampled else ''}"]
+def text(report: TableProfile, score: ScoreResult | None = None) -> str:
+    origin = report.origin
+    size = "" if origin.size is None else f", {origin.size:,} bytes"
+    parts = [f"{origin.path or 'table'}: {report.rows:,} rows, {len(report.columns)} columns{size}{' (sampled)' if origin.first else ''}"]
     if report.columns:
         parts.append(table(COLUMN_HEAD, _column_rows(report)))
     parts.append("Personal data\n" + (table(PII_HEAD, rows) if (rows := _pii_rows(report)) else "none found"))
     parts.append("Anomalies\n" + (table(ANOMALY_HEAD, rows) if (rows := _anomaly_rows(report)) else "none found"))
-    if report.time_series:
-        rows = [[t.column, t.range_min, t.range_max, t.cadence_label, f"{t.conformance_pct:.2f}", t.missing_buckets, len(t.gaps), ", ".join(f"{s.label} x{s.ratio}" for s in t.seasonality)] for t in report.time_series]
+    rows = []
+    for name, t in ((c.name, c.rhythm) for c in report.columns if c.rhythm):
+        skew = ", ".join(f"{label} x{share * BUCKETS[bucket]:.2f}" for bucket, label, share in t.skew)
+        step = duration(t.step) if t.step else None
+        rows.append([name, *(at.isoformat() for at in t.span), step, f"{kept_share(t):.2f}", missing(t), len(t.gaps), skew])
+    if rows:
         parts.append("Times\n" + table(["column", "from", "to", "cadence", "on time %", "missing", "gaps", "skew"], rows))
     if score:
         parts.append(f"Score {score.score} ({score.grade})\n" + "\n".join(f"-{p.points} {p.detail}" for p in score.penalties))
@@ -96,11 +130,13 @@ def multi_text(report: MultiReport) -> str:
     return "\n\n".join(parts)
 
 
-def diff_text(diff: SchemaDiff) -> str:
-    head = f"{diff.before_path} -> {diff.after_path}: severity {diff.severity}; rows {diff.before_rows:,} -> {diff.after_rows:,}; columns {diff.before_cols} -> {diff.after_cols}"
+def diff_text(diff: Comparison) -> str:
+    b, a = diff.before, diff.after
+    counts = f"rows {b.rows:,} -> {a.rows:,}; columns {len(b.columns)} -> {len(a.columns)}"
+    head = f"{b.origin.path} -> {a.origin.path}: severity {diff.severity}; {counts}"
     rows = []
     for c in diff.columns:
-        said = [f"{x.field} {x.before} -> {x.after} ({x.severity})" for x in c.changes] + [f"{p.kind} {p.direction} ({p.severity})" for p in c.pii_changes]
+        said = [f"{x.of} {x.sides[0]} -> {x.sides[1]} ({x.severity})" if x.about == FACT else f"{x.of} {x.words} ({x.severity})" for x in c.changes]
         if c.status != "unchanged":
             rows.append([c.name, c.status, c.severity, "; ".join(said)])
     return head + ("\n\n" + table(["column", "status", "severity", "changes"], rows) if rows else "\n\nno differences")
@@ -109,7 +145,7 @@ def diff_text(diff: SchemaDiff) -> str:
 STYLE = "body{font:15px system-ui,sans-serif;margin:2rem;max-width:75rem}table{border-collapse:collapse;margin:1rem 0}td,th{border:1px solid #ccc;padding:.3rem .6rem;text-align:left}.high{color:#b00020}.medium,.warn{color:#a66300}"
 
 
-def page(report: ProfileReport, title: str = "Profile", reading: str | None = None) -> str:
+def page(report: TableProfile, title: str = "Profile", reading: str | None = None) -> str:
     """A page that needs nothing else: facts of the file, columns, personal data, anomalies and a reading, if there is one."""
     esc = lambda v: html.escape("" if v is None else str(v))
 
@@ -120,8 +156,10 @@ def page(report: ProfileReport, title: str = "Profile", reading: str | None = No
         body = "".join("<tr>" + "".join(map(cell, row)) + "</tr>" for row in rows)
         return f"<h2>{esc(name)}</h2><table><tr>{''.join(f'<th>{esc(h)}</th>' for h in head)}</tr>{body}</table>"
 
-    name = str(report.path).rsplit("/", 1)[-1] if report.path else "table"
-    facts = [["path", report.path], ["rows", f"{report.rows:,}"], ["columns", report.cols], ["bytes", report.size_bytes], ["encoding", report.encoding], ["sampled", report.sampled]]
+    origin = report.origin
+    name = str(origin.path).rsplit("/", 1)[-1] if origin.path else "table"
+    counts = [["rows", f"{report.rows:,}"], ["columns", len(report.columns)]]
+    facts = [["path", origin.path], *counts, ["bytes", origin.size], ["encoding", origin.encoding], ["sampled", bool(origin.first)]]
     parts = [part("File", ["", ""], facts), part("Columns", COLUMN_HEAD, _column_rows(report)), part("Personal data", PII_HEAD, _pii_rows(report)), part("Anomalies", ANOMALY_HEAD, _anomaly_rows(report))]
     if reading:
         parts.append("<h2>Reading</h2>" + "".join(f"<p>{esc(p)}</p>" for p in reading.split("\n\n")))

@@ -64,7 +64,7 @@ def tool_summon(spark: SparkSession, args: dict[str, Any]) -> dict[str, Any]:
     _args(args, fail_on_pii=(str, BANDS.__contains__, f"one of {sorted(BANDS)}"))
     report = _profiled(spark, args)
     out: dict[str, Any] = {"profile": report_to_dict(report)}
-    worst = max(((f.confidence, f.kind, c.name) for c in report.columns for f in c.pii), key=lambda x: x[0], default=None)
+    worst = report.most_personal() if any(report.personal()) else None
     level = args.get("fail_on_pii")
     if level and worst and worst[0] >= BANDS[level]:
         out["pii_breach"] = {"threshold": level, "confidence": worst[0], "kind": worst[1], "column": worst[2]}

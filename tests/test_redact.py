@@ -59,7 +59,7 @@ def test_run(spark, people, tmp_path, name):
         assert out.read_text().splitlines()[0] == "id,full_name,email,phone,ssn,dob,ip_address,note"
         return
     again = load(spark, out)
-    kinds = {f.kind for c in profile(again).columns for f in c.pii if f.confidence >= 0.85}
+    kinds = {n.kind for _, n in profile(again).personal() if n.weight >= 0.85}
     assert kinds <= {"ipv4"}
     if name == "out.jsonl":
         assert json.loads(out.read_text().splitlines()[1])["note"] is None

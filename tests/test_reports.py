@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 import yaml
 
-from prismetric.model import Anomaly, ColumnProfile, PIIFinding, ProfileReport, TopValue
+from prismetric.model import ODD, PERSONAL, ColumnRow, Notice, Origin, TableProfile
 from prismetric.operators import expectations
 from prismetric.operators.diff import compare, compare_tables, diff_to_dict
 from prismetric.operators.profile import profile
@@ -15,15 +15,19 @@ from prismetric.sources.load import load
 
 
 def column(name="x", dtype="BIGINT", null_pct=0.0, distinct=5, **more):
-    return ColumnProfile(name, dtype, null_pct, distinct, **more)
+    return ColumnRow(name, dtype, 1000, round(10 * null_pct), distinct, **more)
 
 
 def report(*columns, rows=10, path="orders.csv", encoding="utf-8"):
-    return ProfileReport(Path(path), rows, len(columns), encoding=encoding, columns=list(columns))
+    return TableProfile(rows, columns, Origin(Path(path), encoding=encoding))
 
 
 def pii(kind, confidence):
-    return (PIIFinding(kind, confidence, 1.0, 1, 1),)
+    return (Notice(PERSONAL, kind, confidence, 1, 1),)
+
+
+def odd(kind, level):
+    return (Notice(ODD, kind, level=level),)
 
 
 def test_clean_score():
@@ -35,9 +39,9 @@ def test_clean_score():
     "columns,kind,points",
     [
         ([column(null_pct=50.0)], "null_density", 20), ([column(null_pct=25.0)], "null_density", 12), ([column(null_pct=100.0)] * 3, "null_density", 30), ([column(null_pct=20.0)], None, 0),
-        ([column(anomalies=(Anomaly("mixed_types", "warn", ""),))] * 4, "mixed_types", 18), ([column(anomalies=(Anomaly("pk_duplicates", "high", ""),))] * 3, "pk_duplicates", 20),
-        ([column(anomalies=(Anomaly("numeric_outliers", "warn", ""),))] * 5, "numeric_outliers", 8), ([column(anomalies=(Anomaly("numeric_outliers", "info", ""),))], "numeric_outliers", 1),
-        ([column(pii=pii("email", 0.9))] * 6, "pii_exposure", 20), ([column(pii=pii("email", 0.7))], "pii_exposure", 2), ([column(pii=pii("email", 0.1))], None, 0),
+        ([column(notices=odd("mixed_types", "warn"))] * 4, "mixed_types", 18), ([column(notices=odd("pk_duplicates", "high"))] * 3, "pk_duplicates", 20),
+        ([column(notices=odd("numeric_outliers", "warn"))] * 5, "numeric_outliers", 8), ([column(notices=odd("numeric_outliers", "info"))], "numeric_outliers", 1),
+        ([column(notices=pii("email", 0.9))] * 6, "pii_exposure", 20), ([column(notices=pii("email", 0.7))], "pii_exposure", 2), ([column(notices=pii("email", 0.1))], None, 0),
     ],
 )
 def test_penalties(columns, kind, points):
@@ -60,13 +64,13 @@ def test_badge():
 
 
 def test_diff():
-    before = report(column("a", distinct=10, mean=1.0), column("b", pii=pii("email", 0.9)), column("gone"))
-    after = report(column("a", "VARCHAR", null_pct=30.0, distinct=10), column("b", pii=pii("email", 0.65)), column("new"))
+    before = report(column("a", distinct=10, mean=1.0), column("b", notices=pii("email", 0.9)), column("gone"))
+    after = report(column("a", "VARCHAR", null_pct=30.0, distinct=10), column("b", notices=pii("email", 0.65)), column("new"))
     diff = compare(before, after)
     by = {c.name: c for c in diff.columns}
     assert [c.name for c in diff.columns] == ["a", "b", "new", "gone"]
-    assert [(x.field, x.severity) for x in by["a"].changes] == [("dtype", "high"), ("null_pct", "high"), ("mean", "medium")]
-    assert [(p.direction, p.severity) for p in by["b"].pii_changes] == [("shifted", "medium")]
+    assert [(x.of, x.severity) for x in by["a"].changes] == [("dtype", "high"), ("null_pct", "high"), ("mean", "medium")]
+    assert [(p.words, p.severity) for p in by["b"].changes] == [("shifted", "medium")]
     assert (by["new"].status, by["new"].severity, by["gone"].status, diff.severity) == ("added", "medium", "removed", "high")
     data = json.loads(reports.dumps(diff_to_dict(diff)))
     assert data["summary"] == {"added": ["new"], "removed": ["gone"], "changed": ["a", "b"], "unchanged": []}
@@ -110,10 +114,10 @@ def test_suites(spark, people):
 
 
 def test_value_sets_need_all_values():
-    some = column("s", "VARCHAR", distinct=3, top=(TopValue("a", 1), TopValue("b", 1)))
+    some = column("s", "VARCHAR", distinct=3, common=(("a", 1), ("b", 1)))
     assert expectations.value_set(some, 20) is None
-    assert expectations.value_set(column("s", "VARCHAR", distinct=2, top=some.top), 20) == ["a", "b"]
-    assert expectations.value_set(column("s", "VARCHAR", distinct=2, top=some.top), 1) is None
+    assert expectations.value_set(column("s", "VARCHAR", distinct=2, common=some.common), 20) == ["a", "b"]
+    assert expectations.value_set(column("s", "VARCHAR", distinct=2, common=some.common), 1) is None
 
 
 @pytest.mark.parametrize("value", [{"a": [], "b": {}, "c d": None}, {"k: x": ["yes", "-1", "é", 'q"', 1.5, True, None]}, {"l": [{"x": 1, "y": {"z": ["1"]}}, {"m": None}]}])

@@ -1,3 +1,4 @@
+import datetime as dt
 import io
 import json
 from pathlib import Path
@@ -5,7 +6,7 @@ from pathlib import Path
 import pytest
 
 from prismetric import cli, config, narrate, rpc, voices
-from prismetric.model import NameRule, ProfileReport
+from prismetric.model import NameRule, TableProfile
 from prismetric.plans import adhoc
 from prismetric.streaming import watch
 
@@ -42,6 +43,21 @@ def test_limits():
     assert adhoc.limited("SELECT 1\nLIMIT 2", 5) == "SELECT 1\nLIMIT 2"
     assert adhoc.limited("SELECT ' LIMIT '", 5).endswith("LIMIT 5")
     assert adhoc.limited("DESCRIBE data", 5) == "DESCRIBE data"
+    assert adhoc.limited("SELECT * FROM (SELECT 1 LIMIT 2)", 5).endswith(") LIMIT 5")
+
+
+def test_sql_means_the_same(spark, tiny):
+    s = adhoc.open_session(spark, tiny)
+    assert s.run_sql("SELECT string_split('a.b|c', '.') AS a, string_split('a|b', '|')[1] AS b, string_split('x', '\\\\E') AS c")[1] == [(["a", "b|c"], "a", ["x"])]
+    assert s.run_sql("SELECT [10, 20, 30][1] AS a, [10, 20][-1] AS b, [1][2] AS c, [[1, 2], [3]][1][2] AS d, map('k', 5)['k'] AS e")[1] == [(10, 20, None, 2, 5)]
+    assert s.run_sql("SELECT strptime('05/01/2024 07', '%d/%m/%Y %H') AS t, strftime(TIMESTAMP_NTZ'2024-02-03 04:05:06', '%Y week %m') AS f")[1] == [(dt.datetime(2024, 1, 5, 7), "2024 week 02")]
+    for sql in ("SELECT strptime('x', '%Q')", "SELECT strptime('x', grp) FROM data", "SELECT [1, 2, 3][1:2]", "SELECT * FROM (SELECT 1 AS a UNION BY NAME SELECT 2 AS a)"):
+        with pytest.raises(adhoc.DialectError):
+            s.run_sql(sql)
+    names, rows = s.run_sql("SELECT 1 AS a, 2 AS b UNION BY NAME SELECT 2 AS b, 1 AS a UNION BY NAME SELECT 3 AS c")
+    assert (names, sorted(rows, key=str)) == (["a", "b", "c"], [(1, 2, None), (None, None, 3)])
+    assert len(s.run_sql("SELECT * FROM data USING SAMPLE 2 ROWS")[1]) == 2
+    assert len(s.run_sql("SELECT a.id FROM range(300) a JOIN (SELECT 1 AS x LIMIT 1)")[1]) == 200
 
 
 def test_debounce():
@@ -119,7 +135,7 @@ def test_unknown_top_key_warns(tmp_path):
         assert config.load(p).values == {}
 
 
-REPORT = ProfileReport(None, 0, 0)
+REPORT = TableProfile(0)
 CONF = narrate.LLMConfig("http://x.test/v1/", "k", "gpt-4o-mini-2024")
 
 

@@ -223,4 +223,4 @@ def test_profile_of_file(spark, tmp_path):
     p = tmp_path / "tiny.csv"
     p.write_text(TINY)
     report = profile(load(spark, p), path=p)
-    assert (report.size_bytes, report.encoding) == (len(TINY), "utf-8")
+    assert (report.origin.size, report.origin.encoding) == (len(TINY), "utf-8")
