@@ -104,7 +104,7 @@ def telling(docs: DataFrame, rows: DataFrame, holds: DataFrame, texts: DataFrame
     """(entity, term, share): terms whose pointwise mutual information with an entity is at least ``share`` of the
     entity's own information, over distinct texts. ``holds(entity, n_entity, text_hash)`` and ``texts(text_hash,
     terms)`` have the entities and the words of whole texts. A pair counts from ``support`` texts on; each term's
-    frequency is taken over all texts. Terms and copied texts are broadcast while there are at most ``bound`` of them."""
+    frequency is taken over all texts. Terms and copied texts are broadcast where there are at most ``bound`` of them."""
     n = rows.select("text_hash").distinct().count()
     own = F.log2(F.lit(n) / F.col("n_entity"))
     mutual = lambda n_term: F.log2(F.col("both") * F.lit(n) / (F.col(n_term) * F.col("n_entity")))
@@ -118,15 +118,19 @@ def telling(docs: DataFrame, rows: DataFrame, holds: DataFrame, texts: DataFrame
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("share"))
 
-    small = lambda t: F.broadcast(t) if t.count() <= bound else t
-    terms = small(written(pairs.select("term").distinct(), "terms"))
     copied = rows.groupBy(F.col("text_hash").alias("of")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copied = small(written(copied, "copied"))
-    # of a text with c copies each word is met c times: rows are counted by c, and divided, so that no pair of word and
-    # text has to be told from its repetitions
-    word = F.explode(F.array_distinct(F.transform(F.split(whole_text(text_col), OTHERS), F.lower))).alias("word")
-    met = docs.select(hash_of(whole_text(text_col)).alias("text_hash"), word).join(terms, F.col("word") == F.col("term"))
-    met = met.join(copied, F.col("text_hash") == F.col("of"), "left").groupBy("term", F.coalesce("copies", F.lit(1)).alias("c")).agg(F.count(F.lit(1)).alias("times"))
+    copied = written(copied, "copied")
+    copied = F.broadcast(copied) if copied.count() <= bound else copied
+    # of a text with c copies each word is met c times: rows are counted by word and c in each task first, and divided,
+    # so that no pair of word and text is ever moved
+    words = F.array_distinct(F.transform(F.split(whole_text(text_col), OTHERS), F.lower))
+    met = docs.select(hash_of(whole_text(text_col)).alias("text_hash"), words.alias("words"))
+    met = met.join(copied, F.col("text_hash") == F.col("of"), "left")
+    met = met.select(F.coalesce("copies", F.lit(1)).alias("c"), F.explode("words").alias("term"))
+    terms = written(pairs.select("term").distinct(), "terms")
+    if terms.count() <= bound:
+        met = met.join(F.broadcast(terms), "term", "left_semi")
+    met = met.groupBy("term", "c").agg(F.count(F.lit(1)).alias("times"))
     of_term = met.groupBy("term").agg(F.sum(F.floor(F.col("times") / F.col("c"))).alias("n_term"))
     found = pairs.join(of_term, "term").withColumn("share", mutual("n_term") / own)
     return written(found.where(F.col("share") >= share).select("entity", "term", "share"), "telling")
