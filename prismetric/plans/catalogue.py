@@ -590,10 +590,10 @@ SQL = {
     "qualify": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
     "exclude": "SELECT * EXCLUDE (html) FROM pages",
     "split": "SELECT url, string_split(url, '.')[1] AS first, string_split(url, '.')[-1] AS last, string_split(url, '.')[99] AS none FROM pages",
-    "lists": "SELECT n_nationkey, [10, 20, 30][n_nationkey % 4] AS v, [n_name, 'x'][1] AS name FROM nation",
+    "lists": "SELECT n_nationkey, coalesce([10, 20, 30][n_nationkey % 4], -1) AS v, [n_name, 'x'][1] AS name FROM nation",
     "strptime": "SELECT o_orderkey, strptime(strftime(o_orderdate, '%d/%m/%Y %H:%M:%S'), '%d/%m/%Y %H:%M:%S') AS at, strftime(o_orderdate, '%Y-%m') AS month FROM orders",
     "nested_limit": "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 5)",
-    "union_by_name": "SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL BY NAME SELECT r_name AS name, r_regionkey AS region FROM region",
+    "union_by_name": "SELECT CAST(n_nationkey AS DOUBLE) AS k, n_name AS name FROM nation UNION ALL BY NAME SELECT r_name AS name, CAST(r_regionkey AS DOUBLE) AS region FROM region",
     "sample": "SELECT r_name FROM region USING SAMPLE 100%",
 }
 
