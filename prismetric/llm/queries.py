@@ -128,5 +128,40 @@ ORACLES: dict[str, str] = {
                CASE WHEN size > 0 AND ahead < reach THEN y.slot ELSE -1 END::BIGINT AS first_slot
         FROM a LEFT JOIN y ON y.place = a.place AND y.rank = a.ahead // a.block
     """,
+    "op7_repeats": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), w AS (
+            SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS s
+            FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d WHERE len(h) >= 200)
+        ), r AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM w) WHERE n > 1
+        ), n AS (
+            SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, TRUE)::INT AS new FROM r
+        ), g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n
+        ), c AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, run
+        ), k AS (
+            SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM c
+        ), p AS (
+            SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+                   string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+            FROM k JOIN d USING (doc_id) GROUP BY doc_id
+        )
+        SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1, len(h)))) AS kept_sha256
+        FROM d LEFT JOIN p USING (doc_id)
+    """,
     "op8_licence_scan": LICENCES,
+    "op10_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ), r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+        ), c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a
+        ), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings LEFT JOIN n USING (vec_id) JOIN c USING (vec_id)
+    """,
 }

@@ -92,13 +92,16 @@ def held_out(id_col: str) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, how: Training) -> tuple[np.ndarray, np.ndarray, float] | None:
     """The model, or None without labelled rows of both kinds. At most ``how.rows`` labelled rows that are not held
-    out are used; a repeated label counts once (the largest). Their features meet in one task that reads them in
+    out are used; a repeated label counts once (the largest), and a repeated id by its least text. Their features meet in one task that reads them in
     hash order, so that reruns agree; the driver gets the non-zero weights."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("__id")).agg((F.max(label_col) > 0).cast("int").alias("__label"))
     some = known.orderBy(F.xxhash64("__id"), "__id").limit(how.rows)
     texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    texts = texts.join(F.broadcast(some), texts["id"] == some["__id"]).select(F.xxhash64("id", "text").alias("turn"), "text", F.col("__label").alias("label"))
+    texts = texts.join(F.broadcast(some), texts["id"] == some["__id"])
+    # of rows that repeat an id one text is learnt from, so that the one task has ``how.rows`` of them at most
+    texts = texts.groupBy("id", F.col("__label").alias("label")).agg(F.min("text").alias("text"))
+    texts = texts.select(F.xxhash64("id", "text").alias("turn"), "text", "label")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(how.bits)

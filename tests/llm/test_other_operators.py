@@ -722,7 +722,8 @@ def test_licence_oracle(spark):
 def test_oracles(spark):
     con = duckdb.connect()
     sf = "/root/testdata/sf0.01"
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     for name, sql in queries.ORACLES.items():
         got, want = queries.QUERIES[name](spark, sf).toPandas(), con.sql(sql).df()
         columns = sorted(got.columns)

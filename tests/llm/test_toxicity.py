@@ -60,6 +60,14 @@ def test_odd_rows(spark):
     assert not any(r.held_out for r in got if r.doc_id is None)
 
 
+def test_repeated_ids_are_learnt_from_once(spark):
+    """However often an id stands in the table, one text of it goes to the task that learns: the least."""
+    rows, _, docs, table = tables(spark, 300)
+    more = cases.documents(spark, [r for r in rows[:20] for _ in range(50)] + [(i, "zzz " + x, "a") for i, x, _ in rows[:20]])
+    scores = lambda d: {r.doc_id: r.score for r in t.toxicity(d, table).where("score is not null").collect() if r.doc_id >= 20}
+    assert scores(docs) == scores(docs.unionByName(more))
+
+
 def test_no_labels(spark):
     docs = cases.documents(spark, cases.odd_rows())
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
