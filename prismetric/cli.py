@@ -140,7 +140,7 @@ def summon(args: argparse.Namespace, conf: settings.LoadedConfig, voice: voices.
         if args.score or args.score_only or args.badge or args.min_score is not None:
             raise UsageError("scores are for single files")
         spark = session()
-        files = multi.expand_inputs(spark, args.path, include=args.include, exclude=args.exclude, max_files=args.max_files)
+        files = multi.expand_inputs(spark, args.path, include=args.include, exclude=args.exclude, max_files=args.max_files, region=args.region)
         many = multi.profile_many(spark, files, sample=args.sample, table=args.table, sheet=_sheet(args.sheet), region=args.region, form=args.format, timeseries_=not args.no_timeseries, rules=conf.values.get("pii", {}).get("name_rules", []))
         if not args.quiet or args.json:
             print(reports.dumps(reports.multi_to_dict(many)) if args.json else reports.multi_text(many))

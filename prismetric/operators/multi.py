@@ -85,14 +85,14 @@ def _one_table(path: str) -> bool:
     return path.rstrip("/").lower().endswith(SUFFIXES) and any(Path(path).glob("part-*"))
 
 
-def expand_inputs(spark: SparkSession, pattern: str | Path, *, include: Iterable[str] = (), exclude: Iterable[str] = (), max_files: int = MOST_FILES) -> list[str]:
+def expand_inputs(spark: SparkSession, pattern: str | Path, *, include: Iterable[str] = (), exclude: Iterable[str] = (), max_files: int = MOST_FILES, region: str | None = None) -> list[str]:
     """Files for a path, a folder (all below it that can be read), or a glob, in order; ``include`` and ``exclude`` go
     by file name. A single path is taken whatever its name."""
     text = str(pattern)
     one = False
     if is_remote(text):
         one = not has_glob(text)
-        found = [text] if one else remote_listing(spark, text)
+        found = [text] if one else remote_listing(spark, text, region)
     elif has_glob(text):
         found = sorted(glob.glob(text, recursive=True))
     elif is_multi(text):

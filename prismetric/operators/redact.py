@@ -107,9 +107,20 @@ def _safe(f: T.StructField) -> bool:
     return not kinds.nested(f.dataType) and not isinstance(f.dataType, T.DecimalType | T.BinaryType | T.DayTimeIntervalType | T.YearMonthIntervalType)
 
 
-def write(df: DataFrame, path: str | Path, form: str | None = None, *, one_file: bool = True, plan: RedactionPlan | None = None) -> None:
+#: Bytes of input from which on a copy is a folder, unless asked for otherwise; and what Spark says of sources without a size.
+ONE_FILE, UNKNOWN = 1 << 30, 1 << 62
+
+
+def size_of(df: DataFrame) -> int:
+    """What Spark takes for the size of ``df`` in bytes, from the sizes of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def write(df: DataFrame, path: str | Path, form: str | None = None, *, one_file: bool | None = None) -> None:
     """``df`` as CSV (with header, null empty, commas whatever the name), JSON lines (nulls kept) or Parquet (decimals
-    and nested values as text). ``one_file``: a file, written by one task; else a folder that all tasks write."""
+    and nested values as text). ``one_file``: a file, written by one task; else a folder that all tasks write. Not given:
+    a file unless Spark takes the data for ``ONE_FILE`` bytes or more."""
+    one_file = not ONE_FILE <= size_of(df) < UNKNOWN if one_file is None else one_file
     form = (form or format_of(path)).lower()
     if form not in FORMATS:
         raise RedactionError(f"Unsupported output format {form!r}. Choose one of: {sorted(FORMATS)}.")
@@ -137,7 +148,7 @@ def write(df: DataFrame, path: str | Path, form: str | None = None, *, one_file:
         shutil.rmtree(Path(out).parent, ignore_errors=True)
 
 
-def run_redaction(df: DataFrame, path: str | Path, plan: RedactionPlan, *, form: str | None = None, one_file: bool = True) -> dict[str, int]:
+def run_redaction(df: DataFrame, path: str | Path, plan: RedactionPlan, *, form: str | None = None, one_file: bool | None = None) -> dict[str, int]:
     """Write the redacted copy; how many cells changed, by column."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     counts = changed_cells(df, plan)

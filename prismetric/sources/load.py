@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import urllib.request
+import uuid
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -83,17 +84,26 @@ def _load_remote(spark: SparkSession, uri: str, suffix: str, reader: str | None,
         if uri.lower().startswith("s3://"):
             configure_s3(spark, region)
             return read_as(spark, reader, "s3a" + uri[2:])
-        return read_as(spark, reader, fetched(uri, suffix))
+        return read_as(spark, reader, fetched(spark, uri, suffix))
     except (PySparkException, Py4JJavaError, OSError) as e:
         raise RemoteAccessError(f"Could not reach {uri!r}: {e}") from e
 
 
-def fetched(uri: str, suffix: str) -> str:
-    """A copy of a web resource in a temporary file: Spark has no file system for the web."""
+def fetched(spark: SparkSession, uri: str, suffix: str) -> str:
+    """A copy of a web resource where all executors see it: Spark has no file system for the web. That is the folder in
+    ``spark.checkpoint.dir``; only in local mode a temporary file will do."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise RemoteAccessError(f"{uri!r} has to be copied for the executors: set spark.checkpoint.dir to a folder that they share.")
     with urllib.request.urlopen(uri, timeout=60) as source, tempfile.NamedTemporaryFile(suffix=suffix, delete=False) as out:  # noqa: S310
         while part := source.read(1 << 20):
             out.write(part)
-    return out.name
+    if not shared:
+        return out.name
+    paths = spark._jvm.org.apache.hadoop.fs
+    to = paths.Path(f"{shared.rstrip('/')}/prismetric-fetched/{uuid.uuid4().hex}{suffix}")
+    to.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(True, paths.Path(f"file://{out.name}"), to)
+    return to.toString()
 
 
 def configure_s3(spark: SparkSession, region: str | None = None) -> None:
@@ -107,8 +117,10 @@ def configure_s3(spark: SparkSession, region: str | None = None) -> None:
             conf.set(key, value)
 
 
-def remote_listing(spark: SparkSession, uri: str) -> list[str]:
-    """Objects that fit a remote glob, in order."""
+def remote_listing(spark: SparkSession, uri: str, region: str | None = None) -> list[str]:
+    """Objects that fit a remote glob, in order; region and credentials as for reading them."""
+    if uri.lower().startswith("s3://"):
+        configure_s3(spark, region)
     name = "s3a" + uri[2:] if uri.lower().startswith("s3://") else uri
     try:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)

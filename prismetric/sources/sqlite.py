@@ -12,7 +12,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .errors import SQLiteTableError
 
-ROWS = 100_000
+#: Row numbers of one partition at least, and partitions at most: row numbers may lie far apart.
+ROWS, PARTITIONS = 100_000, 10_000
 
 
 def _open(path: str) -> sqlite3.Connection:
@@ -61,7 +62,8 @@ class Reader(DataSourceReader):
                 return [InputPartition(None)]
         if low is None:
             return [InputPartition(None)]
-        return [InputPartition((at, min(at + ROWS - 1, high))) for at in range(low, high + 1, ROWS)]
+        step = max(ROWS, -(-(high - low + 1) // PARTITIONS))
+        return [InputPartition((at, min(at + step - 1, high))) for at in range(low, high + 1, step)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         where, of = ("", ()) if partition.value is None else (" WHERE rowid BETWEEN ? AND ?", partition.value)

@@ -55,12 +55,13 @@ def snapshot(paths: Iterable[Path]) -> dict[Path, tuple[float, int] | None]:
 
 
 def polled(list_paths: Callable[[], list[Path]], interval: float = 1.0, *, clock=time.monotonic, sleep=time.sleep, rounds: int | None = None) -> Iterator[WatchEvent]:
-    """An event whenever times or sizes have changed between two looks. New files of a glob count too."""
+    """An event whenever times or sizes have changed between two looks, and for files that come or go."""
     seen = snapshot(list_paths())
     while rounds is None or rounds > 0:
         sleep(max(interval, SHORTEST))
         now = snapshot(list_paths())
-        changed = tuple(p for p, state in now.items() if state is not None and seen.get(p) != state)
+        gone = [p for p, state in seen.items() if state is not None and p not in now]
+        changed = (*(p for p, state in now.items() if seen.get(p) != state), *gone)
         seen = now
         if changed:
             yield WatchEvent(changed, clock())

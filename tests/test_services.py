@@ -68,6 +68,14 @@ def test_debounce():
         list(watch.debounced([], -1))
 
 
+def test_polling_tells_what_is_gone(tmp_path):
+    a, b = tmp_path / "a.csv", tmp_path / "b.csv"
+    a.write_text("1"), b.write_text("1")
+    steps = iter([lambda: a.unlink(), lambda: None, lambda: a.write_text("2"), lambda: b.unlink()])
+    events = list(watch.polled(lambda: [a, *tmp_path.glob("b*")], 0, sleep=lambda _: next(steps)(), rounds=4))
+    assert [e.paths for e in events] == [(a,), (a,), (b,)]
+
+
 def test_polling(tmp_path):
     p = tmp_path / "x.csv"
     p.write_text("1")
