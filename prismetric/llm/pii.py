@@ -136,7 +136,11 @@ def telling(docs: DataFrame, rows: DataFrame, holds: DataFrame, texts: DataFrame
     return written(found.where(F.col("share") >= share).select("entity", "term", "share"), "telling")
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 2, share: float = 0.8, bound: int = 50_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Words (40 letters at most) or texts' hashes that are broadcast: some 30 MB at the very most.
+BOUND = 200_000
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 2, share: float = 0.8, bound: int = BOUND) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, texts, spans): see ``matches`` for the first two. spans: (text_hash, kind, start, end) of whole texts, in
     code points, end exclusive; the kinds are those of ``KINDS`` and "term". Equal texts are looked at once.
 
@@ -153,7 +157,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     worded = written(worded.select("text_hash", terms_of(F.col("text")).alias("terms")), "terms")
     known = telling(docs, rows, held, worded, text_col, support, share, bound)
 
-    told = written(held.join(known, "entity").select("text_hash", "term").distinct(), "told")
+    # the words of a text that tell, not all words that tell one of its entities somewhere
+    there = held.join(worded, "text_hash").select("entity", "text_hash", F.explode("terms").alias("term"))
+    told = written(there.join(known, ["entity", "term"]).select("text_hash", "term").distinct(), "told")
     each = texts.join(told.select("text_hash").distinct(), "text_hash", "left_semi")
     each = each.select("text_hash", F.posexplode(between(F.col("text"), LETTERS)).alias("place", "w"))
     each = each.select("text_hash", "place", "w.since", F.col("w.match").alias("word"))
