@@ -113,7 +113,7 @@ ONE_FILE, UNKNOWN = 1 << 30, 1 << 62
 
 def size_of(df: DataFrame) -> int:
     """What Spark takes for the size of ``df`` in bytes, from the sizes of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def write(df: DataFrame, path: str | Path, form: str | None = None, *, one_file: bool | None = None) -> None:
