@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import collected, mix, parts, whole_text, written
+from .shared import mix, parts, whole_text, written
 
 TRIGGER = 32
 #: Bytes parsed at once, windows sorted at once, and windows of one trigger that a task sorts at most.
@@ -384,8 +384,6 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = docs.count()
     dealt = parsed.repartition(parts(spark, n, 20_000), "trigger").sortWithinPartitions("trigger", "content", "id", "hash", "first")
     repeating = written(dealt.mapInArrow(_repeating(window), REPEATING), "repeating")
-    del parsed, dealt
-    collected(spark)
 
     texts = rows.mapInArrow(_packed, f"out_id {kind}, id long, hash long, packed binary")
     of_text = repeating.where(F.col("state") == NEW).groupBy("id", "hash").agg(F.collect_set(F.struct("trigger", "first", "last")).alias("phrases"))
@@ -393,8 +391,6 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     contexts = with_text.mapInArrow(_contexts(window), CONTEXT)
     sorted_ = contexts.repartition(parts(spark, n, 20_000), "trigger").sortWithinPartitions("trigger")
     again = written(sorted_.mapInArrow(_cuts(window, group), FOUND), "cuts")
-    del with_text, contexts, sorted_
-    collected(spark)
     cuts = repeating.where(F.col("state") == CUT).unionByName(again.where("context is null").withColumn("state", F.lit(CUT)).drop("context")).select("id", "hash", "first", "last")
     hot = again.where("context is not null")
     if not hot.isEmpty():

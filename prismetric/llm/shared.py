@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -45,13 +44,6 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def collected(spark: SparkSession) -> None:
-    """What lies behind written tables (shuffled files above all) goes from the executors' disks now; else it stays until
-    the driver happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one mixture of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
