@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from concurrent.futures import ThreadPoolExecutor
+from itertools import accumulate
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -93,60 +95,56 @@ def quantiles(df: DataFrame, shares: list[float]) -> dict[str, list[float] | Non
     """Exact quantiles of each (double) column of ``df``, interpolated between neighbours; None for a column without
     values.
 
-    The values at the two ranks around each share are bounded by sketches of a fixed size, what lies below the bounds is
+    The values at the two ranks beside each share are bounded by sketches of a fixed size, what lies below the bounds is
     counted, and the values between are counted by value. Where these are too many for the driver, the bounds are drawn
     closer in the same way; no task ever holds a column's values. Three passes as a rule.
     """
     names = df.columns
     inner = df.toDF(*(f"c{i}" for i in range(len(names))))
     sizes = inner.agg(*(F.count(c) for c in inner.columns)).first()
-    # (column, rank): the value of that rank is sought
-    ranks = {(i, k) for i, n in enumerate(sizes) if n for q in shares for k in (int(q * (n - 1)), min(int(q * (n - 1)) + 1, n - 1))}
-    low: dict[tuple[int, int], float | None] = dict.fromkeys(ranks)
-    high: dict[tuple[int, int], float | None] = dict.fromkeys(ranks)
-    found: dict[tuple[int, int], float] = {}
-    base, inside = dict.fromkeys(ranks, 0), {r: sizes[r[0]] for r in ranks}
-
-    def within(r: tuple[int, int]) -> Column:
-        c = F.col(f"c{r[0]}")
-        return F.lit(True) if low[r] is None else (c >= low[r]) & (c <= high[r])
-
-    todo = sorted(ranks)
+    # of each column and share: the bounds, how many values lie below them and between, and the values once known
+    todo = [(i, q) for i, n in enumerate(sizes) if n for q in shares]
+    bounds: dict[tuple[int, float], tuple[float, float] | None] = dict.fromkeys(todo)
+    base, inside = dict.fromkeys(todo, 0), {t: sizes[t[0]] for t in todo}
+    found: dict[tuple[int, float], tuple[float, float]] = {}
+
+    def ranks(t: tuple[int, float]) -> tuple[int, int]:
+        at = int(t[1] * (sizes[t[0]] - 1))
+        return at, min(at + 1, sizes[t[0]] - 1)
+
+    def within(t: tuple[int, float]) -> Column:
+        return F.col(f"c{t[0]}").between(*bounds[t]) if bounds[t] else F.lit(True)
+
     while todo:
         probes = []
-        for r in todo:
-            at, n = r[1] - base[r], inside[r]
-            edges = [max(0.0, (at + 1) / n - 2 / SKETCH), min(1.0, (at + 1) / n + 2 / SKETCH)]
-            value = F.when(within(r), F.col(f"c{r[0]}"))
-            probes.append(F.percentile_approx(value, F.array(*map(F.lit, edges)), F.lit(SKETCH)))
-        bounds = inner.agg(*probes).first()
-        for r, (a, b) in zip(todo, bounds, strict=True):
-            low[r], high[r] = a, b
-        below = inner.agg(*(F.count_if(F.col(f"c{r[0]}") < low[r]) for r in todo), *(F.count_if(within(r)) for r in todo)).first()
-        for i, r in enumerate(todo):
-            base[r], inside[r] = below[i], below[len(todo) + i]
-        found |= {r: low[r] for r in todo if low[r] == high[r]}
-        todo = [r for r in todo if r not in found]
-        if todo:
-            held = F.array(*(F.when(within(r), F.struct(F.lit(i).alias("i"), F.col(f"c{r[0]}").alias("v"))) for i, r in enumerate(todo)))
-            values = inner.select(F.explode(held).alias("s")).where("s is not null").groupBy("s.i", "s.v").agg(F.count(F.lit(1)).alias("n"))
-            rows = values.limit(BETWEEN + 1).collect()
-            if len(rows) <= BETWEEN:
-                for i, r in enumerate(todo):
-                    at = base[r]
-                    for v, n in sorted((x["v"], x["n"]) for x in rows if x["i"] == i):
-                        at += n
-                        if r[1] < at:
-                            found[r] = v
-                            break
-                todo = []
-
-    def share(i: int, q: float) -> float:
+        for t in todo:
+            low, high = ((rank - base[t] + 1) / inside[t] for rank in ranks(t))
+            edges = F.array(F.lit(max(0.0, low - 2 / SKETCH)), F.lit(min(1.0, high + 2 / SKETCH)))
+            probes.append(F.percentile_approx(F.when(within(t), F.col(f"c{t[0]}")), edges, F.lit(SKETCH)))
+        bounds |= {t: tuple(edges) for t, edges in zip(todo, inner.agg(*probes).first(), strict=True)}
+        counts = inner.agg(*(c for t in todo for c in (F.count_if(F.col(f"c{t[0]}") < bounds[t][0]), F.count_if(within(t))))).first()
+        for i, t in enumerate(todo):
+            base[t], inside[t] = counts[2 * i], counts[2 * i + 1]
+        found |= {t: bounds[t] for t in todo if bounds[t][0] == bounds[t][1]}
+        todo = [t for t in todo if t not in found]
+        if not todo:
+            break
+        held = F.array(*(F.when(within(t), F.struct(F.lit(i).alias("i"), F.col(f"c{t[0]}").alias("v"))) for i, t in enumerate(todo)))
+        values = inner.select(F.explode(F.filter(held, lambda x: x.isNotNull())).alias("s")).groupBy("s.i", "s.v").agg(F.count(F.lit(1)).alias("n"))
+        rows = values.limit(BETWEEN + 1).collect()
+        if len(rows) <= BETWEEN:
+            for i, t in enumerate(todo):
+                ordered = sorted((r["v"], r["n"]) for r in rows if r["i"] == i)
+                ends = list(accumulate((n for _, n in ordered), initial=base[t]))[1:]
+                found[t] = tuple(ordered[bisect_right(ends, rank)][0] for rank in ranks(t))
+            break
+
+    def value(i: int, q: float) -> float:
+        a, b = found[i, q]
         at = q * (sizes[i] - 1)
-        a, b = found[i, int(at)], found[i, min(int(at) + 1, sizes[i] - 1)]
         return a + (b - a) * (at - int(at))
 
-    return {name: [share(i, q) for q in shares] if sizes[i] else None for i, name in enumerate(names)}
+    return {name: [value(i, q) for q in shares] if sizes[i] else None for i, name in enumerate(names)}
 
 
 def first_values(df: DataFrame, column: int, n: int, rows: list | None = None) -> list[Any]:

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,20 @@ def test_frequent_values_break_ties_by_value(spark):
     assert stats.frequencies(df, 3) == [(7, [("a", 2), ("b", 2), ("c", 1)])]
 
 
+@pytest.mark.parametrize("between", [100_000, 40])
+def test_quantiles(spark, monkeypatch, between):
+    """Against numpy, also where the values between the bounds are too many at first."""
+    monkeypatch.setattr(stats, "BETWEEN", between)
+    rng = np.random.default_rng(1)
+    columns = [rng.normal(size=30_000), rng.integers(0, 5, 30_000).astype(float), np.r_[np.zeros(29_999), 1e9], np.arange(30_000.0)]
+    rows = [tuple(map(float, r)) + (None,) for r in zip(*columns, strict=True)] + [(None, None, None, None, None)] * 7
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    got = stats.quantiles(df, [0.0, 0.25, 0.5, 0.75, 1.0])
+    for name, values in zip("abcd", columns, strict=True):
+        assert np.allclose(got[name], np.quantile(values, [0.0, 0.25, 0.5, 0.75, 1.0]), rtol=1e-12)
+    assert got["e"] is None and stats.quantiles(df.where("a is not null").limit(1), [0.5])["a"] == [columns[0][0]]
+
+
 def test_column_stats_rows(tiny):
     rows = {r["name"]: r for r in stats.column_stats(tiny).collect()}
     assert (rows["email"]["nulls"], rows["email"]["distinct"], rows["score"]["mean"]) == (1, 2, 8.375)
