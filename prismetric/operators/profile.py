@@ -70,6 +70,8 @@ def profile(
         values = df.sparkSession.createDataFrame(texts, "place int, v string")
         numbers = {i: [x for x in map(_number, found) if x is not None] for i, found in enumerate(firsts) if kinds.numeric(fields[i].dataType)}
     counts = pii.match_counts(values) if fields else {}
+    numeric = [f"c{i}" for i, f in enumerate(fields) if kinds.numeric(f.dataType)]
+    outliers = whole_outliers(plain.select(*numeric)) if detect == "all" and numeric else {}
     none = dict.fromkeys(["sampled", *pii.patterns.DETECTORS, *pii.patterns.WEAK, *(f"shape_{s}" for s in pii.patterns.SHAPES)], 0)
 
     series = _series(df, fields, detect == "all") if timeseries_ and rows else [None] * len(fields)
@@ -80,8 +82,8 @@ def profile(
         count = counts.get(i, none)
         shapes = {s: count[f"shape_{s}"] for s in pii.patterns.SHAPES}
         held = anomalies.anomalies(f.name, dtype, rows, distinct, null_pct, shapes, numbers.get(i))
-        if detect == "all" and kinds.numeric(f.dataType) and (a := whole_outliers(plain.select(f"c{i}"))):
-            held.append(a)
+        if f"c{i}" in outliers:
+            held.append(outliers[f"c{i}"])
         columns.append(
             ColumnRow(
                 f.name, dtype, rows, fact["nulls"], distinct, fact["sample"], fact["min"], fact["max"], fact["mean"], fact["stddev"],
@@ -91,19 +93,24 @@ def profile(
     return TableProfile(rows, tuple(columns), Origin(*file_facts(path), sample or None))
 
 
-def whole_outliers(numbers: DataFrame) -> Notice | None:
-    """The outliers of a whole column: quartiles (exact, interpolated), then what lies outside."""
-    numbers = numbers.select(F.col(numbers.columns[0]).cast("double").alias("x"))
-    x, quarters = F.col("x"), stats.quantiles(numbers, [0.25, 0.75])["x"]
-    n = numbers.agg(F.count(x)).first()[0]
-    if not quarters or n < anomalies.LEAST_NUMBERS or quarters[0] == quarters[1]:
-        return None
-    reach = anomalies.FENCE * (quarters[1] - quarters[0])
-    low, high = quarters[0] - reach, quarters[1] + reach
-    outside = numbers.agg(F.count_if((x < low) | (x > high))).first()[0]
-    pct = 100.0 * outside / n
-    said = f"{outside} of {n} values lie outside IQR fence [{low:.4g}, {high:.4g}] ({pct:.1f}%)."
-    return anomalies.odd("numeric_outliers", "warn" if pct >= anomalies.MANY_PCT else "info", said) if outside else None
+def whole_outliers(numbers: DataFrame) -> dict[str, Notice]:
+    """The outliers of whole columns, by name: exact quartiles of all of them, then what lies outside, in one aggregation."""
+    numbers = numbers.select(*(F.col(c).cast("double").alias(c) for c in numbers.columns))
+    fences = {}
+    for c, quarters in stats.quantiles(numbers, [0.25, 0.75]).items():
+        if quarters and quarters[0] != quarters[1]:
+            reach = anomalies.FENCE * (quarters[1] - quarters[0])
+            fences[c] = quarters[0] - reach, quarters[1] + reach
+    if not fences:
+        return {}
+    counts = (F.struct(F.count(c), F.count_if((F.col(c) < low) | (F.col(c) > high))).alias(c) for c, (low, high) in fences.items())
+    out = {}
+    for c, (n, outside) in numbers.agg(*counts).first().asDict().items():
+        if outside and n >= anomalies.LEAST_NUMBERS:
+            (low, high), pct = fences[c], 100.0 * outside / n
+            said = f"{outside} of {n} values lie outside IQR fence [{low:.4g}, {high:.4g}] ({pct:.1f}%)."
+            out[c] = anomalies.odd("numeric_outliers", "warn" if pct >= anomalies.MANY_PCT else "info", said)
+    return out
 
 
 def _series(df: DataFrame, fields: list[T.StructField], whole: bool) -> list:
