@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from ..model import ODD, Notice
@@ -56,6 +57,15 @@ def fences(numbers: list[float]) -> tuple[float, float] | None:
     return (low - reach, high + reach) if reach > 0 else None
 
 
+def rounded(x: float, places: int) -> float:
+    """``x`` to so many decimal places as SQL engines round: scaled, halves away from zero; as it is where that overflows."""
+    scaled = x * 10.0**places
+    if not math.isfinite(scaled):
+        return x
+    whole = math.trunc(scaled)
+    return float(whole + (math.copysign(1, scaled) if abs(scaled - whole) >= 0.5 else 0)) / 10.0**places
+
+
 def numeric_outliers(numbers: list[float]) -> Notice | None:
     n = len(numbers)
     if n < LEAST_NUMBERS or not (fence := fences(numbers)):

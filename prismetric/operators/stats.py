@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from concurrent.futures import ThreadPoolExecutor
 from itertools import accumulate
+from math import fma
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -92,8 +93,8 @@ SKETCH, BETWEEN = 1000, 100_000
 
 
 def quantiles(df: DataFrame, shares: list[float]) -> dict[str, list[float] | None]:
-    """Exact quantiles of each (double) column of ``df``, interpolated between neighbours; None for a column without
-    values.
+    """Exact quantiles of each (double) column of ``df``, interpolated between neighbours (to the last bit as DuckDB does,
+    for values that lie on a fence); None for a column without values.
 
     The values at the two ranks beside each share are bounded by sketches of a fixed size, what lies below the bounds is
     counted, and the values between are counted by value. Where these are too many for the driver, the bounds are drawn
@@ -141,8 +142,8 @@ def quantiles(df: DataFrame, shares: list[float]) -> dict[str, list[float] | Non
 
     def value(i: int, q: float) -> float:
         a, b = found[i, q]
-        at = q * (sizes[i] - 1)
-        return a + (b - a) * (at - int(at))
+        part = q * (sizes[i] - 1) % 1
+        return fma(a, 1 - part, b * part) if a != b else a
 
     return {name: [value(i, q) for q in shares] if sizes[i] else None for i, name in enumerate(names)}
 
