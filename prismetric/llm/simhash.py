@@ -22,8 +22,10 @@ GROUP = 2048
 SMALL = 8
 #: Of a set's node, the bits that are the first of its wide fingerprint; the others tell apart sets that agree in them.
 FIRST, FIRST_BITS = np.uint64((1 << 40) - 1), 40
-#: Set in the keys of groups of whose links some were left out.
-TRACED = np.uint64(1 << 63)
+#: Bits by which groups are compared: those, and the 64 of the second word of the wide fingerprint.
+NEAR_BITS = FIRST_BITS + 64
+#: Of a cluster that is compared whole, bytes of hashes in a block, and hashes told apart at a time.
+BLOCK_BYTES, AT_ONCE = 8 << 20, 16384
 
 
 def hashes_of(text: str | None, shingle: int) -> np.ndarray:
@@ -126,11 +128,13 @@ def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _table(["key", "used", "fp"], mix(mix(key[rows] + np.uint64(piece + 1)) ^ (fp[rows] & mask)), np.full(rows.sum(), fixed | mask, np.uint64), fp[rows])
 
 
-def close_pairs(fp: np.ndarray, bits: int) -> np.ndarray:
-    """(place, place, distance) of the pairs within ``bits``, closest first."""
+def close_pairs(fp: np.ndarray, bits: int, more: np.ndarray | None = None) -> np.ndarray:
+    """(place, place, distance) of the pairs within ``bits``, those of ``more`` added if it is there, closest first."""
     found = []
     for at in range(0, len(fp), 256):
         apart = np.bitwise_count(fp[at : at + 256, None] ^ fp[None, at:])
+        if more is not None:
+            apart = apart + np.bitwise_count(more[at : at + 256, None] ^ more[None, at:])
         one, other = np.nonzero(apart <= bits)
         kept = one < other
         found.append(np.stack([one[kept] + at, other[kept] + at, apart[one[kept], other[kept]]], 1).astype(np.int32))
@@ -161,33 +165,32 @@ def forest(n: int, pairs: np.ndarray) -> np.ndarray:
                 low = low[low]
 
 
-def link_runs(bits: int, group: int, mask: np.uint64 = ~np.uint64(0), again: bool = False):
+def link_runs(bits: int, group: int, mask: np.uint64 = ~np.uint64(0), wide: bool = False):
     """Rows sorted by key to links (hot false: key and fp are the ends) and rows of groups too large (hot true).
-    Only bits in ``mask`` are compared. With ``again``, groups of whose links some were left out come out as well, as
-    hot rows whose used is 1, and the links that they do propose have the group's key as used."""
+    Only bits in ``mask`` are compared, and with ``wide`` those of used as well. A link's used is 1 where its group
+    has more links than it proposes."""
 
     def links(key: np.ndarray, used: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         small = np.repeat(sizes <= SMALL, sizes)
-        pairs = []
+        pairs, some = [], [np.empty((0, 2), np.int64)]
         for shift in range(1, SMALL):
-            at = np.flatnonzero((key[:-shift] == key[shift:]) & small[:-shift] & (np.bitwise_count((fp[:-shift] ^ fp[shift:]) & mask) <= bits)) if len(key) > shift else np.empty(0, int)
+            at = np.flatnonzero((key[:-shift] == key[shift:]) & small[:-shift]) if len(key) > shift else np.empty(0, int)
+            apart = np.bitwise_count((fp[at] ^ fp[at + shift]) & mask)
+            if wide:
+                apart = apart + np.bitwise_count(used[at] ^ used[at + shift])
+            at = at[apart <= bits]
             pairs.append(np.stack([at, at + shift], 1))
         for s, n in zip(starts, sizes, strict=True):
             if SMALL < n <= group:
-                every = close_pairs(fp[s : s + n] & mask, bits)
+                every = close_pairs(fp[s : s + n] & mask, bits, used[s : s + n] if wide else None)
                 tree = forest(n, every) + s
-                if again and len(tree) < len(every):
-                    yield _table(LINKS.names, np.ones(n, bool), key[s : s + n] | TRACED, np.ones(n, np.uint64), fp[s : s + n])
-                    ends = np.sort(fp[tree], axis=1)
-                    yield _table(LINKS.names, np.zeros(len(ends), bool), ends[:, 0], key[s : s + 1].repeat(len(ends)) | TRACED, ends[:, 1])
-                else:
-                    pairs.append(tree)
-        found = np.concatenate(pairs)
-        if len(found):
-            ends = np.unique(np.sort(fp[found], axis=1), axis=0)
-            yield _table(LINKS.names, np.zeros(len(ends), bool), ends[:, 0], np.zeros(len(ends), np.uint64), ends[:, 1])
+                (some if len(tree) < len(every) else pairs).append(tree)
+        for part, found in enumerate((np.concatenate(pairs), np.concatenate(some))):
+            if len(found):
+                ends = np.unique(np.sort(fp[found], axis=1), axis=0)
+                yield _table(LINKS.names, np.zeros(len(ends), bool), ends[:, 0], np.full(len(ends), part, np.uint64), ends[:, 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.empty(0, np.uint64)] * 3
@@ -261,7 +264,7 @@ def expected_share(similarity: float) -> float:
 class Search:
     """How texts of at least ``similarity`` are found: ``segments`` of ``length`` bits of a wide fingerprint, each
     under all its one-wildcard variants; ``words`` in all. Before sets are compared, pairs go that differ in more than
-    ``near`` of the first bits, or in more than ``share`` of all."""
+    ``near`` of the first 104 bits, or in more than ``share`` of all."""
 
     length: int
     segments: int
@@ -280,17 +283,18 @@ def search_for(rows: int, similarity: float, recall: float = 0.9) -> Search:
     segments = math.ceil(math.log(1 - recall) / math.log(1 - one))
     words = max(8, 1 + -(-segments * length // 64))
     spread = math.sqrt(share * (1 - share))
-    return Search(length, segments, words, round(FIRST_BITS * share + 3 * math.sqrt(FIRST_BITS) * spread), share + 3 * spread / math.sqrt(512))
+    return Search(length, segments, words, round(NEAR_BITS * share + 3 * math.sqrt(NEAR_BITS) * spread), share + 3 * spread / math.sqrt(512))
 
 
 def wide_variants(how: Search):
-    """(key, used, fp) rows: every one-wildcard variant of every segment."""
+    """(key, used, fp) rows: every one-wildcard variant of every segment; used is the second word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in (batch.slice(at, 2000) for at in range(0, batch.num_rows, 2000)):
                 fp = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                bits = np.unpackbits(np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint8).reshape(len(fp), -1)[:, 8:], axis=1, bitorder="little")
+                whole = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint8).reshape(len(fp), -1)
+                bits, second = np.unpackbits(whole[:, 8:], axis=1, bitorder="little"), whole[:, 8:16].copy().view(np.uint64).ravel()
                 for segment in range(how.segments):
                     cut = bits[:, segment * how.length : (segment + 1) * how.length].astype(np.uint64)
                     value = (cut << np.arange(how.length, dtype=np.uint64)).sum(1, dtype=np.uint64)
@@ -298,7 +302,7 @@ def wide_variants(how: Search):
                         salt = mix(np.full(1, segment * 64 + bit + 1, np.uint64))[0]
                         # 40 bits of a key are enough: what falls together by chance is compared and let go
                         key = mix((value & ~np.uint64(1 << bit)) ^ salt) >> np.uint64(24)
-                        yield _table(["key", "used", "fp"], key, np.zeros(len(fp), np.uint64), fp)
+                        yield _table(["key", "used", "fp"], key, second, fp)
 
     return run
 
@@ -309,99 +313,104 @@ def similar_links(marks: DataFrame, how: Search, group: int = GROUP, sets: DataF
     all such pairs connect. A group over the bound is cut into blocks, every two of which meet in one task.
 
     Each group proposes a cycle-free part of its links. Where all of these hold, they connect what the group's links
-    connect. Where it left some out and one that it proposed fails, each row proposes the links to its closest ones in
-    other components, eight times as many in each round, until none is left out.
+    connect. Where it left some out, the ends of each one that it left out are connected by those that it proposed: so
+    a cluster that such links connect, and in which one of them fails, is compared whole, one row for each of its texts.
     """
     spark = marks.sparkSession
     rows = marks.select("fp", "wide").mapInArrow(wide_variants(how), ROWS)
     count = how.segments * how.length * marks.count()
     deal = lambda r, n: r.repartition(parts(spark, n, 2_000_000), "key").sortWithinPartitions("key")
     found = written(deal(rows, count).mapInArrow(link_runs(how.near, group, FIRST, True), LINKS), "links")
-    hot = found.where("hot and used = 0").select("key", "fp")
+    hot = found.where("hot").select("key", "used", "fp")
     if not hot.isEmpty():
-        sizes = hot.groupBy(F.col("key").alias("of")).agg(F.ceil(F.count(F.lit(1)) / (group // 2)).cast("int").alias("blocks"))
-        cut = hot.join(sizes, F.col("key") == F.col("of")).withColumn("one", F.pmod(F.xxhash64("fp"), "blocks"))
-        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pair = cut.select(F.xxhash64("key", F.least("one", "other"), F.greatest("one", "other")).alias("key"), F.lit(0).cast("long").alias("used"), "fp")
-        found = found.where("not hot or used = 1").union(written(deal(pair, pair.count()).mapInArrow(link_runs(how.near, 1 << 62, FIRST, True), LINKS), "links"))
+        pair = _in_blocks(hot, "key", F.ceil(F.count(F.lit(1)) / (group // 2)))
+        found = found.where("not hot").union(written(deal(pair, pair.count()).mapInArrow(link_runs(how.near, 1 << 62, FIRST, True), LINKS), "links"))
     end = lambda t, c: t.select(F.col("fp").alias(c), F.col(t.columns[1]).alias(f"of_{c}"))
     both = lambda pairs, t, test: pairs.join(end(t, "a"), "a").join(end(t, "b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(test, "a long, b long")
-    marks, held, tested, out, width = marks.select("fp", "wide"), None, None, None, 1
-    while True:
-        new = found.where("not hot").select(F.col("key").alias("a"), F.col("fp").alias("b")).distinct()
-        new = new.join(tested, ["a", "b"], "left_anti") if tested is not None else new
-        new = written(both(new, marks, _close(how.share)), "near")
-        tested = new if tested is None else tested.union(new)
-        if sets is not None:
-            if held is None:  # later links have their ends in the groups that are looked at again
-                ends = new.select(F.col("a").alias("fp")).union(new.select("b")).union(found.where("hot and used = 1").select("fp"))
-                held = written(sets.join(written(ends.distinct(), "ends"), "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes")), "sets")
-            new = written(both(new, held, _alike(similarity)), "alike")
-        out = new if out is None else out.union(new)
-        left = found.where("hot and used = 1")
-        if width == 1:
-            failed = found.where("not hot and used <> 0").select(F.col("key").alias("a"), F.col("fp").alias("b"), F.col("used").alias("group"))
-            failed = failed.join(out, ["a", "b"], "left_anti").select(F.col("group").alias("key")).distinct()
-            left = written(left.join(failed, "key", "left_semi"), "again")
-        if left.isEmpty():
-            return out
-        width *= 8
-        roots = components(out).withColumnRenamed("node", "fp")
-        left = left.join(roots, "fp", "left").select("key", F.coalesce("root", "fp").alias("used"), "fp")
-        apart = left.groupBy("key").agg(F.min("used").alias("least"), F.max("used").alias("most")).where("least < most").select("key")
-        left = written(left.join(apart, "key"), "left")
-        found = written(deal(left, left.count()).mapInArrow(further(how.near, width), LINKS), "links")
-
-
-def further(bits: int, width: int):
-    """Rows sorted by key, used being the component, to links from each row to the ``width`` closest ones of other
-    components, and the rows (hot, used 1) of groups where that leaves some out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.uint64)] * 3
-        for batch in batches:
-            new = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in range(3)]
-            rest = [np.concatenate(x) for x in zip(rest, new, strict=True)]
-            last = len(rest[0]) - int(np.argmax(rest[0][::-1] != rest[0][-1])) if len(rest[0]) and (rest[0] != rest[0][-1]).any() else 0
-            yield from groups(*(x[:last] for x in rest))
-            rest = [x[last:] for x in rest]
-        yield from groups(*rest)
-
-    def groups(key: np.ndarray, root: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-        for s, e in zip(starts, np.r_[starts[1:], len(key)][: len(starts)], strict=True):
-            pairs = close_pairs(fp[s:e] & FIRST, bits)[:, :2] + s
-            pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
-            if not len(pairs):
-                continue
-            # the place of each end among the pairs of its row, closest first
-            ends = pairs.ravel()
-            order = np.argsort(ends, kind="stable")
-            first = np.r_[True, ends[order][1:] != ends[order][:-1]]
-            rank = np.empty(len(ends), np.int64)
-            rank[order] = np.arange(len(ends)) - np.maximum.accumulate(np.where(first, np.arange(len(ends)), 0))
-            taken = (rank.reshape(-1, 2) < width).any(1)
-            link = np.unique(np.sort(fp[pairs[taken]], axis=1), axis=0)
-            yield _table(LINKS.names, np.zeros(len(link), bool), link[:, 0], np.zeros(len(link), np.uint64), link[:, 1])
-            if not taken.all():
-                yield _table(LINKS.names, np.ones(e - s, bool), key[s:e], np.ones(e - s, np.uint64), fp[s:e])
+    marks = marks.select("fp", "wide")
+    new = written(found.where("not hot").groupBy(F.col("key").alias("a"), F.col("fp").alias("b")).agg(F.max("used").alias("part")), "proposed")
+    out = written(both(new, marks, _close(how.share)), "near")
+    some, held = new.where("part = 1").select("a", "b"), None
+    if sets is not None:
+        ends = out.union(some).select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        held = written(sets.join(written(ends, "ends"), "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes")), "sets")
+        out = written(both(out, held, _alike(similarity)), "alike")
+    failed = written(some.join(out, ["a", "b"], "left_anti").select(F.col("a").alias("node")).distinct(), "failed")
+    if failed.isEmpty():
+        return out
+    clusters = components(some)
+    left = clusters.join(clusters.join(failed, "node", "left_semi").select("root").distinct(), "root", "left_semi").withColumnRenamed("node", "fp").join(marks, "fp")
+    left = written(left.join(held, "fp") if held is not None else left.withColumn("hashes", F.lit(None).cast("binary")), "again")
+    size = F.greatest(F.count(F.lit(1)) / (group // 2), F.coalesce(F.sum(F.length("hashes")), F.lit(0)) / BLOCK_BYTES)
+    pair = _in_blocks(left.select(F.col("root").alias("key"), "fp", "wide", "hashes"), "key", F.ceil(size))
+    return out.union(written(pair.groupBy("key").applyInArrow(whole_links(how.share, similarity if sets is not None else None), "a long, b long"), "again"))
+
+
+def _in_blocks(rows: DataFrame, key: str, blocks) -> DataFrame:
+    """The rows of each key in as many blocks as ``blocks``, an aggregate, says; every two blocks share a new key."""
+    sizes = rows.groupBy(F.col(key).alias("of")).agg(blocks.cast("int").alias("blocks"))
+    cut = rows.join(sizes, F.col(key) == F.col("of")).withColumn("one", F.pmod(F.xxhash64("fp"), "blocks"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cut.select(F.xxhash64(key, F.least("one", "other"), F.greatest("one", "other")).alias(key), *(c for c in rows.columns if c != key))
+
+
+def _hashes(cut: bytes) -> np.ndarray:
+    whole = np.zeros((len(cut) // 6, 8), np.uint8)
+    whole[:, :6] = np.frombuffer(cut, np.uint8).reshape(-1, 6)
+    return np.unique(whole.view(np.uint64).ravel())
+
+
+def whole_links(share: float, similarity: float | None):
+    """A group of rows (key, fp, wide, hashes) to links that connect all pairs that differ in at most ``share`` of the
+    bits and, unless it is None, whose sets have at least that ``similarity``."""
+
+    def run(group: pa.Table) -> pa.Table:
+        fp = group["fp"].to_numpy()
+        wide = np.frombuffer(b"".join(group["wide"].to_pylist()), np.uint64).reshape(len(fp), -1)
+        pairs = [np.empty((0, 2), np.int64)]
+        for i in range(len(fp)):
+            other = np.flatnonzero(np.bitwise_count(wide[i + 1 :] ^ wide[i]).sum(1) <= share * 64 * wide.shape[1]) + i + 1
+            pairs.append(np.stack([np.full(len(other), i), other], 1))
+        pairs = np.concatenate(pairs)
+        if similarity is not None and len(pairs):
+            sets = [_hashes(x) for x in group["hashes"].to_pylist()]
+            sizes = np.array([len(x) for x in sets])
+            both = sizes[pairs].sum(1)
+            common = common_counts(sets, pairs)
+            pairs = pairs[common + 1e-9 >= similarity * (both - common)]
+        ends = np.sort(fp[forest(len(fp), pairs)], axis=1)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
     return run
 
 
+def common_counts(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """For each pair of places how many hashes the two sets share; hashes are bits of rows, some thousand at a time."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, place = row[times[place] > 1], np.cumsum(times > 1)[place[times[place] > 1]] - 1
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    common = np.zeros(len(pairs), np.int64)
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, AT_ONCE):
+        s, e = np.searchsorted(place, [at, at + AT_ONCE])
+        held = np.zeros((len(sets), AT_ONCE), bool)
+        held[row[s:e], place[s:e] - at] = True
+        held = np.packbits(held[:, : -(-(int(place[e - 1]) + 1 - at) // 64) * 64], axis=1).view(np.uint64)
+        for k in range(0, len(pairs), 8192):
+            one, other = pairs[k : k + 8192].T
+            common[k : k + 8192] += np.bitwise_count(held[one] & held[other]).sum(1, dtype=np.int64)
+    return common
+
+
 def _alike(similarity: float):
     """Of links with the sets of their ends those whose Jaccard similarity is at least ``similarity``."""
 
-    def hashes(cut: bytes) -> np.ndarray:
-        whole = np.zeros((len(cut) // 6, 8), np.uint8)
-        whole[:, :6] = np.frombuffer(cut, np.uint8).reshape(-1, 6)
-        return np.unique(whole.view(np.uint64).ravel())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
             for one, other in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = hashes(one.as_py()), hashes(other.as_py())
+                a, b = _hashes(one.as_py()), _hashes(other.as_py())
                 common = len(np.intersect1d(a, b, assume_unique=True)) if len(a) and len(b) else 0
                 kept.append(common + 1e-9 >= similarity * (len(a) + len(b) - common))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))

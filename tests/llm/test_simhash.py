@@ -223,3 +223,34 @@ def test_links_that_fail_hide_no_others(spark):
     got = {r.node: r.root for r in shared.components(links).collect()}
     ends = [marks[i][1] for i in (0, 8, 16)]
     assert set(got) == set(ends) and len(set(got.values())) == 1
+
+
+def test_counts_of_common_hashes(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(s, "AT_ONCE", 128)
+    sets = [np.unique(rng.integers(0, 900, n)).astype(np.uint64) for n in (0, 1, 5, 300, 400, 700, 700)]
+    pairs = np.array([(a, b) for a in range(7) for b in range(a + 1, 7)])
+    assert s.common_counts(sets, pairs).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in pairs]
+    assert s.common_counts([sets[0], sets[0]], np.array([[0, 1]])).tolist() == [0]
+
+
+@pytest.mark.parametrize("group", [40, 2048])
+def test_clusters_that_fail_make_few_rows(spark, group, monkeypatch):
+    """200 texts in one cluster, alike only in pairs: what the groups give out stays in proportion to the texts."""
+    rng, made = np.random.default_rng(7), []
+    how = s.search_for(1000, 0.8)
+    wide, marks, sets = rng.integers(0, 2**63, how.words, dtype=np.uint64), [], []
+    for i in range(200):
+        mark = wide.copy()
+        for b in rng.choice(64 * how.words, 20, replace=False):
+            mark[b // 64] ^= np.uint64(1 << int(b % 64))
+        hashes = np.arange(10, dtype=np.uint64) + np.uint64(100 * (i // 2))
+        mark[0] = mark[0] & s.FIRST | np.uint64(i << 40)  # nodes are distinct
+        marks.append((int(mark[:1].view(np.int64)[0]), mark.tobytes()))
+        sets.append((marks[-1][0], hashes.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
+    keep = s.written
+    monkeypatch.setattr(s, "written", lambda df, what: made.append((what, keep(df, what))) or made[-1][1])
+    links = s.similar_links(spark.createDataFrame(marks, "fp long, wide binary"), how, group, spark.createDataFrame(sets, "fp long, hashes binary"))
+    got = {tuple(sorted(r)) for r in links.collect()}
+    assert got == {tuple(sorted((marks[i][0], marks[i + 1][0]))) for i in range(0, 200, 2)}
+    assert max(df.count() for what, df in made if what in ("again", "left")) <= 2 * len(marks)
